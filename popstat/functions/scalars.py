@@ -114,7 +114,7 @@ def minor_allele_count(copies, n_hap) -> Column:
 
 
 def individual_of(hap) -> Column:
-    return F.floor(_col(hap) / 2).cast("long")
+    return F.shiftright(_col(hap).cast("long"), 1)
 
 
 def hap_index(hap) -> Column:

@@ -62,20 +62,20 @@ def mosaic(hap_a: DataFrame, hap_b: DataFrame, breakpoints: DataFrame, start_on_
     in one ordered pass, not by pairing them.
     """
     site = ["gamete_id", "chrom", "pos"]
-    side = lambda df, on_b: df.select(*site, "mutation_id", F.lit(0).alias("_break"), F.lit(on_b).alias("from_b"))
-    breaks = breakpoints.select(
-        *site, F.lit(None).cast("long").alias("mutation_id"), F.lit(1).alias("_break"),
-        F.lit(False).alias("from_b"),
+    weight = F.lit(0).cast("long").alias("_breaks")
+    side = lambda df, on_b: df.select(*site, "mutation_id", weight, F.lit(on_b).alias("from_b"))
+    breaks = breakpoints.groupBy(*site).agg(F.count(F.lit(1)).alias("_breaks")).select(
+        *site, F.lit(None).cast("long").alias("mutation_id"), "_breaks", F.lit(False).alias("from_b")
     )
     events = side(hap_a, False).unionByName(side(hap_b, True)).unionByName(breaks)
     counted = running_totals(
-        events, {"_crossed": F.col("_break").cast("long")},
-        ["pos", "_break", "mutation_id", "from_b"], ["gamete_id", "chrom"],
+        events, {"_crossed": F.col("_breaks")},
+        ["pos", "_breaks", "mutation_id", "from_b"], ["gamete_id", "chrom"],
     )
     starts = start_on_b.select("gamete_id", "chrom", "start_on_b")
     on_b = F.coalesce("start_on_b", F.lit(False)) != (F.col("_crossed") % 2 == 1)
     return (
-        counted.where(F.col("_break") == 0)
+        counted.where(F.col("_breaks") == 0)
         .join(starts, ["gamete_id", "chrom"], "left")
         .where(F.col("from_b") == on_b)
         .select(*site, "mutation_id", "from_b")

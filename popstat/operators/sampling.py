@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from popstat.functions.scalars import clamp, dominance_coefficient, mutation_effects
 from popstat.operators.groups import By, attach
@@ -114,7 +115,7 @@ def _poisson(seeds: np.ndarray, rate: np.ndarray, part: float = 400.0) -> np.nda
     return counts
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _gamma_or_beta(seed: pd.Series, kind: pd.Series, p1: pd.Series, p2: pd.Series) -> pd.Series:
     seeds = seed.to_numpy().astype(np.int64).view(np.uint64)
     a, b = p1.to_numpy(dtype=float), p2.to_numpy(dtype=float)
@@ -130,7 +131,7 @@ def _gamma_or_beta(seed: pd.Series, kind: pd.Series, p1: pd.Series, p2: pd.Serie
     return pd.Series(out)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _poisson_udf(seed: pd.Series, rate: pd.Series) -> pd.Series:
     seeds = seed.to_numpy().astype(np.int64).view(np.uint64)
     return pd.Series(_poisson(seeds, rate.to_numpy(dtype=float)))

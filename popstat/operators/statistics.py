@@ -3,7 +3,8 @@
 ``carriers`` is (by, haplotype_id, mutation_id) without repeats; ``haplotypes`` is the
 universe (by, haplotype_id), which also counts haplotypes that carry nothing;
 ``mutations`` has one row per mutation id. Every statistic gives one row per group of
-the universe, also for a group without carriers.
+the universe, also for a group without carriers. A caller that wants several statistics
+makes ``site_counts`` once, writes it, and passes it as ``sites``.
 """
 
 from __future__ import annotations
@@ -43,17 +44,24 @@ def _count(sites: DataFrame, haplotypes: DataFrame, by: By, name: str) -> DataFr
     return per_group(haplotypes, counted, by, {name: 0})
 
 
-def n_seg(carriers: DataFrame, haplotypes: DataFrame, by: By = ()) -> DataFrame:
-    return _count(segregating(site_counts(carriers, haplotypes, by)), haplotypes, by, "n_seg")
+def _sites(sites: DataFrame | None, carriers: DataFrame, haplotypes: DataFrame, by: By) -> DataFrame:
+    return site_counts(carriers, haplotypes, by) if sites is None else sites
 
 
-def n_fixed(carriers: DataFrame, haplotypes: DataFrame, by: By = ()) -> DataFrame:
-    return _count(fixed(site_counts(carriers, haplotypes, by)), haplotypes, by, "n_fixed")
+def n_seg(carriers: DataFrame, haplotypes: DataFrame, by: By = (), sites: DataFrame | None = None) -> DataFrame:
+    return _count(segregating(_sites(sites, carriers, haplotypes, by)), haplotypes, by, "n_seg")
 
 
-def genome_words(carriers: DataFrame, haplotypes: DataFrame, by: By = ()) -> DataFrame:
+def n_fixed(carriers: DataFrame, haplotypes: DataFrame, by: By = (), sites: DataFrame | None = None) -> DataFrame:
+    return _count(fixed(_sites(sites, carriers, haplotypes, by)), haplotypes, by, "n_fixed")
+
+
+def genome_words(carriers: DataFrame, haplotypes: DataFrame, by: By = (), sites: DataFrame | None = None) -> DataFrame:
     """Carried copies, those of fixed mutations included."""
-    return _count(carriers, haplotypes, by, "genome_words")
+    if sites is None:
+        return _count(carriers, haplotypes, by, "genome_words")
+    copies = sites.groupBy(*by).agg(F.sum("copies").alias("genome_words"))
+    return per_group(haplotypes, copies, by, {"genome_words": 0})
 
 
 # ---- fitness -------------------------------------------------------------------
@@ -164,9 +172,10 @@ def heterozygosity_summary(
     mutations: DataFrame | None = None,
     chromosomes: DataFrame | None = None,
     by: By = (),
+    sites: DataFrame | None = None,
 ) -> DataFrame:
     """expected_heterozygosity, with ``chromosomes`` nucleotide_diversity, with ``mutations`` exact_B."""
-    sites = segregating(site_counts(carriers, haplotypes, by))
+    sites = segregating(_sites(sites, carriers, haplotypes, by))
     h = heterozygosity("copies", "n_hap")
     aggs = [F.avg(h).alias("expected_heterozygosity")]
     if chromosomes is not None:
@@ -222,9 +231,11 @@ def mutation_histogram_by_chromosome(carriers, haplotypes, mutations, chromosome
     return _histogram(carriers, haplotypes, mutations, chromosomes, "chrom", by)
 
 
-def mutation_histograms(carriers, haplotypes, mutations, types, chromosomes, by: By = ()) -> DataFrame:
+def mutation_histograms(
+    carriers, haplotypes, mutations, types, chromosomes, by: By = (), sites: DataFrame | None = None
+) -> DataFrame:
     """Both histograms from one pass over the sites: (by, dimension, bin, n_sites)."""
-    sites = segregating(site_counts(carriers, haplotypes, by))
+    sites = segregating(_sites(sites, carriers, haplotypes, by))
     sites = sites.join(mutations.select(*_on(mutations, by), "type", "chrom"), _on(mutations, by))
     by = list(by)
     columns = [*by, "type", "chrom"]
@@ -246,22 +257,23 @@ def mutation_histograms(carriers, haplotypes, mutations, types, chromosomes, by:
     return zero_fill(counted, universe, [*by, "dimension", "bin"], ["n_sites"])
 
 
-def _spectrum(carriers, haplotypes, by: By, bin_of: Column, last_bin: Column) -> DataFrame:
-    sites = segregating(site_counts(carriers, haplotypes, by))
+def _spectrum(carriers, haplotypes, by: By, sites, bin_of: Column, last_bin: Column) -> DataFrame:
+    sites = segregating(_sites(sites, carriers, haplotypes, by))
     counted = sites.groupBy(*by, bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n_sites"))
     totals = haplotypes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hap"))
     bins = dense_range(totals.withColumn("_last", last_bin), "bin", "_last").select(*by, "bin")
     return zero_fill(counted, bins, [*by, "bin"], ["n_sites"])
 
 
-def sfs_unfolded(carriers: DataFrame, haplotypes: DataFrame, by: By = ()) -> DataFrame:
+def sfs_unfolded(carriers: DataFrame, haplotypes: DataFrame, by: By = (), sites: DataFrame | None = None) -> DataFrame:
     """Sites per copy count, bins 0..n_hap."""
-    return _spectrum(carriers, haplotypes, by, F.col("copies"), F.col("n_hap"))
+    return _spectrum(carriers, haplotypes, by, sites, F.col("copies"), F.col("n_hap"))
 
 
-def sfs_folded(carriers: DataFrame, haplotypes: DataFrame, by: By = ()) -> DataFrame:
+def sfs_folded(carriers: DataFrame, haplotypes: DataFrame, by: By = (), sites: DataFrame | None = None) -> DataFrame:
     """Sites per minor allele count, bins 0..n_hap/2."""
-    return _spectrum(carriers, haplotypes, by, minor_allele_count("copies", "n_hap"), F.floor(F.col("n_hap") / 2))
+    half = F.shiftright("n_hap", 1)
+    return _spectrum(carriers, haplotypes, by, sites, minor_allele_count("copies", "n_hap"), half)
 
 
 # ---- genome totals -------------------------------------------------------------

@@ -24,7 +24,7 @@ def emission_deltas(df: DataFrame, ts: str, order: Sequence[str], by: By = ()) -
 
     The previous emission of the first row is the start, so its dt_sec is 0 here.
     """
-    seconds = lambda c: c.cast("double")
+    seconds = lambda c: c.cast("timestamp").cast("double")
     starts = df.groupBy(*by).agg(F.min(ts).alias("_start"))
     emitted = attach(previous_value(df, "_previous", ts, order, by), starts, by)
     now, start = F.col(ts), F.col("_start")
@@ -39,15 +39,17 @@ def coverage_violations(intervals: DataFrame, chromosomes: DataFrame) -> DataFra
     """Where half-open intervals fail to tile their chromosome from 0 to its length.
 
     One row per violation: (chrom, start, end, violation). A gap or overlap is
-    reported at the interval after it, a short end at the last interval.
+    reported at the interval after it, a short end at the last interval, and
+    copies of one interval once.
     """
-    placed = intervals.select("chrom", "start", "end")
+    placed = intervals.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("_copies"))
     lengths = chromosomes.select("chrom", "length")
     stepped = previous_value(placed, "_previous_end", "end", ["start", "end"], ["chrom"])
     stepped = stepped.join(lengths, "chrom", "left")
     rules = F.array_compact(
         F.array(
             F.when(F.col("start") != F.coalesce("_previous_end", F.lit(0)), "not contiguous"),
+            F.when(F.col("_copies") > 1, "repeated"),
             F.when(F.col("end") <= F.col("start"), "empty interval"),
             F.when(F.col("end") > F.col("length"), "past the end"),
         )

@@ -19,11 +19,16 @@ from popstat.operators.statistics import (
     n_seg,
     sfs_folded,
     sfs_unfolded,
+    site_counts,
 )
+from popstat.session import cut_lineage
 
 GENERATION = ["generation"]
 FITNESS = ("mean_fitness", "genetic_load", "realized_masking_bonus")
 DIVERSITY = ("exact_B", "nucleotide_diversity", "expected_heterozygosity")
+FROM_SITES = (
+    *DIVERSITY, "n_seg", "n_fixed", "genome_words", "mutation_histogram", "site_frequency_spectrum",
+)
 
 
 def _scalars(stats: DataFrame, names: Sequence[str], metric: str | None = None) -> DataFrame:
@@ -46,9 +51,10 @@ def stat_panel(
     """Statistic rows (generation, statistic, metric, scalar_value and four vectors) of the requests.
 
     ``carriers`` and ``haplotypes`` hold one population per generation. ``requests`` is
-    (generation, statistic, metric) from ``expand_schedules``. Statistics that share
-    their work are computed together, on the generations that ask for any of them.
-    Snapshots are taken to keep fixed mutations, so that n_fixed counts from the start.
+    (generation, statistic, metric) from ``expand_schedules``. Only generations that a
+    family of statistics is wanted at are computed for it. All but fitness and similarity
+    follow from the copies per site, which are counted once and written. Snapshots are
+    taken to keep fixed mutations, so that n_fixed counts from the start.
     """
     requests = requests.select(*GENERATION, "statistic", F.coalesce("metric", F.lit("jaccard")).alias("metric"))
 
@@ -58,33 +64,24 @@ def stat_panel(
 
     c, h = only(FITNESS)
     parts = [_scalars(fitness_summary(c, h, mutations, GENERATION), FITNESS)]
-    c, h = only(DIVERSITY)
-    parts.append(_scalars(heterozygosity_summary(c, h, mutations, chromosomes, GENERATION), DIVERSITY))
-    for name, count in (("n_seg", n_seg), ("n_fixed", n_fixed), ("genome_words", genome_words)):
-        parts.append(_scalars(count(*only([name]), GENERATION), [name]))
     c, h = only(["pairwise_similarity"])
-    parts.append(_scalars(pairwise_similarities(c, h, GENERATION), SIMILARITY_METRICS, "each"))
+    paired = _scalars(pairwise_similarities(c, h, GENERATION), SIMILARITY_METRICS, "each")
+    paired = paired.join(requests, [*GENERATION, "statistic", "metric"])
+
+    c, h = only(FROM_SITES)
+    sites = cut_lineage(site_counts(c, h, GENERATION))
+    shared = {"by": GENERATION, "sites": sites}
+    parts.append(_scalars(heterozygosity_summary(c, h, mutations, chromosomes, **shared), DIVERSITY))
+    for name, count in (("n_seg", n_seg), ("n_fixed", n_fixed), ("genome_words", genome_words)):
+        parts.append(_scalars(count(c, h, **shared), [name]))
 
-    c, h = only(["mutation_histogram"])
-    bins = mutation_histograms(c, h, mutations, types, chromosomes, GENERATION)
-    for dimension, name in (("type", "by_type"), ("chrom", "by_chromosome")):
-        part = bins.where(F.col("dimension") == dimension)
-        key = F.col("bin").cast("int") if dimension == "chrom" else F.col("bin")
-        parts.append(
-            collect_vector(part.withColumn("bin", key), GENERATION, "bin", "n_sites", name)
-            .withColumn("statistic", F.lit("mutation_histogram"))
-        )
-    c, h = only(["site_frequency_spectrum"])
-    for spectrum, name in ((sfs_unfolded, "unfolded_sfs"), (sfs_folded, "folded_sfs")):
-        parts.append(
-            collect_vector(spectrum(c, h, GENERATION), GENERATION, "bin", "n_sites", name)
-            .withColumn("statistic", F.lit("site_frequency_spectrum"))
-        )
-    rows = union_results(parts).groupBy("generation", "statistic", "metric").agg(
-        F.max("scalar_value").alias("scalar_value"),
-        *[F.first(v, ignorenulls=True).alias(v) for v in ("by_type", "by_chromosome", "unfolded_sfs", "folded_sfs")],
-    )
-    pairwise = F.col("statistic") == "pairwise_similarity"
-    plain = rows.where(~pairwise).drop("metric").join(requests, [*GENERATION, "statistic"])
-    paired = rows.where(pairwise).join(requests, [*GENERATION, "statistic", "metric"])
-    return plain.unionByName(paired)
+    bins = mutation_histograms(c, h, mutations, types, chromosomes, **shared)
+    by_type = collect_vector(bins.where("dimension = 'type'"), GENERATION, "bin", "n_sites", "by_type")
+    chroms = bins.where("dimension = 'chrom'").withColumn("bin", F.col("bin").cast("int"))
+    by_chromosome = collect_vector(chroms, GENERATION, "bin", "n_sites", "by_chromosome")
+    parts.append(by_type.join(by_chromosome, GENERATION).withColumn("statistic", F.lit("mutation_histogram")))
+    unfolded = collect_vector(sfs_unfolded(c, h, **shared), GENERATION, "bin", "n_sites", "unfolded_sfs")
+    folded = collect_vector(sfs_folded(c, h, **shared), GENERATION, "bin", "n_sites", "folded_sfs")
+    parts.append(unfolded.join(folded, GENERATION).withColumn("statistic", F.lit("site_frequency_spectrum")))
+    plain = union_results(parts).join(requests, [*GENERATION, "statistic"])
+    return union_results([plain, paired])

@@ -44,8 +44,13 @@ PHASES = (
 )
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"STRING": T.StringType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType()}
+
+
+def _schema(text: str) -> T.StructType:
+    """A schema from "name TYPE, name TYPE"; needs no session, unlike the DDL parser."""
+    fields = [field.split() for field in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 STAT_ROW_TEXT = _schema(", ".join(f"{c} STRING" for c in STAT_ROW_COLUMNS))
