@@ -19,6 +19,7 @@ from popstat.functions.scalars import SIMILARITY_METRICS, set_similarity
 from popstat.operators.filters import segregating
 from popstat.operators.groups import By, attach, hash_bucket, per_group
 from popstat.operators.statistics import site_counts
+from popstat.session import cut_lineage
 
 BLOCK = 256  # haplotypes of a block, about
 CHUNK = 16384  # mutations of a chunk, about
@@ -31,7 +32,10 @@ def segregating_carriers(carriers: DataFrame, haplotypes: DataFrame, by: By = ()
 
 
 def _packed(carriers: DataFrame, by: By, block: int, chunk: int) -> DataFrame:
-    """One row per haplotype and chunk with its mutation ids, and the size of its whole set."""
+    """One row per haplotype and chunk with its mutation ids, and the size of its whole set.
+
+    Written once: the tiles and the sizes read it several times.
+    """
     sizes = carriers.groupBy(*by).agg(
         F.ceil(F.approx_count_distinct("haplotype_id") / block).alias("_blocks"),
         F.ceil(F.approx_count_distinct("mutation_id") / chunk).alias("_chunks"),
@@ -41,9 +45,10 @@ def _packed(carriers: DataFrame, by: By, block: int, chunk: int) -> DataFrame:
     packed = placed.groupBy(*by, "haplotype_id", chunk_of, "_blocks").agg(
         F.collect_list("mutation_id").alias("_ids")
     )
-    whole = packed.groupBy(*by, "haplotype_id").agg(F.sum(F.size("_ids").cast("long")).alias("_size"))
     block_of = hash_bucket(["haplotype_id"], F.col("_blocks")).cast("int").alias("_block")
-    return packed.join(whole, [*by, "haplotype_id"]).select("*", block_of)
+    packed = cut_lineage(packed.select("*", block_of))
+    whole = packed.groupBy(*by, "haplotype_id").agg(F.sum(F.size("_ids").cast("long")).alias("_size"))
+    return packed.join(whole, [*by, "haplotype_id"])
 
 
 def _matrix(rows: pd.DataFrame, common: np.ndarray) -> np.ndarray:
@@ -58,14 +63,17 @@ def _matrix(rows: pd.DataFrame, common: np.ndarray) -> np.ndarray:
 
 def pair_set_sizes(carriers: DataFrame, by: By = (), block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Pairs a < b with a shared mutation: size of either set, intersection and union."""
+    return _pairs(_packed(carriers, by, block, chunk), by)
+
+
+def _pairs(packed: DataFrame, by: By) -> DataFrame:
     by = list(by)
-    packed = _packed(carriers, by, block, chunk)
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1))
     tiles = packed.withColumn("_other", other).select(
         *by, "haplotype_id", "_ids", "_size", "_chunk", "_block",
         F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"),
     )
-    group_fields = [carriers.schema[name] for name in by]
+    group_fields = [packed.schema[name] for name in by]
     names = ["haplotype_a", "haplotype_b", "size_a", "size_b", "shared"]
     schema = T.StructType(group_fields + [T.StructField(n, T.LongType()) for n in names])
 
@@ -115,13 +123,12 @@ def pairwise_similarities(
     Only segregating mutations count. A pair that shares nothing adds 0, or 1 if
     both sets are empty; a group with fewer than two haplotypes has similarity 1.
     """
-    carried = segregating_carriers(carriers, haplotypes, by)
-    pairs = pair_set_sizes(carried, by, block, chunk)
-    sums = pairs.groupBy(*by).agg(
+    packed = _packed(segregating_carriers(carriers, haplotypes, by), by, block, chunk)
+    sums = _pairs(packed, by).groupBy(*by).agg(
         *[F.sum(set_similarity("size_a", "size_b", "shared", m)).alias(m) for m in SIMILARITY_METRICS]
     )
     sums = per_group(haplotypes, sums, by, dict.fromkeys(SIMILARITY_METRICS, 0.0))
-    loaded = carried.groupBy(*by).agg(F.count_distinct("haplotype_id").alias("_loaded"))
+    loaded = packed.groupBy(*by).agg(F.count_distinct("haplotype_id").alias("_loaded"))
     loaded = per_group(haplotypes, loaded, by, {"_loaded": 0})
     totals = haplotypes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hap"))
     whole = attach(attach(sums, loaded, by), totals, by)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popstat.functions.scalars import SIMILARITY_METRICS
+from popstat.operators.checks import STATISTICS
 from popstat.operators.results import collect_vector, union_results
 from popstat.operators.similarity import pairwise_similarities
 from popstat.operators.statistics import (
@@ -26,6 +27,10 @@ from popstat.session import cut_lineage
 GENERATION = ["generation"]
 FITNESS = ("mean_fitness", "genetic_load", "realized_masking_bonus")
 DIVERSITY = ("exact_B", "nucleotide_diversity", "expected_heterozygosity")
+PANEL = (
+    "generation BIGINT, statistic STRING, metric STRING, scalar_value DOUBLE, by_type ARRAY<BIGINT>, "
+    "by_chromosome ARRAY<BIGINT>, unfolded_sfs ARRAY<BIGINT>, folded_sfs ARRAY<BIGINT>"
+)
 FROM_SITES = (
     *DIVERSITY, "n_seg", "n_fixed", "genome_words", "mutation_histogram", "site_frequency_spectrum",
 )
@@ -40,6 +45,12 @@ def _scalars(stats: DataFrame, names: Sequence[str], metric: str | None = None)
     return long
 
 
+def _vectors(statistic: str, **bins: DataFrame) -> DataFrame:
+    """Two histograms of one statistic as ordered arrays, one row per generation."""
+    first, second = (collect_vector(df, GENERATION, "bin", "n_sites", name) for name, df in bins.items())
+    return first.join(second, GENERATION).withColumn("statistic", F.lit(statistic))
+
+
 def stat_panel(
     carriers: DataFrame,
     haplotypes: DataFrame,
@@ -51,37 +62,43 @@ def stat_panel(
     """Statistic rows (generation, statistic, metric, scalar_value and four vectors) of the requests.
 
     ``carriers`` and ``haplotypes`` hold one population per generation. ``requests`` is
-    (generation, statistic, metric) from ``expand_schedules``. Only generations that a
-    family of statistics is wanted at are computed for it. All but fitness and similarity
+    (generation, statistic, metric) from ``expand_schedules``; the driver reads which of
+    the twelve statistics occur, and plans only those. A family of statistics is computed
+    for the generations that ask for one of it. All but fitness and similarity
     follow from the copies per site, which are counted once and written. Snapshots are
     taken to keep fixed mutations, so that n_fixed counts from the start.
     """
-    requests = requests.select(*GENERATION, "statistic", F.coalesce("metric", F.lit("jaccard")).alias("metric"))
+    metric = F.coalesce("metric", F.lit("jaccard")).alias("metric")
+    requests = cut_lineage(requests.select(*GENERATION, "statistic", metric))
 
-    def only(names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        wanted = requests.where(F.col("statistic").isin(*names)).select("generation").distinct()
-        return (carriers.join(wanted, GENERATION, "left_semi"), haplotypes.join(wanted, GENERATION, "left_semi"))
-
-    c, h = only(FITNESS)
-    parts = [_scalars(fitness_summary(c, h, mutations, GENERATION), FITNESS)]
-    c, h = only(["pairwise_similarity"])
-    paired = _scalars(pairwise_similarities(c, h, GENERATION), SIMILARITY_METRICS, "each")
-    paired = paired.join(requests, [*GENERATION, "statistic", "metric"])
+    wanted = {row.statistic for row in requests.select("statistic").distinct().limit(len(STATISTICS) + 1).collect()}
 
-    c, h = only(FROM_SITES)
-    sites = cut_lineage(site_counts(c, h, GENERATION))
-    shared = {"by": GENERATION, "sites": sites}
-    parts.append(_scalars(heterozygosity_summary(c, h, mutations, chromosomes, **shared), DIVERSITY))
-    for name, count in (("n_seg", n_seg), ("n_fixed", n_fixed), ("genome_words", genome_words)):
-        parts.append(_scalars(count(c, h, **shared), [name]))
+    def only(names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        at = requests.where(F.col("statistic").isin(*names)).select("generation").distinct()
+        return (carriers.join(at, GENERATION, "left_semi"), haplotypes.join(at, GENERATION, "left_semi"))
 
-    bins = mutation_histograms(c, h, mutations, types, chromosomes, **shared)
-    by_type = collect_vector(bins.where("dimension = 'type'"), GENERATION, "bin", "n_sites", "by_type")
-    chroms = bins.where("dimension = 'chrom'").withColumn("bin", F.col("bin").cast("int"))
-    by_chromosome = collect_vector(chroms, GENERATION, "bin", "n_sites", "by_chromosome")
-    parts.append(by_type.join(by_chromosome, GENERATION).withColumn("statistic", F.lit("mutation_histogram")))
-    unfolded = collect_vector(sfs_unfolded(c, h, **shared), GENERATION, "bin", "n_sites", "unfolded_sfs")
-    folded = collect_vector(sfs_folded(c, h, **shared), GENERATION, "bin", "n_sites", "folded_sfs")
-    parts.append(unfolded.join(folded, GENERATION).withColumn("statistic", F.lit("site_frequency_spectrum")))
-    plain = union_results(parts).join(requests, [*GENERATION, "statistic"])
-    return union_results([plain, paired])
+    parts = []
+    if wanted & set(FITNESS):
+        parts.append(_scalars(fitness_summary(*only(FITNESS), mutations, GENERATION), FITNESS))
+    if wanted & set(FROM_SITES):
+        c, h = only(FROM_SITES)
+        shared = {"by": GENERATION, "sites": cut_lineage(site_counts(c, h, GENERATION))}
+        if wanted & set(DIVERSITY):
+            parts.append(_scalars(heterozygosity_summary(c, h, mutations, chromosomes, **shared), DIVERSITY))
+        for name, count in (("n_seg", n_seg), ("n_fixed", n_fixed), ("genome_words", genome_words)):
+            if name in wanted:
+                parts.append(_scalars(count(c, h, **shared), [name]))
+        if "mutation_histogram" in wanted:
+            bins = mutation_histograms(c, h, mutations, types, chromosomes, **shared)
+            chroms = bins.where("dimension = 'chrom'").withColumn("bin", F.col("bin").cast("int"))
+            parts.append(_vectors("mutation_histogram", by_type=bins.where("dimension = 'type'"), by_chromosome=chroms))
+        if "site_frequency_spectrum" in wanted:
+            folded, unfolded = sfs_folded(c, h, **shared), sfs_unfolded(c, h, **shared)
+            parts.append(_vectors("site_frequency_spectrum", unfolded_sfs=unfolded, folded_sfs=folded))
+    rows = [union_results(parts).join(requests, [*GENERATION, "statistic"])] if parts else []
+    if "pairwise_similarity" in wanted:
+        similar = pairwise_similarities(*only(["pairwise_similarity"]), GENERATION)
+        paired = _scalars(similar, SIMILARITY_METRICS, "each")
+        rows.append(paired.join(requests, [*GENERATION, "statistic", "metric"]))
+    empty = carriers.sparkSession.createDataFrame([], PANEL)
+    return union_results([empty, *rows])
