@@ -133,14 +133,13 @@ def fitness_summary(carriers: DataFrame, haplotypes: DataFrame, mutations: DataF
     _, sites = _dosed_sites(carriers, haplotypes, by)
     factor = _factor(fixed(sites).join(mutations, _on(mutations, by)), haplotypes, by)
     whole = attach(attach(sums, factor, by), haplotype_totals(haplotypes, by), by)
-    idle, people = F.col("n_individuals") - F.col("_carrying"), F.col("n_individuals")
-    mean, mean_hom = (F.col("_w") + idle) / people, (F.col("_hom") + idle) / people
-    scale = F.col("fixed_fitness_factor")
-    return whole.select(
+    idle = "(n_individuals - _carrying)"
+    mean, mean_hom = (f"({total} + {idle}) / n_individuals" for total in ("_w", "_hom"))
+    return whole.selectExpr(
         *by,
-        (mean * scale).alias("mean_fitness"),
-        (F.lit(1.0) - mean * scale).alias("genetic_load"),
-        ((mean - mean_hom) * scale).alias("realized_masking_bonus"),
+        f"{mean} * fixed_fitness_factor AS mean_fitness",
+        f"1 - {mean} * fixed_fitness_factor AS genetic_load",
+        f"({mean} - {mean_hom}) * fixed_fitness_factor AS realized_masking_bonus",
     )
 
 

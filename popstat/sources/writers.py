@@ -66,7 +66,7 @@ def population_lines(
     sites = segregating(site_counts(carriers, haplotypes)).join(mutations, "mutation_id")
     numbered = polymorphism_ids(sites)
     own_type = F.col("dom_kind").isin("distributed", "linear")
-    imported = import_type_ids(sites.where(own_type), n_types).select("type_index", "h", "import_type_id")
+    imported = import_type_ids(numbered.where(own_type), n_types).select("type_index", "h", "import_type_id")
     typed = numbered.join(imported, ["type_index", "h"], "left").withColumn(
         "type_id", F.when(own_type, F.col("import_type_id")).otherwise(F.col("type_index") + 1)
     )

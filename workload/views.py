@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popstat.functions import mutation_effects
+from popstat.functions import SIMILARITY_METRICS, mutation_effects
 from popstat.operators.checks import DISTRIBUTIONS, DOMINANCE_MODELS, STATISTICS
 from popstat.operators.filters import BIOLOGICAL_METRICS
 from popstat.operators.joins import dense_range
@@ -41,9 +41,12 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # ---- populations ----
 
@@ -67,31 +70,21 @@ class Views:
 
     @cached_property
     def mutations(self) -> DataFrame:
-        kind, size = F.col("p_type"), F.col("p_size")
-        types = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")
-        index = F.lit(5)
-        for i, t in enumerate(types):
-            index = F.when(kind == t, i).otherwise(index)
-        model = (
-            F.when(kind == "ECONOMY", "additive").when(kind == "SMALL", "linear")
-            .when(kind == "STANDARD", "distributed").otherwise("fixed")
-        )
-        s = double(-size) / F.lit(100000.0)
-        h = (
-            F.when(kind.isin("ECONOMY", "LARGE"), F.lit(0.5)).when(kind == "PROMO", F.lit(0.25))
-            .when(kind == "MEDIUM", F.lit(0.1))
-            .when(kind == "SMALL", F.lit(0.45) + F.lit(350.0) * size / F.lit(100000.0))
-            .otherwise(double(size % 10) / F.lit(10.0))
-        )
-        base = self.table("part").select(
-            F.col("p_partkey").alias("mutation_id"),
-            (F.substring("p_brand", 7, 9).cast("int") % 4).alias("chrom"),
-            (F.col("p_partkey") - F.col("p_partkey") % 2).alias("pos"),
-            kind.alias("type"), index.alias("type_index"), model.alias("dom_kind"), s.alias("s"), h.alias("h"),
-            size.cast("long").alias("origin_generation"),
+        base = self.table("part").selectExpr(
+            "p_partkey AS mutation_id", "CAST(substring(p_brand, 7) AS INT) % 4 AS chrom",
+            "p_partkey - p_partkey % 2 AS pos", "p_type AS type",
+            "CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 "
+            "WHEN 'SMALL' THEN 4 ELSE 5 END AS type_index",
+            "CASE p_type WHEN 'ECONOMY' THEN 'additive' WHEN 'SMALL' THEN 'linear' "
+            "WHEN 'STANDARD' THEN 'distributed' ELSE 'fixed' END AS dom_kind",
+            "p_size / -100000.0D AS s",
+            "CASE p_type WHEN 'ECONOMY' THEN 0.5D WHEN 'LARGE' THEN 0.5D WHEN 'PROMO' THEN 0.25D "
+            "WHEN 'MEDIUM' THEN 0.1D WHEN 'SMALL' THEN 0.45D + 350D * p_size / 100000D "
+            "ELSE (p_size % 10) / 10D END AS h",
+            "CAST(p_size AS BIGINT) AS origin_generation",
         )
         effects = mutation_effects("s", "h", F.col("dom_kind") == "additive")
-        return base.withColumn("_e", effects).select(
+        return base.select("*", effects.alias("_e")).selectExpr(
             *base.columns, "_e.hom_factor", "_e.het_factor", "_e.masking"
         )
 
@@ -172,20 +165,17 @@ class Views:
 
     @cached_property
     def runs(self) -> DataFrame:
-        event, builder = F.col("event_id"), nth(BUILDERS, F.col("user_id") % 3)
-        quarter = F.floor(event / 4)
-        threads = F.pow(F.lit(2.0), quarter % 4).cast("long")
-        is_ref = event % 4 == 0
-        return self.table("events").select(
-            "event_id", F.col("event_type").alias("case_label"),
-            F.when(is_ref, "ref").otherwise("cand").alias("simulator"),
-            builder.alias("alias_builder"), threads.alias("threads"),
-            F.when(is_ref, F.lit("ref")).otherwise(F.concat_ws("@T", builder, threads.cast("string"))).alias("variant"),
-            nth(METRICS, F.floor(event / 16) % 10).alias("metric"),
-            "value", (F.col("value") + 1).alias("ms_per_gen"), F.col("value").alias("total_sec"),
-            F.when(event % 5 == 0, "").when(event % 7 == 0, "n/a").otherwise((event * 3).cast("string"))
-            .alias("peak_rss_kb"),
-            F.when(F.col("event_type") == "error", "").otherwise((event * 5).cast("string")).alias("peak_vmsize_kb"),
+        threads = "CAST(power(2, (event_id div 4) % 4) AS BIGINT)"
+        builder = f"element_at(array{BUILDERS}, CAST(user_id % 3 AS INT) + 1)"
+        return self.table("events").selectExpr(
+            "event_id", "event_type AS case_label", "if(event_id % 4 = 0, 'ref', 'cand') AS simulator",
+            f"{builder} AS alias_builder", f"{threads} AS threads",
+            f"if(event_id % 4 = 0, 'ref', concat({builder}, '@T', {threads})) AS variant",
+            f"element_at(array{METRICS}, CAST((event_id div 16) % 10 AS INT) + 1) AS metric",
+            "value", "value + 1 AS ms_per_gen", "value AS total_sec",
+            "CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'n/a' "
+            "ELSE CAST(event_id * 3 AS STRING) END AS peak_rss_kb",
+            "if(event_type = 'error', '', CAST(event_id * 5 AS STRING)) AS peak_vmsize_kb",
         )
 
     @cached_property
@@ -204,9 +194,10 @@ class Views:
 
     @cached_property
     def phases(self) -> DataFrame:
-        return self.runs.select(
-            "case_label", "alias_builder", "threads", nth(PHASES, F.col("event_id") % 17).alias("phase"), "total_sec",
-            (F.col("total_sec") / 100).alias("avg_sec_per_gen"), (F.col("total_sec") / 5).alias("pct_total"),
+        return self.runs.selectExpr(
+            "case_label", "alias_builder", "threads",
+            f"element_at(array{PHASES}, CAST(event_id % 17 AS INT) + 1) AS phase",
+            "total_sec", "total_sec / 100 AS avg_sec_per_gen", "total_sec / 5 AS pct_total",
         )
 
     @cached_property
@@ -239,27 +230,26 @@ class Views:
 
     @cached_property
     def schedules(self) -> DataFrame:
-        key, size = F.col("p_partkey"), F.col("p_size").cast("long")
-        return self.table("part").select(
-            key.alias("schedule_id"), F.col("p_brand").alias("scenario"), nth(STATISTICS, key % 12).alias("stat"),
-            nth(("jaccard", "dice", "overlap"), F.floor(key / 12) % 3).alias("metric"), nth(KINDS, key % 9).alias("kind"),
-            (size % 7).alias("step"), (size - 2).alias("start"), (size + key % 20 - 5).alias("end"),
-            F.when(size % 11 == 0, F.array().cast("array<bigint>")).otherwise(F.array(size, size * 2, size))
-            .alias("generations"),
+        return self.table("part").selectExpr(
+            "p_partkey AS schedule_id", "p_brand AS scenario",
+            f"element_at(array{STATISTICS}, CAST(p_partkey % 12 AS INT) + 1) AS stat",
+            f"element_at(array{SIMILARITY_METRICS}, CAST((p_partkey div 12) % 3 AS INT) + 1) AS metric",
+            f"element_at(array{KINDS}, CAST(p_partkey % 9 AS INT) + 1) AS kind",
+            "CAST(p_size % 7 AS BIGINT) AS step", "CAST(p_size - 2 AS BIGINT) AS start",
+            "p_size + p_partkey % 20 - 5 AS end",
+            "CAST(if(p_size % 11 = 0, array(), array(p_size, p_size * 2, p_size)) AS ARRAY<BIGINT>) AS generations",
         )
 
     @cached_property
     def mutation_types(self) -> DataFrame:
-        key, size = F.col("p_partkey"), F.col("p_size")
-        return self.table("part").select(
-            key.alias("type_id"), nth(DISTRIBUTIONS, key % 6).alias("sel_kind"),
-            (double(size - 10) / 100).alias("sel_p1"), (double(size % 7 - 1) / 10).alias("sel_p2"),
-            F.when(size % 2 == 0, F.lit(-0.3)).alias("sel_min"),
-            (double(size % 5 - 1) / 10 - F.lit(0.15)).alias("sel_max"),
-            nth(DOMINANCE_MODELS, key % 4).alias("dom_kind"), (double(size) / 100).alias("dom_p1"),
-            (double(size - 25) / 10).alias("dom_p2"), F.lit(0.1).alias("dom_p3"),
-            (double(size % 4) / 4).alias("dom_p4"), (double(size % 3 - 1) / 10).alias("s"),
-            (double(size) / 50).alias("draw"),
+        return self.table("part").selectExpr(
+            "p_partkey AS type_id",
+            f"element_at(array{DISTRIBUTIONS}, CAST(p_partkey % 6 AS INT) + 1) AS sel_kind",
+            "(p_size - 10) / 100D AS sel_p1", "(p_size % 7 - 1) / 10D AS sel_p2",
+            "if(p_size % 2 = 0, -0.3D, NULL) AS sel_min", "(p_size % 5 - 1) / 10D - 0.15D AS sel_max",
+            f"element_at(array{DOMINANCE_MODELS}, CAST(p_partkey % 4 AS INT) + 1) AS dom_kind",
+            "p_size / 100D AS dom_p1", "(p_size - 25) / 10D AS dom_p2", "0.1D AS dom_p3",
+            "(p_size % 4) / 4D AS dom_p4", "(p_size % 3 - 1) / 10D AS s", "p_size / 50D AS draw",
         )
 
     @cached_property
