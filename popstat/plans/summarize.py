@@ -34,6 +34,18 @@ def _own_variant(df: DataFrame, reference: str) -> DataFrame:
     return df.withColumn("variant", variant)
 
 
+def _vector_distances(groups: DataFrame, shares: DataFrame, reference: str) -> DataFrame:
+    """Distance of each candidate's mean vector from the reference's; two empty vectors are 0 apart."""
+    on = ["case_label", "statistic"]
+    is_ref = F.col("simulator") == reference
+    compared = groups.where(~is_ref).select(*on, "variant").distinct()
+    compared = compared.join(groups.where(is_ref).select(*on).distinct(), on, "left_semi")
+    candidate = shares.where(~is_ref).join(compared, [*on, "variant"], "left_semi")
+    beside = compared.join(shares.where(is_ref).select(*on, "pos", "share"), on)
+    distance = distribution_distance(candidate, beside, [*on, "variant"])
+    return compared.join(distance, [*on, "variant"], "left").na.fill(0.0, ["tvd", "max_bin_abs_diff"])
+
+
 def summarize_tables(tables: dict[str, DataFrame], reference: str) -> dict[str, DataFrame]:
     """Summary tables of the six raw tables (keys as in ``RESULT_TABLES``)."""
     scalars = _own_variant(tables["accuracy_scalars"], reference)
@@ -42,17 +54,15 @@ def summarize_tables(tables: dict[str, DataFrame], reference: str) -> dict[str,
 
     vectors = _own_variant(tables["accuracy_vectors"], reference)
     keys = [*VARIANT, "statistic"]
+    groups = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reps"))
     means = mean_vector(vectors.withColumn("_v", parse_int_vector("values_csv")), keys, "_v")
     totals = means.groupBy(*keys).agg(F.sum("mean_value").alias("mean_total"))
-    vector_summary = collect_vector(means, keys, "pos", "mean_value", "mean_values").join(totals, keys)
-    shares = normalized_distribution(means, keys, "mean_value")
-    on = ["case_label", "statistic"]
-    ref = shares.where(F.col("simulator") == reference).select(*on, "pos", "share")
-    candidate = shares.where(F.col("simulator") != reference)
-    compared = candidate.select(*on, "variant").distinct()
-    beside = compared.join(ref, on).select(*on, "variant", "pos", "share")
-    known = candidate.join(ref.select(*on).distinct(), on, "left_semi")
-    distances = distribution_distance(known, beside, [*on, "variant"])
+    arrays = collect_vector(means, keys, "pos", "mean_value", "mean_values")
+    vector_summary = groups.join(arrays, keys, "left").join(totals, keys, "left").select(
+        *keys, "n_reps", F.coalesce("mean_values", F.array().cast("array<double>")).alias("mean_values"),
+        F.coalesce("mean_total", F.lit(0.0)).alias("mean_total"),
+    )
+    distances = _vector_distances(groups, normalized_distribution(means, keys, "mean_value"), reference)
 
     speed = speed_summary(tables["speed_runs"], [*RUN[:3], "simulator", *RUN[3:]])
     scaling = scaling_efficiency(speed_summary(tables["scaling_runs"], RUN))

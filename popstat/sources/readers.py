@@ -19,7 +19,7 @@ from popstat.sources.schemas import MANIFEST, RESULT_TABLES, STAT_ROW_TEXT, VECT
 TOTAL_WALL = r"Total wall-clock:\s*([0-9.]+)\s+sec"
 AVERAGE_SEC = r"Avg sec/gen:\s*([0-9.]+)"
 PHASE_LINE = r"^\s+([a-zA-Z0-9_]+)\s+total=\s*([0-9.]+)\s+avg/gen=\s*([0-9.]+)\s+pct=\s*([0-9.]+)%$"
-RUN_FILE = r"([^/]+)/([^/]+)/([^/_]+)_(?:(.+)_T([0-9]+)_)?seed([0-9]+)\.(?:stdout|stderr)$"
+RUN_FILE = r"([^/]+)/([^/]+)/([^/_]+)_(?:([^/]+)_T([0-9]+)_)?seed([0-9]+)\.(?:stdout|stderr)$"
 
 
 def _text_or_null(name: str) -> Column:
