@@ -9,10 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popstat.operators.groups import By, attach
+from popstat.operators.groups import By, attach, dense_range
+
+
+def _in_bins(intervals: DataFrame, low: Column, high: Column) -> DataFrame:
+    """A row per interval and bin it touches, from ``low`` to ``high``."""
+    spread = intervals.withColumn("_low", low).withColumn("_more", high - low)
+    numbered = dense_range(spread, "_step", "_more")
+    return numbered.withColumn("_bin", F.col("_low") + F.col("_step")).drop("_low", "_more", "_step")
 
 
 def interval_join(
@@ -33,8 +40,8 @@ def interval_join(
         F.greatest(F.lit(1.0), F.ceil(F.avg(F.col(end) - F.col(start))).cast("double"))
     ).scalar()
     p = points.withColumn("_bin", F.floor(F.col(position) / width)).alias("p")
-    touched = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
-    i = intervals.where(F.col(end) > F.col(start)).withColumn("_bin", F.explode(touched)).alias("i")
+    low, high = F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)
+    i = _in_bins(intervals.where(F.col(end) > F.col(start)), low, high).alias("i")
     match = (F.col("p._bin") == F.col("i._bin")) & (F.col(f"p.{position}") >= F.col(f"i.{start}"))
     match = match & (F.col(f"p.{position}") < F.col(f"i.{end}"))
     for name in on:
@@ -63,7 +70,7 @@ def cdf_lookup(draws: DataFrame, cdf: DataFrame, u: str = "u", by: By = ()) -> D
     low = F.when(is_first, F.lit(0).cast("long")).otherwise(bin_of(F.col("prev_cdf")))
     high = F.when(is_last, F.col("_n") - 1).otherwise(bin_of(F.col("cdf")))
     c = c.withColumn("_first", is_first).withColumn("_last", is_last)
-    c = c.withColumn("_bin", F.explode(F.sequence(low, high))).drop("_total", "_n").alias("c")
+    c = _in_bins(c, low, high).drop("_total", "_n").alias("c")
     d = attach(draws, totals, by).withColumn("_mass", F.col(u) * F.col("_total"))
     d = d.withColumn("_bin", bin_of(F.col("_mass"))).alias("d")
     match = F.col("d._bin") == F.col("c._bin")

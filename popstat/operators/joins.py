@@ -113,11 +113,3 @@ def zero_fill(df: DataFrame, universe: DataFrame, on: Sequence[str], values: Seq
     for name in values:
         joined = joined.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
     return joined
-
-
-def dense_range(df: DataFrame, name: str, last: str, block: int = 65536) -> DataFrame:
-    """One row per integer 0..last of each row, made in blocks so no row holds a huge array."""
-    top = F.col(last)
-    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(top / block))))
-    low = F.col("_block") * F.lit(block)
-    return blocks.withColumn(name, F.explode(F.sequence(low, F.least(top, low + F.lit(block - 1))))).drop("_block")

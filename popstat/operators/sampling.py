@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from popstat.functions.scalars import clamp, dominance_coefficient, mutation_effects
-from popstat.operators.groups import By, attach
+from popstat.operators.groups import By, attach, dense_range
 from popstat.operators.intervals import cdf_lookup
 from popstat.operators.windows import cumulative_cdf
 
@@ -165,7 +165,8 @@ def poisson_counts(df: DataFrame, rate: str, key: str, seed: int, name: str = "n
 
 def expand_counts(df: DataFrame, count: str, name: str = "event_index") -> DataFrame:
     """As many rows as the count says, numbered from 1."""
-    return df.where(F.col(count) > 0).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))))
+    some = df.where(F.col(count) > 0).withColumn("_last", F.col(count) - 1)
+    return dense_range(some, name, "_last").drop("_last").withColumn(name, F.col(name) + 1)
 
 
 def synthesize_mutations(

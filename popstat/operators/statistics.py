@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from popstat.functions.scalars import heterozygosity, individual_of, minor_allele_count
 from popstat.operators.filters import fixed, segregating
-from popstat.operators.groups import By, attach, per_group
-from popstat.operators.joins import dense_range, zero_fill, zygosity
+from popstat.operators.groups import By, attach, dense_range, per_group
+from popstat.operators.joins import zero_fill, zygosity
 
 
 def _on(mutations: DataFrame, by: By) -> list[str]:

@@ -71,7 +71,8 @@ def stat_panel(
     metric = F.coalesce("metric", F.lit("jaccard")).alias("metric")
     requests = cut_lineage(requests.select(*GENERATION, "statistic", metric))
 
-    wanted = {row.statistic for row in requests.select("statistic").distinct().limit(len(STATISTICS) + 1).collect()}
+    known = requests.where(F.col("statistic").isin(*STATISTICS))
+    wanted = {row.statistic for row in known.select("statistic").distinct().collect()}
 
     def only(names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         at = requests.where(F.col("statistic").isin(*names)).select("generation").distinct()

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from popstat.operators.groups import dense_range
 from popstat.operators.intervals import cdf_lookup, interval_join
-from popstat.operators.joins import dense_range, mosaic
+from popstat.operators.joins import mosaic
 from popstat.operators.ordered import previous_value, row_index, running_totals
 from popstat.operators.sampling import weighted_pick
 from popstat.operators.windows import coverage_violations, cumulative_cdf, cumulative_fixed, emission_deltas

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from popstat.functions import SIMILARITY_METRICS, mutation_effects
 from popstat.operators.checks import DISTRIBUTIONS, DOMINANCE_MODELS, STATISTICS
 from popstat.operators.filters import BIOLOGICAL_METRICS
-from popstat.operators.joins import dense_range
+from popstat.operators.groups import dense_range
 from popstat.operators.results import normalized_distribution, replicate_summary, speed_summary
 from popstat.operators.schedules import KINDS
 from popstat.operators.statistics import site_counts
