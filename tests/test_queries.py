@@ -11,7 +11,7 @@ from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from compare import check, connect  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-NO_SQL = {"draw", "poisson_counts", "synthesize_mutations", "stat_panel_full"}
+NO_SQL = {"draw", "poisson_counts", "synthesize_mutations"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def db():
     return connect(FOLDER)
 
 
-def test_only_random_draws_and_the_full_panel_have_no_sql():
+def test_only_random_draws_have_no_sql():
     assert set(queries()) - set(oracle_sql()) == NO_SQL
     assert set(oracle_sql()) <= set(queries())
 

@@ -360,12 +360,41 @@ def _(v):
    avg(2 * (copies / CAST(n_hap AS DOUBLE)) * (1 - copies / CAST(n_hap AS DOUBLE))) FILTER (copies < n_hap)
    FROM sites_g GROUP BY 1) x ON r.generation = x.generation AND r.statistic = x.statistic""")
 def _(v):
-    """The scalar rows that SQL can check; `stat_panel_full` has them all."""
+    """Scalar rows of four statistics."""
     panel = _panel(v, ["n_seg", "n_fixed", "genome_words", "expected_heterozygosity"])
     return panel.select("generation", "statistic", r6("scalar_value"))
 
 
-@query("stat_panel_full")
+def _panel_pair(metric: str) -> str:
+    formula = f"CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN na = 0 OR nb = 0 THEN 0 ELSE {_METRIC[metric]} END"
+    return f"SELECT generation, 'pairwise_similarity', '{metric}', avg({formula}), NULL, NULL, NULL, NULL FROM pairs_g GROUP BY 1"
+
+
+_HET_G = "2 * (s.copies / CAST(s.n_hap AS DOUBLE)) * (1 - s.copies / CAST(s.n_hap AS DOUBLE))"
+_FULL = f"""SELECT DISTINCT r.generation, r.statistic, r.metric, round(x.value, 6) AS scalar_value, x.by_type,
+  x.by_chromosome, x.unfolded_sfs, x.folded_sfs FROM requests r JOIN (
+SELECT generation, 'mean_fitness' AS statistic, NULL AS metric, mean_fitness AS value, NULL AS by_type,
+  NULL AS by_chromosome, NULL AS unfolded_sfs, NULL AS folded_sfs FROM fitness_g
+UNION ALL SELECT generation, 'genetic_load', NULL, 1 - mean_fitness, NULL, NULL, NULL, NULL FROM fitness_g
+UNION ALL SELECT generation, 'realized_masking_bonus', NULL, realized_masking_bonus, NULL, NULL, NULL, NULL FROM fitness_g
+UNION ALL SELECT s.generation, 'exact_B', NULL, sum(m.masking * {_HET_G}), NULL, NULL, NULL, NULL FROM segregating_g s
+  JOIN mutations m ON m.mutation_id = s.mutation_id GROUP BY 1
+UNION ALL SELECT s.generation, 'nucleotide_diversity', NULL, sum({_HET_G}) / (SELECT sum(length) FROM chromosomes),
+  NULL, NULL, NULL, NULL FROM segregating_g s GROUP BY 1
+UNION ALL SELECT s.generation, 'expected_heterozygosity', NULL, avg({_HET_G}), NULL, NULL, NULL, NULL
+  FROM segregating_g s GROUP BY 1
+UNION ALL SELECT generation, 'n_seg', NULL, count(*) FILTER (copies < n_hap), NULL, NULL, NULL, NULL FROM sites_g GROUP BY 1
+UNION ALL SELECT generation, 'n_fixed', NULL, count(*) FILTER (copies = n_hap), NULL, NULL, NULL, NULL FROM sites_g GROUP BY 1
+UNION ALL SELECT generation, 'genome_words', NULL, sum(copies), NULL, NULL, NULL, NULL FROM sites_g GROUP BY 1
+UNION ALL {_panel_pair("jaccard")} UNION ALL {_panel_pair("dice")} UNION ALL {_panel_pair("overlap")}
+UNION ALL SELECT t.generation, 'mutation_histogram', NULL, NULL, t.vector, c.vector, NULL, NULL FROM arrays_g t
+  JOIN arrays_g c ON c.generation = t.generation AND c.dimension = 'chrom' WHERE t.dimension = 'type'
+UNION ALL SELECT u.generation, 'site_frequency_spectrum', NULL, NULL, NULL, NULL, u.vector, f.vector FROM arrays_g u
+  JOIN arrays_g f ON f.generation = u.generation AND f.dimension = 'folded' WHERE u.dimension = 'unfolded'
+) x ON x.generation = r.generation AND x.statistic = r.statistic AND (x.metric IS NULL OR x.metric = r.metric)"""
+
+
+@query("stat_panel_full", _FULL)
 def _(v):
     panel = _panel(v)
     return panel.select("generation", "statistic", "metric", r6("scalar_value"),

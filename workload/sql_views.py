@@ -87,6 +87,46 @@ SQL_VIEWS = {
     "sites_g": """SELECT c.generation, c.mutation_id, c.copies, t.n_hap FROM
         (SELECT generation, mutation_id, count(*) AS copies FROM carriers_g GROUP BY 1, 2) c
         JOIN (SELECT generation, count(*) AS n_hap FROM haplotypes_g GROUP BY 1) t ON c.generation = t.generation""",
+    "segregating_g": "SELECT * FROM sites_g WHERE copies < n_hap",
+    "products_g": """SELECT d.generation, d.individual_id,
+        product(CASE WHEN d.dose > 1 THEN m.hom_factor ELSE m.het_factor END) AS fitness,
+        product(m.hom_factor) AS homozygous_fitness FROM
+        (SELECT generation, haplotype_id // 2 AS individual_id, mutation_id, count(*) AS dose FROM carriers_g
+         GROUP BY 1, 2, 3) d
+        JOIN segregating_g g ON d.generation = g.generation AND d.mutation_id = g.mutation_id
+        JOIN mutations m ON d.mutation_id = m.mutation_id GROUP BY 1, 2""",
+    "fitness_g": """SELECT i.generation, avg(coalesce(p.fitness, 1)) * max(coalesce(f.factor, 1)) AS mean_fitness,
+        (avg(coalesce(p.fitness, 1)) - avg(coalesce(p.homozygous_fitness, 1))) * max(coalesce(f.factor, 1))
+        AS realized_masking_bonus FROM (SELECT DISTINCT generation, haplotype_id // 2 AS individual_id FROM haplotypes_g) i
+        LEFT JOIN products_g p ON p.generation = i.generation AND p.individual_id = i.individual_id
+        LEFT JOIN (SELECT s.generation, product(m.hom_factor) AS factor FROM sites_g s
+          JOIN mutations m ON m.mutation_id = s.mutation_id WHERE s.copies = s.n_hap GROUP BY 1) f
+          ON f.generation = i.generation GROUP BY 1""",
+    "sets_g": """SELECT c.generation, c.haplotype_id, c.mutation_id FROM carriers_g c
+        JOIN segregating_g s ON s.generation = c.generation AND s.mutation_id = c.mutation_id""",
+    "sizes_g": """SELECT h.generation, h.haplotype_id, count(s.mutation_id) AS n FROM haplotypes_g h
+        LEFT JOIN sets_g s ON s.generation = h.generation AND s.haplotype_id = h.haplotype_id GROUP BY 1, 2""",
+    "pairs_g": """SELECT a.generation, a.n AS na, b.n AS nb, coalesce(s.i, 0) AS i FROM sizes_g a
+        JOIN sizes_g b ON a.generation = b.generation AND a.haplotype_id < b.haplotype_id
+        LEFT JOIN (SELECT x.generation, x.haplotype_id AS a, y.haplotype_id AS b, count(*) AS i FROM sets_g x
+          JOIN sets_g y ON x.generation = y.generation AND x.mutation_id = y.mutation_id
+            AND x.haplotype_id < y.haplotype_id GROUP BY 1, 2, 3) s
+        ON s.generation = a.generation AND s.a = a.haplotype_id AND s.b = b.haplotype_id""",
+    "bins_g": """SELECT generation, 'unfolded' AS dimension, bin, lpad(CAST(bin AS VARCHAR), 9, '0') AS place FROM
+          (SELECT generation, unnest(range(count(*) + 1)) AS bin FROM haplotypes_g GROUP BY 1)
+        UNION ALL SELECT generation, 'folded', bin, lpad(CAST(bin AS VARCHAR), 9, '0') FROM
+          (SELECT generation, unnest(range(count(*) // 2 + 1)) AS bin FROM haplotypes_g GROUP BY 1)
+        UNION ALL SELECT generation, 'chrom', chrom, CAST(chrom AS VARCHAR) FROM
+          (SELECT DISTINCT generation FROM haplotypes_g) JOIN chromosomes ON true
+        UNION ALL SELECT generation, 'type', type_index, type FROM (SELECT DISTINCT generation FROM haplotypes_g)
+          JOIN (SELECT DISTINCT type, type_index FROM mutations_raw) ON true""",
+    "binned_g": """SELECT s.generation, d.dimension, CASE d.dimension WHEN 'unfolded' THEN s.copies
+          WHEN 'folded' THEN least(s.copies, s.n_hap - s.copies) WHEN 'chrom' THEN m.chrom ELSE m.type_index END AS bin,
+        count(*) AS n FROM segregating_g s JOIN mutations_raw m ON m.mutation_id = s.mutation_id
+        JOIN (VALUES ('unfolded'), ('folded'), ('chrom'), ('type')) d(dimension) ON true GROUP BY 1, 2, 3""",
+    "arrays_g": """SELECT b.generation, b.dimension,
+        string_agg(CAST(coalesce(n.n, 0) AS VARCHAR), ',' ORDER BY b.place) AS vector FROM bins_g b
+        LEFT JOIN binned_g n ON n.generation = b.generation AND n.dimension = b.dimension AND n.bin = b.bin GROUP BY 1, 2""",
     # carriers of a year and all years before; 2N = 16 so that mutations become fixed
     "accumulated": """SELECT mutation_id, haplotype_id, min(generation) AS since FROM
         (SELECT DISTINCT CAST(year(l_shipdate) - 1994 AS BIGINT) AS generation, l_suppkey % 16 AS haplotype_id,
