@@ -77,15 +77,17 @@ def _(v):
     return rd.wide_to_long(wide).select("generation", "statistic", r6("value"))
 
 
-@query("read_tagged_metrics", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'scalar' ELSE 'vector' END AS kind,
-event_type AS name, CASE event_id % 4 WHEN 0 THEN round(value, 6) END AS scalar_value,
-CASE event_id % 4 WHEN 1 THEN concat(user_id, ',', event_id) END AS vector FROM events WHERE event_id % 4 < 2""")
+@query("read_tagged_metrics", """SELECT event_id, CASE event_type WHEN 'click' THEN 'scalar' ELSE 'vector' END AS kind,
+event_type AS name, CASE event_type WHEN 'click' THEN round(value, 6) END AS scalar_value,
+CASE event_type WHEN 'view' THEN concat(user_id, ',', event_id) END AS vector FROM events
+WHERE event_type IN ('click', 'view')""")
 def _(v):
-    tag = F.col("event_id") % 4
+    """Clicks are written as scalars, views as vectors, errors and the rest as lines to drop."""
+    kind = F.col("event_type")
     text = (
-        F.when(tag == 0, F.concat(F.lit("scalar\t"), "event_type", F.lit("\t"), F.col("value").cast("string")))
-        .when(tag == 1, F.concat(F.lit("  vector\t"), "event_type", F.lit("\t"), F.concat_ws(",", "user_id", "event_id")))
-        .when(tag == 2, F.concat(F.lit("note\t"), "event_type", F.lit("\ttext\twith tabs")))
+        F.when(kind == "click", F.concat(F.lit("scalar\t"), kind, F.lit("\t"), F.col("value").cast("string")))
+        .when(kind == "view", F.concat(F.lit("  vector\t"), kind, F.lit("\t"), F.concat_ws(",", "user_id", "event_id")))
+        .when(kind == "error", F.concat(F.lit("note\t"), kind, F.lit("\ttext\twith tabs")))
         .otherwise(F.lit("scalar without tabs"))
     )
     lines = v.table("events").select("event_id", text.alias("value"))
