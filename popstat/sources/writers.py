@@ -91,18 +91,21 @@ def population_lines(
     every = haplotypes.select("haplotype_id").withColumn("chrom", F.explode(chroms))
     person = F.concat(F.lit("p1:i"), individual_of("haplotype_id").cast("string"))
     haplotype_lines = every.join(lists, ["chrom", "haplotype_id"], "left").select(
-        "chrom", F.lit(3).alias("section"), F.col("haplotype_id").alias("number"), _line(person, F.col("_ids")).alias("line")
+        "chrom", F.lit(3).alias("section"), F.col("haplotype_id").alias("number"),
+        _line(person, F.col("_ids")).alias("line"),
+    )
+    title = lambda section, number, line: F.struct(
+        F.lit(section).alias("section"), F.lit(number).cast("long").alias("number"), line.alias("line")
+    )
+    chromosome = _line(
+        "Chromosome:", F.col("chrom").cast("string"), "A", (F.col("chrom") + 1).cast("string"),
+        (F.col("length") - 1).cast("string"), F.format_string('"%d"', F.col("chrom") + 1),
     )
     titles = chromosomes.select(
         "chrom",
         F.inline(
             F.array(
-                F.struct(F.lit(0).alias("section"), F.lit(0).cast("long").alias("number"), _line(
-                    "Chromosome:", F.col("chrom").cast("string"), "A", (F.col("chrom") + 1).cast("string"),
-                    (F.col("length") - 1).cast("string"), F.format_string('"%d"', F.col("chrom") + 1),
-                ).alias("line")),
-                F.struct(F.lit(0).alias("section"), F.lit(1).cast("long").alias("number"), F.lit("Mutations:").alias("line")),
-                F.struct(F.lit(2).alias("section"), F.lit(0).cast("long").alias("number"), F.lit("Haplosomes:").alias("line")),
+                title(0, 0, chromosome), title(0, 1, F.lit("Mutations:")), title(2, 0, F.lit("Haplosomes:")),
             )
         ),
     )

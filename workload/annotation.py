@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from popstat import functions as fn
 from popstat.operators import joins as j
 from popstat.operators import windows as w
+from popstat.operators.results import locus_order
 from popstat.operators.statistics import genome_totals
 from workload.registry import big, query, r6
-from workload.views import Views
 
 
 @query("pack_locus", """SELECT mutation_id, CAST(chrom AS BIGINT) * 4294967296 + pos AS locus,
@@ -190,8 +190,8 @@ def _(v):
 WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND
   substring(o_orderpriority, 1, 1) = CAST(c_nationkey % 5 + 1 AS VARCHAR))""")
 def _(v):
-    refs = v.table("orders").select(F.col("o_custkey").alias("scenario"), F.col("o_orderpriority").alias("type")).distinct()
-    refs = refs.withColumn("digit", F.substring("type", 1, 1))
+    orders = v.table("orders").selectExpr("o_custkey AS scenario", "o_orderpriority AS type")
+    refs = orders.distinct().withColumn("digit", F.substring("type", 1, 1))
     declared = v.table("customer").select(
         F.col("c_custkey").alias("scenario"), (F.col("c_nationkey") % 5 + 1).cast("string").alias("digit")
     )
@@ -218,8 +218,8 @@ def _(v):
     return cdf.select("population", "item", r6("cdf"), r6("prev_cdf"), "position")
 
 
-@query("emission_deltas", """SELECT event_id, round(epoch(ts) - coalesce(lag(epoch(ts)) OVER w, epoch(ts)), 6) AS dt_sec,
-round(epoch(ts) - first_value(epoch(ts)) OVER w, 6) AS cumul_sec
+@query("emission_deltas", """SELECT event_id, round(epoch(ts) - coalesce(lag(epoch(ts)) OVER w, epoch(ts)), 6)
+AS dt_sec, round(epoch(ts) - first_value(epoch(ts)) OVER w, 6) AS cumul_sec
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def _(v):
     events = v.table("events").select("user_id", "event_id", "ts")
@@ -257,6 +257,4 @@ def _(v):
 
 @query("locus_order", "SELECT mutation_id, chrom, pos FROM mutations_raw ORDER BY chrom, pos, mutation_id")
 def _(v):
-    from popstat.operators.results import locus_order
-
     return locus_order(v.mutations.select("mutation_id", "chrom", "pos"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from popstat.operators.checks import STATISTICS
 from popstat.session import scratch_path
 from popstat.sources import readers as rd
 from popstat.sources import writers as wr
@@ -12,7 +14,6 @@ from workload.registry import big, query, r6
 from workload.sql_views import BUILDERS as SQL_BUILDERS
 from workload.sql_views import STATS
 from workload.views import BUILDERS, Views, nth
-from popstat.operators.checks import STATISTICS
 
 _KIND = f"{STATS}[event_id % 12 + 1]"
 
@@ -205,16 +206,10 @@ def _(v):
         v.runs.select("case_label", "simulator", "threads", "total_sec"),
         v.phases.select("case_label", "threads", "phase", "total_sec"),
     ], path)
-    schema = _schema("case_label STRING, simulator STRING, threads BIGINT, phase STRING, total_sec DOUBLE")
+    schema = T.StructType.fromDDL("case_label STRING, simulator STRING, threads BIGINT, phase STRING, total_sec DOUBLE")
     return rd.read_result_table(v.spark, path, schema).withColumn("total_sec", F.round("total_sec", 6))
 
 
-def _schema(ddl: str):
-    from pyspark.sql import types as T
-
-    return T.StructType.fromDDL(ddl)
-
-
 _NUMBERED = """(SELECT m.mutation_id, m.chrom, m.pos, m.type_index, m.dom_kind, m.h, m.s * 100 AS s, m.origin_generation,
   k.copies, row_number() OVER (PARTITION BY m.chrom ORDER BY m.pos, m.mutation_id) - 1 AS dense
   FROM mutations_raw m JOIN (SELECT mutation_id, count(*) AS copies FROM carriers GROUP BY 1

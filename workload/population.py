@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from popstat.operators import statistics as st
 from popstat.operators.filters import classify, fixed, segregating
-from popstat.operators.joins import attach_mutations, distinct_carried, merge_sources, zygosity
+from popstat.operators.joins import attach_mutations, distinct_carried, merge_sources, zero_fill, zygosity
 from popstat.operators.schedules import expand_schedules
 from popstat.operators.similarity import (
     haplotype_overlaps,
@@ -18,7 +18,7 @@ from popstat.operators.similarity import (
 )
 from popstat.operators.windows import cumulative_fixed
 from popstat.plans.panel import stat_panel
-from workload.registry import big, query, r6
+from workload.registry import query, r6
 from workload.views import POPULATION, Views
 
 P = POPULATION
@@ -223,8 +223,6 @@ def _(v):
 @query("zero_fill", """SELECT s.haplotype_id, count(c.mutation_id) AS n_mutations FROM haplotypes s
 LEFT JOIN carriers c ON c.haplotype_id = s.haplotype_id GROUP BY 1""")
 def _(v):
-    from popstat.operators.joins import zero_fill
-
     carried = v.carriers.groupBy("haplotype_id").agg(F.count(F.lit(1)).alias("n_mutations"))
     return zero_fill(carried, v.haplotypes.select("haplotype_id"), ["haplotype_id"], ["n_mutations"])
 
@@ -367,7 +365,8 @@ def _(v):
 
 def _panel_pair(metric: str) -> str:
     formula = f"CASE WHEN na = 0 AND nb = 0 THEN 1 WHEN na = 0 OR nb = 0 THEN 0 ELSE {_METRIC[metric]} END"
-    return f"SELECT generation, 'pairwise_similarity', '{metric}', avg({formula}), NULL, NULL, NULL, NULL FROM pairs_g GROUP BY 1"
+    columns = f"generation, 'pairwise_similarity', '{metric}', avg({formula}), NULL, NULL, NULL, NULL"
+    return f"SELECT {columns} FROM pairs_g GROUP BY 1"
 
 
 _HET_G = "2 * (s.copies / CAST(s.n_hap AS DOUBLE)) * (1 - s.copies / CAST(s.n_hap AS DOUBLE))"
@@ -376,15 +375,18 @@ _FULL = f"""SELECT DISTINCT r.generation, r.statistic, r.metric, round(x.value,
 SELECT generation, 'mean_fitness' AS statistic, NULL AS metric, mean_fitness AS value, NULL AS by_type,
   NULL AS by_chromosome, NULL AS unfolded_sfs, NULL AS folded_sfs FROM fitness_g
 UNION ALL SELECT generation, 'genetic_load', NULL, 1 - mean_fitness, NULL, NULL, NULL, NULL FROM fitness_g
-UNION ALL SELECT generation, 'realized_masking_bonus', NULL, realized_masking_bonus, NULL, NULL, NULL, NULL FROM fitness_g
+UNION ALL SELECT generation, 'realized_masking_bonus', NULL, realized_masking_bonus, NULL, NULL, NULL, NULL
+  FROM fitness_g
 UNION ALL SELECT s.generation, 'exact_B', NULL, sum(m.masking * {_HET_G}), NULL, NULL, NULL, NULL FROM segregating_g s
   JOIN mutations m ON m.mutation_id = s.mutation_id GROUP BY 1
 UNION ALL SELECT s.generation, 'nucleotide_diversity', NULL, sum({_HET_G}) / (SELECT sum(length) FROM chromosomes),
   NULL, NULL, NULL, NULL FROM segregating_g s GROUP BY 1
 UNION ALL SELECT s.generation, 'expected_heterozygosity', NULL, avg({_HET_G}), NULL, NULL, NULL, NULL
   FROM segregating_g s GROUP BY 1
-UNION ALL SELECT generation, 'n_seg', NULL, count(*) FILTER (copies < n_hap), NULL, NULL, NULL, NULL FROM sites_g GROUP BY 1
-UNION ALL SELECT generation, 'n_fixed', NULL, count(*) FILTER (copies = n_hap), NULL, NULL, NULL, NULL FROM sites_g GROUP BY 1
+UNION ALL SELECT generation, 'n_seg', NULL, count(*) FILTER (copies < n_hap), NULL, NULL, NULL, NULL
+  FROM sites_g GROUP BY 1
+UNION ALL SELECT generation, 'n_fixed', NULL, count(*) FILTER (copies = n_hap), NULL, NULL, NULL, NULL
+  FROM sites_g GROUP BY 1
 UNION ALL SELECT generation, 'genome_words', NULL, sum(copies), NULL, NULL, NULL, NULL FROM sites_g GROUP BY 1
 UNION ALL {_panel_pair("jaccard")} UNION ALL {_panel_pair("dice")} UNION ALL {_panel_pair("overlap")}
 UNION ALL SELECT t.generation, 'mutation_histogram', NULL, NULL, t.vector, c.vector, NULL, NULL FROM arrays_g t

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from popstat import functions as fn
 from popstat.operators import filters as fl
 from popstat.operators import results as rs
-from popstat.sources.schemas import PHASES
 from workload.registry import big, query, r6, r9
-from workload.views import METRICS, SPEED_KEYS, VARIANT_KEYS, Views, nth
+from workload.views import METRICS, SPEED_KEYS, VARIANT_KEYS, Views
 
 BIOLOGICAL = ", ".join(f"'{m}'" for m in fl.BIOLOGICAL_METRICS)
 _BIO = f"metric IN ({BIOLOGICAL})"
@@ -238,7 +237,9 @@ def _(v):
 AS best_mean_ms_per_gen, round(best_sd_ms_per_gen, 6) AS best_sd_ms_per_gen FROM best""")
 def _(v):
     best = rs.best_config(v.speed.where("simulator <> 'ref'"))
-    return best.select("case_label", "alias_builder", "best_threads", r6("best_mean_ms_per_gen"), r6("best_sd_ms_per_gen"))
+    return best.select(
+        "case_label", "alias_builder", "best_threads", r6("best_mean_ms_per_gen"), r6("best_sd_ms_per_gen")
+    )
 
 
 @query("attach_reference_speed", """SELECT b.case_label, b.alias_builder, round(r.ref_mean_ms_per_gen, 6)
@@ -255,8 +256,9 @@ round(r.ref_mean_ms_per_gen / b.best_mean_ms_per_gen, 6) AS speedup_vs_ref
 FROM best b LEFT JOIN ref_speed r ON b.case_label = r.case_label""")
 def _(v):
     """The reference runs once per case, on one thread and without a builder."""
-    by_case = v.runs.withColumn("alias_builder", F.when(F.col("simulator") == "ref", "").otherwise(F.col("alias_builder")))
-    by_case = by_case.withColumn("threads", F.when(F.col("simulator") == "ref", 1).otherwise(F.col("threads")))
+    is_ref = F.col("simulator") == "ref"
+    by_case = v.runs.withColumn("alias_builder", F.when(is_ref, "").otherwise(F.col("alias_builder")))
+    by_case = by_case.withColumn("threads", F.when(is_ref, 1).otherwise(F.col("threads")))
     speed = rs.speed_summary(by_case, SPEED_KEYS, missing=None)
     return rs.speedup_vs_reference(speed, "ref", missing=None).select(
         "case_label", "alias_builder", "best_threads", r6("speedup_vs_ref")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popstat.operators import checks as ck
 from popstat.operators import schedules as sc
 from popstat.operators.filters import report_points
-from workload.registry import big, query, r6
+from workload.registry import query
 from workload.views import Views
 
 # a report table with one row per order; its generation is the day number of the order date
