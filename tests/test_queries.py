@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from compare import check, connect  # noqa: E402
+from workload.catalog import QUERIES, SQL  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 NO_SQL = {"draw", "poisson_counts", "synthesize_mutations"}
@@ -20,13 +21,13 @@ def db():
 
 
 def test_only_random_draws_have_no_sql():
-    assert set(queries()) - set(oracle_sql()) == NO_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(SQL) == NO_SQL
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, db, name):
-    assert check(spark, db, FOLDER, name, oracle_sql().get(name)) == ""
+    assert check(spark, db, FOLDER, name, SQL.get(name)) == ""
 
 
 def test_entry(spark):

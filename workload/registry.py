@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from popstat.session import ship_package
 from workload.sql_views import SQL_VIEWS
 from workload.views import Views
 
@@ -21,7 +22,12 @@ def query(name: str, sql: str | None = None):
     def register(build: Callable[[Views], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = lambda spark, sf_dir: build(Views(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return build(Views(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = with_views(sql)
         return build
