@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from popstat.llm.outliers import judge_logs
 from popstat.llm.recompression import remove_repeated_passages
 from popstat.llm.simhash import near_duplicate_logs
 from popstat.llm.token_counts import log_token_counts
-from popstat.session import ship_package
+from popstat.llm.wavelet import read_packed_population, texts_as_ids, unpack_population, write_packed_population
+from popstat.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +47,24 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumnRenamed("run_id", "doc_id")
 
 
+@query("op2_robust_outliers")
+def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    judged = judge_logs(documents, ("lang", "source"), "doc_id", "text")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *names)
+
+
+@query("op6_wavelet_shards")
+def op6_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    path = scratch_path(spark, "shards")
+    ids_of = texts_as_ids(public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    write_packed_population(documents, path, "doc_id", "text", ids_of)
+    rows = unpack_population(read_packed_population(spark, path), digest_only=True)
+    return rows.toDF("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query("op7_simhash_near_duplicates")
 def op7_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_logs(documents_as_logs(spark, folder)).withColumnRenamed("run_id", "doc_id")
