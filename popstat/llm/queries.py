@@ -12,6 +12,7 @@ from popstat.llm.outliers import judge_logs
 from popstat.llm.recompression import remove_repeated_passages
 from popstat.llm.simhash import near_duplicate_logs
 from popstat.llm.token_counts import log_token_counts
+from popstat.llm.toxicity import fit_on_labels, held_out, score_toxicity
 from popstat.llm.wavelet import read_packed_population, texts_as_ids, unpack_population, write_packed_population
 from popstat.session import scratch_path, ship_package
 
@@ -55,6 +56,14 @@ def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *names)
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    model = fit_on_labels(documents, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = score_toxicity(documents.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op6_wavelet_shards")
 def op6_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")
