@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from popstat.llm.main_text import extract_main_text
 from popstat.llm.outliers import judge_logs
 from popstat.llm.recompression import remove_repeated_passages
 from popstat.llm.simhash import near_duplicate_logs
@@ -79,6 +80,11 @@ def op7_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_logs(documents_as_logs(spark, folder)).withColumnRenamed("run_id", "doc_id")
 
 
+@query("op8_main_text")
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{folder}/pages.parquet")).toDF("page_id", "url", "text", "n_chars")
+
+
 @query("op10_repeated_passages")
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeated_passages(documents_as_logs(spark, folder))
