@@ -12,6 +12,7 @@ from popstat.llm.main_text import extract_main_text
 from popstat.llm.outliers import judge_logs
 from popstat.llm.recompression import remove_repeated_passages
 from popstat.llm.simhash import near_duplicate_logs
+from popstat.llm.templates import with_quotations
 from popstat.llm.token_counts import log_token_counts
 from popstat.llm.toxicity import fit_on_labels, held_out, score_toxicity
 from popstat.llm.wavelet import read_packed_population, texts_as_ids, unpack_population, write_packed_population
@@ -85,6 +86,13 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{folder}/pages.parquet")).toDF("page_id", "url", "text", "n_chars")
 
 
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return with_quotations(documents, benchmark, "doc_id", "text", "item_id", "text").withColumnRenamed("scenarios", "item_ids")
+
+
 @query("op10_repeated_passages")
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeated_passages(documents_as_logs(spark, folder))
