@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from popstat.llm.main_text import extract_main_text
 from popstat.llm.outliers import judge_logs
 from popstat.llm.recompression import remove_repeated_passages
+from popstat.llm.replication import replicate_haplotypes, tempered_weights
+from popstat.llm.requests import link_requests
 from popstat.llm.simhash import near_duplicate_logs
 from popstat.llm.templates import with_quotations
 from popstat.llm.token_counts import log_token_counts
@@ -66,6 +68,59 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+#: Sources are mixed in proportion to the square root of their sizes.
+MIXING_POWER = 0.5
+
+
+OP4_SQL = """
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+weights AS (SELECT source, n, pow(n, 0.5) AS w FROM sizes),
+means AS (SELECT source, w / (SELECT sum(w) FROM weights) * (SELECT count(*) FROM documents) / n AS mean FROM weights),
+parted AS (SELECT source, greatest(ceil(mean / 16), 1) AS parts, mean / greatest(ceil(mean / 16), 1) AS mu FROM means),
+poisson AS (
+  SELECT source, mu, 0 AS k, exp(-mu) AS p, exp(-mu) AS c FROM parted
+  UNION ALL SELECT source, mu, k + 1, p * mu / (k + 1), c + p * mu / (k + 1) FROM poisson WHERE k < 80
+),
+cuts AS (SELECT source, list(c ORDER BY k) AS cdf FROM poisson GROUP BY source),
+uniforms AS (
+  SELECT d.doc_id, d.source,
+    ('0x' || substr(md5('42:' || d.doc_id || ':' || j.j), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN parted USING (source), LATERAL (SELECT unnest(range(1, parts::BIGINT + 1)) AS j) j
+),
+copies AS (
+  SELECT doc_id, sum(len(list_filter(cdf, x -> x <= u)))::BIGINT AS copies FROM uniforms JOIN cuts USING (source) GROUP BY doc_id
+)
+SELECT d.*, unnest(range(0, copies)) AS replicate FROM documents d JOIN copies USING (doc_id)
+"""
+
+
+@query("op4_mix_sources", OP4_SQL)
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    targets = tempered_weights(documents, MIXING_POWER, "source")
+    mixed = replicate_haplotypes(documents, targets, population="source", haplotype_id="doc_id")
+    return mixed.drop("shuffle_key").withColumn("replicate", F.col("replicate").cast("long"))
+
+
+#: What messages of a conversation ask for: an answer to a question is expected, one to an instruction is not.
+MESSAGE_SCHEMA = '{"additionalProperties":false,"properties":{"content":{"type":"string"}},"required":["content"],"type":"object"}'
+
+
+@query("op5_link_calls")
+def op5_link_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages that are not answers are calls named by their role; an answer's call is the message before it."""
+    messages = spark.read.parquet(f"{folder}/conversations.parquet")
+    answers = messages.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("request_id"), "turn", F.col("text").alias("result"))
+    calls = messages.where("role is null or role != 'assistant'").select(
+        "conv_id", F.col("turn").alias("request_id"), "turn", F.col("role").alias("statistic"),
+        F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"))).alias("arguments"),
+        F.when(F.col("turn") > 0, F.array(F.col("turn") - 1, F.col("turn") - 2)).otherwise(F.array().cast("array<long>")).alias("after"),
+    )
+    schemas = spark.createDataFrame([("user", MESSAGE_SCHEMA, True), ("system", MESSAGE_SCHEMA, False)], "statistic string, schema string, returns boolean")
+    linked = link_requests(calls, answers, schemas, "conv_id")
+    return linked.select("conv_id", F.col("request_id").alias("turn"), F.col("position").cast("long").alias("position"), "status", "line")
+
+
 @query("op6_wavelet_shards")
 def op6_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")

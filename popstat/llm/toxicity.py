@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popstat.session import cut_lineage
@@ -33,7 +33,7 @@ IDENTITY_TERMS = (
     ("femmes", "hommes"),
     ("mujeres", "hombres"),
 )
-#: Bounds of training: labelled rows used, features kept, texts that a feature must occur in.
+#: Bounds of training: labelled rows used (expected), features kept, texts that a feature must occur in.
 MAX_SENTENCES, MAX_FEATURES, LEAST_TEXTS = 8000, 1000, 3
 RIDGE, FAIRNESS, STEPS, RATE = 1e-3, 1.0, 150, 0.1
 KNOWN_WORDS = 300_000
@@ -117,11 +117,16 @@ def _designs(features: Sequence[str], terms: Sequence[Sequence[str]]):
     return run
 
 
+def _chosen(hashed: Column, wanted: int, present: int) -> Column:
+    """True for a share of evenly spread hashes, so that ``wanted`` of those present are expected."""
+    return F.pmod(hashed, F.lit(1 << 32)) < F.lit(min(1.0, wanted / max(present, 1)) * (1 << 32))
+
+
 def fit_toxicity(
     sentences: DataFrame, text: str = "text", toxic: str = "toxic", terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
     fairness: float = FAIRNESS, max_sentences: int = MAX_SENTENCES,
 ) -> ToxicityModel:
-    """Fit on labelled texts, at most ``max_sentences`` of them, chosen by hash of the text.
+    """Fit on labelled texts, of which an expected ``max_sentences`` at most are chosen by hash of the text.
 
     ``sentences`` has ``text`` and ``toxic`` (0 or 1). Features are the presence of words and
     word beginnings; the MAX_FEATURES that speak most for toxicity are kept. The loss is
@@ -136,8 +141,8 @@ def fit_toxicity(
     """
     labelled = sentences.select(F.col(text).cast("string").alias("_text"), (F.col(toxic) != 0).cast("int").alias("_toxic"))
     labelled = labelled.where("_toxic is not null").withColumn("_hash", F.xxhash64("_text"))
-    lowest = labelled.select("_hash").distinct().orderBy("_hash").limit(max_sentences).agg(F.max("_hash")).first()[0]
-    chosen = labelled.where(F.col("_hash") <= F.lit(lowest)) if lowest is not None else labelled
+    distinct = labelled.select("_hash").distinct().count()
+    chosen = labelled.where(_chosen(F.col("_hash"), max_sentences, distinct))
     sample = cut_lineage(chosen.groupBy("_hash").agg(F.max("_toxic").alias("_toxic"), F.first("_text").alias("_text")))
     n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     if positive == 0 or positive == n:
@@ -205,8 +210,9 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit_on_labels(documents: DataFrame, labels: DataFrame, max_sentences: int = MAX_SENTENCES) -> ToxicityModel:
-    """Fit on the labelled documents outside the held-out fold; the choice of ids is bounded, so their texts are not shuffled."""
+    """Fit on labelled documents outside the held-out fold; as the ids chosen are bounded, no texts are shuffled to them."""
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = cut_lineage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sentences))
+    known = cut_lineage(known)
+    chosen = cut_lineage(known.where(_chosen(F.xxhash64("doc_id"), max_sentences, known.count())))
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return fit_toxicity(texts, max_sentences=max_sentences)
