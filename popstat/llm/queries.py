@@ -88,7 +88,7 @@ uniforms AS (
   FROM documents d JOIN parted USING (source), LATERAL (SELECT unnest(range(1, parts::BIGINT + 1)) AS j) j
 ),
 copies AS (
-  SELECT doc_id, sum(len(list_filter(cdf, x -> x <= u)))::BIGINT AS copies FROM uniforms JOIN cuts USING (source) GROUP BY doc_id
+  SELECT doc_id, sum(len(list_filter(cdf, lambda x: x <= u)))::BIGINT AS copies FROM uniforms JOIN cuts USING (source) GROUP BY doc_id
 )
 SELECT d.*, unnest(range(0, copies)) AS replicate FROM documents d JOIN copies USING (doc_id)
 """
