@@ -106,7 +106,19 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 MESSAGE_SCHEMA = '{"additionalProperties":false,"properties":{"content":{"type":"string"}},"required":["content"],"type":"object"}'
 
 
-@query("op5_link_calls")
+OP5_SQL = """
+WITH calls AS (SELECT * FROM conversations WHERE role <> 'assistant'),
+answers AS (SELECT conv_id, turn - 1 AS turn, text AS result FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+  CASE WHEN result IS NULL AND role = 'user' THEN 'unanswered' ELSE 'linked' END AS status,
+  '{"after":' || CASE WHEN turn > 0 THEN '[' || (turn - 2) || ',' || (turn - 1) || ']' ELSE '[]' END
+  || ',"arguments":{"content":' || to_json(coalesce(text, ''))::VARCHAR || '},"id":' || turn || ',"name":' || to_json(role)::VARCHAR
+  || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || '}' AS line
+FROM calls LEFT JOIN answers USING (conv_id, turn)
+"""
+
+
+@query("op5_link_calls", OP5_SQL)
 def op5_link_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Messages that are not answers are calls named by their role; an answer's call is the message before it."""
     messages = spark.read.parquet(f"{folder}/conversations.parquet")
@@ -148,7 +160,30 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return with_quotations(documents, benchmark, "doc_id", "text", "item_id", "text").withColumnRenamed("scenarios", "item_ids")
 
 
-@query("op10_repeated_passages")
+OP10_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+),
+words AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM split),
+windows AS (
+  SELECT doc_id, p, n, md5(string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h FROM words
+),
+repeated AS (
+  SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY h) AS times FROM windows WHERE p <= n - 34) WHERE times > 1
+),
+covered AS (SELECT DISTINCT doc_id, p + unnest(range(0, 35)) AS p FROM repeated),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS text
+  FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op10_repeated_passages", OP10_SQL)
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeated_passages(documents_as_logs(spark, folder))
     return kept.select(F.col("run_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
