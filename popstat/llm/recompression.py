@@ -154,7 +154,8 @@ def blocks(words: np.ndarray, ends: np.ndarray, window: int) -> dict[str, np.nda
         return {k: np.zeros(0, np.int64) for k in ("log", "start", "windows", "symbol", "content")}
     # Symbols may reach over the end of a log, but no window takes one of those for safe
     name, place = representatives(words, starts, window)
-    new = np.concatenate(([True], (place[1:] != place[:-1]) | (log[1:] != log[:-1])))
+    # Symbols of different rounds may begin at the same word
+    new = np.concatenate(([True], (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (log[1:] != log[:-1])))
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(starts)))
     low = starts[first]
@@ -208,7 +209,7 @@ def _emit_blocks(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for rows, chunk in _chunks(batch.column(0).to_pylist(), _encoded(batch.column(1))):
+            for rows, chunk in _chunks(batch.column("row").to_pylist(), _encoded(batch.column("_log"))):
                 hashes, ends = _laid_out(chunk)
                 made = blocks(hashes, ends, window)
                 made["row"] = np.asarray(rows, np.int64)[made.pop("log")]
@@ -277,6 +278,8 @@ def _emit_kept(window: int):
                 n = len(words)
                 if counts[i]:
                     own = slice(span[i], span[i + 1])
+                    if (starts[own] + windows[own]).max() + window - 1 > n:
+                        raise ValueError("the logs were not the same in every scan")
                     edges = np.bincount(starts[own], minlength=n + 1)
                     edges -= np.bincount(starts[own] + windows[own] - 1 + window, minlength=n + 1)
                     words = [words[j] for j in np.flatnonzero(np.cumsum(edges[:n]) == 0)]
@@ -298,7 +301,7 @@ def _spans(found: DataFrame) -> DataFrame:
 
 def _repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     """``row``, ``start``, ``windows``: stretches of windows that occur more than once."""
-    named = texts.select("row", "_log").mapInArrow(_emit_blocks(window), BLOCKS)
+    named = texts.mapInArrow(_emit_blocks(window), BLOCKS)
     here = F.size("places")
     per_symbol = Window.partitionBy("symbol")
     per_block = Window.partitionBy("symbol", "content", "windows")
@@ -315,8 +318,7 @@ def _repeated_windows(texts: DataFrame, window: int) -> DataFrame:
         (~F.col("repeated") | (F.col("first") & (F.col("i") == 0))).alias("wanted"),
     ))
     wanted = _spans(found.where("wanted")).withColumnRenamed("spans", "wanted")
-    asked = texts.join(wanted, "row").select("row", "_log", "wanted")
-    met = asked.mapInArrow(_emit_windows(window), WINDOWS)
+    met = texts.join(wanted, "row").mapInArrow(_emit_windows(window), WINDOWS)
     per_window = Window.partitionBy("k0", "k1")
     again = met.withColumn("n", F.sum(F.size("places")).over(per_window)).where("n > 1")
     single = again.select(F.explode("places").alias("place")).select("place.row", "place.start", F.lit(1).alias("windows"))
@@ -340,14 +342,15 @@ def remove_repeated_passages(
     whole are settled by one key; only blocks that share their symbol with others but not
     all their words are compared window by window, by 128-bit names, with one of each class
     of equal blocks. Tasks gather equal keys before the shuffle, so a passage that a
-    third of all logs hold is a few rows there.
+    third of all logs hold is a few rows there. Rows are numbered by partition and read three
+    times, always with the same columns; ``logs`` must come the same each time, as a table does.
     """
     texts = logs.select(
         F.monotonically_increasing_id().alias("row"), F.col(run_id).alias("_run"), F.col(log).cast("string").alias("_log")
     )
     spans = _spans(_repeated_windows(texts, window)).withColumnRenamed("spans", "found")
     field = texts.schema["_run"].dataType
-    whole = texts.join(spans, "row", "left").select("_run", "_log", "found")
+    whole = texts.join(spans, "row", "left")
     schema = f"_run {field.simpleString()}, n_words long, n_removed long, kept string"
     return whole.mapInArrow(_emit_kept(window), schema).withColumnRenamed("_run", run_id)
 
