@@ -101,12 +101,13 @@ def _ordered(requests: DataFrame) -> DataFrame:
 
     A request asked after all it depends on keeps its own turn; one asked too early takes the
     largest turn among them and stands one deeper. Only such rows change, so the rounds are
-    as many as the longest chain of them, however long a run is. Rows that still change
-    after more rounds than rows that ever changed lie on or behind a cycle.
+    as many as the longest chain of them, however long a run is. Rows that change after more
+    rounds than there are rows that ever changed lie on or behind a cycle; as many rounds
+    again reach all of them.
     """
     keys = ["_run", "request_id"]
     edges = cut_lineage(requests.select(*keys, F.explode("after").alias("_dep")).where("_dep is not null").distinct())
-    nodes = cut_lineage(requests.select(*keys, "turn", F.col("turn").alias("_late"), F.lit(0).cast("long").alias("_depth"), F.lit(False).alias("cyclic")))
+    nodes = cut_lineage(requests.select(*keys, "turn", F.col("turn").alias("_late"), F.lit(0).cast("long").alias("_depth"), F.lit(0).alias("_moved")))
     rounds = 0
     while True:
         rounds += 1
@@ -119,14 +120,13 @@ def _ordered(requests: DataFrame) -> DataFrame:
         joined = nodes.join(least, nodes["_run"].eqNullSafe(least["_r"]) & (nodes["request_id"] == least["_q"]), "left")
         now = F.greatest(own, F.coalesce("_least", own))
         moved = cut_lineage(joined.select(
-            *keys, "turn", now["_l"].alias("_late"), now["_n"].alias("_depth"), (now != own).alias("cyclic")
+            *keys, "turn", now["_l"].alias("_late"), now["_n"].alias("_depth"),
+            F.when(now != own, F.lit(rounds)).otherwise(F.col("_moved")).alias("_moved"),
         ))
-        changed, ever = moved.agg(
-            F.count_if("cyclic"), F.count_if((F.col("_late") != F.col("turn")) | (F.col("_depth") > 0))
-        ).first()
+        changed, ever = moved.agg(F.count_if(F.col("_moved") == rounds), F.count_if(F.col("_moved") > 0)).first()
         nodes = moved
-        if not changed or rounds > ever:
-            return nodes
+        if not changed or rounds > 2 * ever:
+            return nodes.select(*keys, "_late", "_depth", (F.col("_moved") > ever).alias("cyclic"))
 
 
 def link_requests(
@@ -182,7 +182,9 @@ def link_requests(
         _lines, f"_run {kinds['_run']}, request_id {kinds['request_id']}, turn long, _late long, _depth long, "
         "status string, errors array<string>, line string",
     )
-    numbered = row_index(written, "position", ["_late", "_depth", "turn", "request_id", "line"], ["_run"])
+    known_run = F.coalesce(F.concat(F.lit("="), F.col("_run").cast("string")), F.lit(""))  # NULL is a run, too
+    written = written.withColumn("_by", known_run)
+    numbered = row_index(written, "position", ["_late", "_depth", "turn", "request_id", "line"], ["_by"])
     return numbered.select(F.col("_run").alias(run_id), "request_id", "position", "status", "errors", "line")
 
 
