@@ -223,7 +223,7 @@ def robust_distances(
     """
     if len(statistics) != DIMENSIONS or len(by) != 2:
         raise ValueError("four statistics and two grouping columns")
-    clipped = [F.least(F.greatest(c, F.lit(-LARGEST)), F.lit(LARGEST)) for c in statistics.values()]
+    clipped = [F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-LARGEST)), F.lit(LARGEST))) for c in statistics.values()]
     whole = [F.round(c * UNIT).cast("long").alias(f"x{i}") for i, c in enumerate(clipped)]
     known = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
     rows = runs.select("*", *[F.when(known, w).alias(f"x{i}") for i, w in enumerate(whole)])
