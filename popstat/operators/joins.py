@@ -92,14 +92,63 @@ def unresolved(refs: DataFrame, declared: DataFrame, key: Sequence[str]) -> Data
     return refs.join(declared.select(*key).distinct(), list(key), "left_anti")
 
 
-def region_type_mix(regions: DataFrame, region_types: DataFrame, region_weights: DataFrame) -> DataFrame:
-    """Per placed region and mutation type: mutation mass of the region and share of the type."""
-    totals = region_weights.groupBy("region_type").agg(F.sum("weight").alias("_total"))
-    shares = region_weights.join(totals, "region_type").select(
-        "region_type", "type", "weight", (F.col("weight") / F.col("_total")).alias("probability")
+def placed_regions(regions: DataFrame, region_types: DataFrame, chromosomes: DataFrame | None = None) -> DataFrame:
+    """chrom, start, end, region_type and mutation_scale of each placed region.
+
+    A genome without placed regions has one per chromosome of ``chromosomes``, of the only
+    declared region type, or of scale 1 if none is declared. More than one declared type
+    without placements is an error of the model, see ``unplaced_region_types``.
+    """
+    scales = region_types.select("region_type", F.col("mutation_scale").cast("double").alias("mutation_scale"))
+    placed = regions.select("chrom", "start", "end", "region_type").join(scales, "region_type")
+    placed = placed.select("chrom", "start", "end", "region_type", "mutation_scale")
+    if chromosomes is None:
+        return placed
+    nowhere = (regions.agg(F.count(F.lit(1))).scalar() == 0)
+    name, scale = (scales.agg(F.min(c)).scalar() for c in ("region_type", "mutation_scale"))
+    whole = chromosomes.where(nowhere).select(
+        "chrom", F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("end"),
+        F.coalesce(name, F.lit(DEFAULT_REGION_TYPE)).alias("region_type"), F.coalesce(scale, F.lit(1.0)).alias("mutation_scale"),
+    )
+    return placed.unionByName(whole)
+
+
+DEFAULT_REGION_TYPE = "default"
+
+
+def unplaced_region_types(regions: DataFrame, region_types: DataFrame) -> DataFrame:
+    """Declared region types of a genome without placed regions, if there is more than one."""
+    nowhere = regions.agg(F.count(F.lit(1))).scalar() == 0
+    several = region_types.agg(F.count(F.lit(1))).scalar() > 1
+    return region_types.where(nowhere & several).select("region_type")
+
+
+def type_shares(placed: DataFrame, region_weights: DataFrame, default_type: str | None) -> DataFrame:
+    """``region_type``, ``type`` and ``weight`` of every placed region type; without weights the first declared type."""
+    own = region_weights.select("region_type", "type", F.col("weight").cast("double").alias("weight"))
+    kinds = placed.select("region_type").distinct()
+    if default_type is None:
+        return kinds.join(own, "region_type")
+    filled = [F.coalesce("type", F.lit(default_type)).alias("type"), F.coalesce("weight", F.lit(1.0)).alias("weight")]
+    return kinds.join(own, "region_type", "left").select("region_type", *filled)
+
+
+def region_type_mix(
+    regions: DataFrame, region_types: DataFrame, region_weights: DataFrame,
+    chromosomes: DataFrame | None = None, default_type: str | None = None,
+) -> DataFrame:
+    """Per placed region and mutation type: mutation mass of the region and share of the type.
+
+    With ``default_type``, the first declared mutation type, a region type without weights
+    has that type alone; with ``chromosomes`` a genome without regions gets the default ones.
+    """
+    placed = placed_regions(regions, region_types, chromosomes)
+    weights = type_shares(placed, region_weights, default_type)
+    totals = weights.groupBy("region_type").agg(F.sum("weight").alias("_total"))
+    shares = weights.join(totals, "region_type").select(
+        "region_type", "type", (F.col("weight") / F.col("_total")).alias("probability")
     )
     width = (F.col("end") - F.col("start")).cast("double")
-    placed = regions.join(region_types.select("region_type", "mutation_scale"), "region_type")
     return (
         placed.withColumn("mutation_mass", F.col("mutation_scale") * width)
         .join(shares, "region_type")

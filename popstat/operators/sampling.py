@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 from popstat.functions.scalars import clamp, dominance_coefficient, mutation_effects
 from popstat.operators.groups import By, attach, dense_range
 from popstat.operators.intervals import cdf_lookup
+from popstat.operators.joins import placed_regions, type_shares
 from popstat.operators.windows import cumulative_cdf
+from popstat.session import cut_lineage
 
 
 def uniform(key: str | Column, seed: int, stream: int = 0) -> Column:
@@ -177,15 +179,23 @@ def synthesize_mutations(
     mutation_types: DataFrame,
     seed: int,
     key: str = "mutation_id",
+    chromosomes: DataFrame | None = None,
+    default_type: str | None = None,
 ) -> DataFrame:
-    """A mutation per id: region by mass, type by weight, uniform position, drawn effects."""
+    """A mutation per id: region by mass, type by weight, uniform position, drawn effects.
+
+    ``default_type`` is the first declared mutation type, which a region type without
+    weights has; by default the first name of ``mutation_types``. ``chromosomes`` give the
+    regions of a genome in which none is placed.
+    """
     mass = F.col("mutation_scale") * (F.col("end") - F.col("start"))
-    placed = regions.join(region_types.select("region_type", "mutation_scale"), "region_type")
-    placed = placed.select("chrom", "start", "end", "region_type", mass.alias("mutation_mass"))
+    placed = placed_regions(regions, region_types, chromosomes)
+    if default_type is None:
+        default_type = mutation_types.agg(F.min("type")).first()[0]
+    weights = cut_lineage(type_shares(placed, region_weights, default_type))
+    placed = cut_lineage(placed.select("chrom", "start", "end", "region_type", mass.alias("mutation_mass")))
     region_cdf = cumulative_cdf(placed, "mutation_mass", ["chrom", "start"]).drop("mutation_mass")
-    type_cdf = cumulative_cdf(
-        region_weights.select("region_type", "type", "weight"), "weight", ["type"], ["region_type"]
-    ).drop("weight")
+    type_cdf = cumulative_cdf(weights, "weight", ["type"], ["region_type"]).drop("weight")
     drawn = ids.select(key, uniform(key, seed, 100).alias("_u_region"), uniform(key, seed, 101).alias("_u_type"))
     helpers = ("cdf", "prev_cdf", "position")
     in_region = cdf_lookup(drawn, region_cdf, "_u_region").drop(*helpers)

@@ -91,11 +91,18 @@ def expand_schedules(schedules: DataFrame, last_generation, keep: By = ()) -> Da
 
 
 def coalesce_requests(requests: DataFrame, last_generation, keep: By = ()) -> DataFrame:
-    """Requests inside [1, G], each (generation, statistic, metric) once."""
+    """Requests inside [1, G], each (generation, statistic, metric) once; only similarity has a metric."""
     inside = requests.where(F.col("generation").between(F.lit(1), _last(last_generation)))
+    inside = inside.withColumn("metric", metric_of("statistic", "metric"))
     return inside.dropDuplicates([*keep, "generation", "statistic", "metric"])
 
 
+def metric_of(statistic: str, metric: str) -> Column:
+    """The metric of a request: Jaccard unless another is named, and NULL for statistics that have none."""
+    named = F.coalesce(F.col(metric).cast("string"), F.lit("jaccard"))
+    return F.when(F.col(statistic) == "pairwise_similarity", named)
+
+
 def check_schedules(schedules: DataFrame, last_generation) -> DataFrame:
     """One row per broken rule of a schedule."""
     kind, last = F.col("kind"), _last(last_generation)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from popstat.functions.scalars import heterozygosity, individual_of, minor_allele_count
 from popstat.operators.filters import fixed, segregating
 from popstat.operators.groups import By, attach, dense_range, per_group
-from popstat.operators.joins import zero_fill, zygosity
+from popstat.operators.joins import placed_regions, zero_fill, zygosity
 
 
 def _on(mutations: DataFrame, by: By) -> list[str]:
@@ -283,25 +283,20 @@ def genome_totals(
 ) -> DataFrame:
     """Per chromosome: length, masses and crossover rate, beside the totals of the genome.
 
-    A chromosome without recombination intervals has the flat scale 1; without any
-    placed region in the genome every base mutates at scale 1.
+    A chromosome without recombination intervals has the flat scale 1; a genome without any
+    placed region mutates everywhere at the scale of its only region type, or at scale 1.
     """
     width = (F.col("end") - F.col("start")).cast("double")
-    scales = region_types.select("region_type", "mutation_scale")
-    mutable = (
-        regions.join(scales, "region_type").groupBy("chrom")
-        .agg(F.sum(F.col("mutation_scale") * width).alias("_mutable"))
+    mutable = placed_regions(regions, region_types, chromosomes).groupBy("chrom").agg(
+        F.sum(F.col("mutation_scale") * width).alias("_mutable")
     )
     crossing = rec_intervals.groupBy("chrom").agg(F.sum(F.col("rate_scale") * width).alias("_crossing"))
-    length = F.col("length").cast("double")
-    anywhere = mutable.agg(F.count(F.lit(1)) > 0).scalar()
     per_chrom = (
         chromosomes.select("chrom", "length").join(mutable, "chrom", "left").join(crossing, "chrom", "left")
-        .withColumn("_anywhere", anywhere)
         .select(
             "chrom", "length",
-            F.coalesce("_crossing", length).alias("recombination_mass"),
-            F.coalesce("_mutable", F.when(F.col("_anywhere"), F.lit(0.0)).otherwise(length)).alias("mutation_mass"),
+            F.coalesce("_crossing", F.col("length").cast("double")).alias("recombination_mass"),
+            F.coalesce("_mutable", F.lit(0.0)).alias("mutation_mass"),
         )
     )
     totals = per_chrom.agg(

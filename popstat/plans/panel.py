@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from popstat.functions.scalars import SIMILARITY_METRICS
 from popstat.operators.checks import STATISTICS
 from popstat.operators.results import collect_vector, union_results
+from popstat.operators.schedules import metric_of
 from popstat.operators.similarity import pairwise_similarities
 from popstat.operators.statistics import (
     fitness_summary,
@@ -66,10 +67,11 @@ def stat_panel(
     the twelve statistics occur, and plans only those. A family of statistics is computed
     for the generations that ask for one of it. All but fitness and similarity
     follow from the copies per site, which are counted once and written. Snapshots are
-    taken to keep fixed mutations, so that n_fixed counts from the start.
+    taken to keep fixed mutations, so that n_fixed counts from the start. Repeated requests
+    give one row, and ``metric`` is NULL but for similarity.
     """
-    metric = F.coalesce("metric", F.lit("jaccard")).alias("metric")
-    requests = cut_lineage(requests.select(*GENERATION, "statistic", metric))
+    metric = metric_of("statistic", "metric").alias("metric")
+    requests = cut_lineage(requests.select(*GENERATION, "statistic", metric).distinct())
 
     known = requests.where(F.col("statistic").isin(*STATISTICS))
     wanted = {row.statistic for row in known.select("statistic").distinct().collect()}

@@ -172,6 +172,35 @@ def _(v):
     return mix.select("chrom", "start", "region_type", r6("mutation_mass"), "type", r6("probability"))
 
 
+@query("region_type_mix_default", """SELECT c.chrom, 0 AS "start", 'exon' AS region_type, round(2.0 * c.length, 6) AS mutation_mass,
+'ECONOMY' AS type, 1.0 AS probability FROM chromosomes c
+UNION ALL SELECT chrom, 1, 'intron', 0.6 * 10, type, weight / sum(weight) OVER (PARTITION BY chrom) FROM chromosomes, (
+  SELECT 'LARGE' AS type, 1.0 AS weight UNION ALL SELECT 'SMALL', 3.0)
+UNION ALL SELECT chrom, 11, 'hotspot', 3.5 * 5, 'ECONOMY', 1.0 FROM chromosomes""")
+def _(v):
+    """No regions, one region type without weights; and regions of which one type has no weights."""
+    only = v.region_types.where("region_type = 'exon'")
+    none = v.regions.limit(0)
+    whole = j.region_type_mix(none, only, v.region_weights.limit(0), v.chromosomes, "ECONOMY")
+    spots = F.explode(F.array(
+        F.struct(F.lit(1).cast("long").alias("start"), F.lit(11).cast("long").alias("end"), F.lit("intron").alias("region_type")),
+        F.struct(F.lit(11).cast("long").alias("start"), F.lit(16).cast("long").alias("end"), F.lit("hotspot").alias("region_type")),
+    ))
+    regions = v.chromosomes.select("chrom", spots.alias("r")).select("chrom", "r.*")
+    weights = v.spark.createDataFrame([("intron", "LARGE", 1.0), ("intron", "SMALL", 3.0)], "region_type string, type string, weight double")
+    mix = whole.unionByName(j.region_type_mix(regions, v.region_types, weights, v.chromosomes, "ECONOMY"))
+    return mix.select("chrom", "start", "region_type", r6("mutation_mass"), "type", r6("probability"))
+
+
+@query("genome_totals_default", """SELECT c.chrom, round(3.5 * c.length, 6) AS mutation_mass,
+round(3.5 * sum(c.length) OVER (), 6) AS total_mutation_mass, CAST(c.length AS DOUBLE) AS recombination_mass FROM chromosomes c""")
+def _(v):
+    """No regions and no recombination intervals."""
+    only = v.region_types.where("region_type = 'hotspot'")
+    totals = genome_totals(v.chromosomes, v.regions.limit(0), only, v.rec_intervals.limit(0), 0.001, 2.0)
+    return totals.select("chrom", r6("mutation_mass"), r6("total_mutation_mass"), r6("recombination_mass"))
+
+
 @query("genome_totals", """SELECT c.chrom, c.length, round(r.mass, 6) AS recombination_mass,
 round(m.mass, 6) AS mutation_mass, CAST(sum(c.length) OVER () AS BIGINT) AS total_length,
 round(sum(r.mass) OVER (), 6) AS total_recombination_mass, round(sum(m.mass) OVER (), 6) AS total_mutation_mass,

@@ -57,7 +57,8 @@ def _(v):
     return sc.expand_schedules(v.schedules, 40, ["scenario"])
 
 
-@query("coalesce_requests", """SELECT DISTINCT scenario, statistic, metric, generation FROM (
+@query("coalesce_requests", """SELECT DISTINCT scenario, statistic,
+CASE WHEN statistic = 'pairwise_similarity' THEN coalesce(metric, 'jaccard') END AS metric, generation FROM (
 SELECT scenario, stat AS statistic, metric, unnest(generations) AS generation FROM schedules)
 WHERE generation BETWEEN 1 AND 40""")
 def _(v):

@@ -193,7 +193,8 @@ SQL_VIEWS = {
         CAST(p_size + p_partkey % 20 - 5 AS BIGINT) AS "end",
         CASE WHEN p_size % 11 = 0 THEN [] ELSE [CAST(p_size AS BIGINT), CAST(p_size * 2 AS BIGINT),
              CAST(p_size AS BIGINT)] END AS generations FROM part""",
-    "requests": """SELECT DISTINCT scenario, g AS generation, stat AS statistic, metric FROM (
+    "requests": """SELECT DISTINCT scenario, g AS generation, stat AS statistic,
+        CASE WHEN stat = 'pairwise_similarity' THEN coalesce(metric, 'jaccard') END AS metric FROM (
         SELECT scenario, stat, metric, unnest(generations) AS g FROM schedules WHERE kind = 'at'
         UNION ALL
         SELECT scenario, stat, metric, g FROM schedules s JOIN (SELECT unnest(range(1, 41)) AS g) n ON
