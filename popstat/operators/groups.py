@@ -7,21 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popstat.session import cut_lineage
+
 By = Sequence[str]
 
 
 def attach(df: DataFrame, summary: DataFrame, by: By, how: str = "inner") -> DataFrame:
     """Add the columns of a one-row-per-group summary.
 
-    Without groups the summary is one row, which becomes scalar subqueries. With
-    groups the join is left to the optimizer, which broadcasts the summary only
-    if its size is known to be small and otherwise shuffles with skew handling.
+    With groups the summary is written first, so that its size is known: a small one is
+    broadcast by the optimizer and ``df`` is not shuffled by the few keys of the groups; a
+    large one is joined by shuffle with skew handling. Without groups the summary is one
+    row, which becomes one scalar subquery.
     """
     if by:
-        return df.join(summary, list(by), how)
-    for name in summary.columns:
-        df = df.withColumn(name, summary.select(name).scalar())
-    return df
+        return df.join(cut_lineage(summary), list(by), how)
+    names = summary.columns
+    row = summary.select(F.struct(*names).alias("_summary")).scalar()
+    held = df.withColumn("_summary", row)
+    return held.select(*df.columns, *[F.col("_summary")[n].alias(n) for n in names])
 
 
 def per_group(universe: DataFrame, stats: DataFrame, by: By, defaults: dict[str, object]) -> DataFrame:

@@ -16,6 +16,7 @@ from popstat.functions.scalars import heterozygosity, individual_of, minor_allel
 from popstat.operators.filters import fixed, segregating
 from popstat.operators.groups import By, attach, dense_range, per_group
 from popstat.operators.joins import placed_regions, zero_fill, zygosity
+from popstat.session import cut_lineage
 
 
 def _on(mutations: DataFrame, by: By) -> list[str]:
@@ -67,22 +68,14 @@ def genome_words(carriers: DataFrame, haplotypes: DataFrame, by: By = (), sites:
 # ---- fitness -------------------------------------------------------------------
 
 
-def _dosed_sites(carriers: DataFrame, haplotypes: DataFrame, by: By) -> tuple[DataFrame, DataFrame]:
-    """Doses per individual, and site counts summed from them (one shuffle of the carriers)."""
-    doses = zygosity(carriers, by).select(*by, "individual_id", "mutation_id", "dose")
-    copies = doses.groupBy(*by, "mutation_id").agg(F.sum("dose").alias("copies"))
-    totals = haplotypes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hap"))
-    return doses, attach(copies, totals, by)
-
-
-def _products(carriers: DataFrame, haplotypes: DataFrame, mutations: DataFrame, by: By) -> DataFrame:
+def _products(carriers: DataFrame, mutations: DataFrame, by: By, sites: DataFrame) -> DataFrame:
     """Fitness products of the individuals that carry a segregating mutation."""
-    doses, sites = _dosed_sites(carriers, haplotypes, by)
     effects = segregating(sites).join(mutations, _on(mutations, by))
     effects = effects.select(*by, "mutation_id", "hom_factor", "het_factor")
     effect = F.when(F.col("dose") > 1, F.col("hom_factor")).otherwise(F.col("het_factor"))
     return (
-        doses.join(effects, [*by, "mutation_id"])
+        zygosity(carriers, by).select(*by, "individual_id", "mutation_id", "dose")
+        .join(effects, [*by, "mutation_id"])
         .groupBy(*by, "individual_id")
         .agg(F.product(effect).alias("fitness"), F.product("hom_factor").alias("homozygous_fitness"))
     )
@@ -99,12 +92,13 @@ def _every_individual(products: DataFrame, haplotypes: DataFrame, by: By, name:
 
 def individual_fitness(carriers: DataFrame, haplotypes: DataFrame, mutations: DataFrame, by: By = ()) -> DataFrame:
     """Product over carried segregating mutations: hom factor if on both haplotypes, else het."""
-    return _every_individual(_products(carriers, haplotypes, mutations, by), haplotypes, by, "fitness")
+    products = _products(carriers, mutations, by, site_counts(carriers, haplotypes, by))
+    return _every_individual(products, haplotypes, by, "fitness")
 
 
 def homozygous_fitness(carriers: DataFrame, haplotypes: DataFrame, mutations: DataFrame, by: By = ()) -> DataFrame:
     """Product of hom factors, each distinct mutation of the individual once."""
-    products = _products(carriers, haplotypes, mutations, by)
+    products = _products(carriers, mutations, by, site_counts(carriers, haplotypes, by))
     return _every_individual(products, haplotypes, by, "homozygous_fitness")
 
 
@@ -122,15 +116,16 @@ def _factor(fixed_sites: DataFrame, haplotypes: DataFrame, by: By) -> DataFrame:
 def fitness_summary(carriers: DataFrame, haplotypes: DataFrame, mutations: DataFrame, by: By = ()) -> DataFrame:
     """mean_fitness, genetic_load and realized_masking_bonus of each group in one pass.
 
-    Individuals without a segregating mutation have fitness 1 and are added by number.
+    Individuals without a segregating mutation have fitness 1 and are added by number. Sites
+    are counted once and written.
     """
-    products = _products(carriers, haplotypes, mutations, by)
+    sites = cut_lineage(site_counts(carriers, haplotypes, by))
+    products = _products(carriers, mutations, by, sites)
     sums = products.groupBy(*by).agg(
         F.sum("fitness").alias("_w"), F.sum("homozygous_fitness").alias("_hom"),
         F.count(F.lit(1)).alias("_carrying"),
     )
     sums = per_group(haplotypes, sums, by, {"_w": 0.0, "_hom": 0.0, "_carrying": 0})
-    _, sites = _dosed_sites(carriers, haplotypes, by)
     factor = _factor(fixed(sites).join(mutations, _on(mutations, by)), haplotypes, by)
     whole = attach(attach(sums, factor, by), haplotype_totals(haplotypes, by), by)
     idle = "(n_individuals - _carrying)"
