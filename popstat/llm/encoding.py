@@ -3,25 +3,53 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters that never end or start a word together with a space: all others take the library's own way.
-_PLAIN = bytes(b for b in range(256) if b in (9, 10, 13) or 32 <= b < 127 or 161 <= b and b != 173)
-_EDGES = [pair for c in "\t\n\r" for pair in (f" {c}", f"{c} ")] + ["  "]
-MAX_WORDS = 400_000
+U = np.uint64
+#: Words kept by a worker; beyond it they are learned anew. The table of their hashes has four times the room.
+MAX_WORDS = 1 << 20
+SLOTS = 22
+SLICE = 1 << 22
+CALL = 512
+SPACE, NEW_LINE = 32, 10
+_POWER = U(0x9E3779B97F4A7C15)
+_INVERSE = U(pow(int(_POWER), -1, 1 << 64))
+_LETTER = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(U)
+_HEAD = U(0x5851F42D4C957F2D)
+
+
+def _table(values) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+_WHITE = _table((9, 10, 13, SPACE))
+# Bytes of ASCII text and of the letters U+00A1 .. U+00FF in UTF-8, soft hyphen excepted
+_KNOWN = _table([9, 10, 13, *range(32, 127), 0xC2, 0xC3, *range(0x80, 0xC0)])
+_NOT_AFTER_C2 = _table([*range(0x80, 0xA1), 0xAD])
 
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker for a vocabulary file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
-    """``encode`` equals the tokenizers library's result for whole texts, without special tokens added.
+    """``encode`` gives what the tokenizers library gives for whole texts, without special tokens added.
 
-    A text of plain characters and single spaces is cut at its spaces, where the
-    vocabulary's own pre-tokenization cuts too, and known words are looked up. Any other
-    text, and one that holds a special token's string, goes to the library as a whole.
-    The words kept are bounded by MAX_WORDS; beyond it they are learned anew.
+    A text of Latin letters and single spaces is cut at its spaces, where the vocabulary's
+    own pre-tokenization cuts too. Its words are found by a 64-bit hash and length, all
+    words of many texts at a time, and new ones are encoded by the library. Any other text,
+    and one that holds a special token's string, goes to the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -29,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -37,72 +65,145 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first: dict[str, np.ndarray] = {}
-        self.start = np.zeros(1 << 12, np.int64)
-        self.count = np.zeros(1 << 12, np.int64)
-        self.pool = np.zeros(1 << 14, np.uint32)
-        self.used = 0
+        self.keys, self.values = np.zeros(1 << SLOTS, U), np.zeros(1 << SLOTS, np.int32)
+        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.pool, self.used, self.words = np.zeros(1 << 14, np.uint32), 0, 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def encode(self, text: str) -> np.ndarray:
-        if not self.plain(text):
-            return self.whole(text)
-        head, *words = text.split(" ")
-        if len(self.known) + len(self.first) > MAX_WORDS:
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string array; NULL is an empty text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        held = texts.buffers()[2]
+        data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+            end = min(end, len(texts))
+            part = data[offsets[at] : offsets[end]]
+            yield from self._slice(part, offsets[at : end + 1] - offsets[at])
+            at = end
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        begin, end = offsets[:-1], offsets[1:]
+        plain = self._plain(data, begin, end)
+        own = np.flatnonzero(plain & (end > begin))
+        ids, counts = self._words(data, begin[own], end[own]) if len(own) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        places = np.full(len(begin), -1)
+        places[own] = np.arange(len(own))
+        ends = np.cumsum(counts)
+        for i, k in enumerate(places):
+            if k >= 0:
+                yield ids[ends[k] - counts[k] : ends[k]]
+            elif plain[i]:
+                yield np.zeros(0, np.uint32)
+            else:
+                yield self.whole(data[begin[i] : end[i]].tobytes().decode())
+
+    def _plain(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Texts whose words can be taken one by one."""
+        bad = ~_KNOWN[data]
+        space, white = data == SPACE, _WHITE[data]
+        bad[:-1] |= (space[:-1] & white[1:]) | (white[:-1] & space[1:]) | ((data[:-1] == 0xC2) & _NOT_AFTER_C2[data[1:]])
+        some = end > begin
+        bad[begin[some]] |= white[begin[some]]
+        bad[end[some] - 1] |= space[end[some] - 1]
+        before = np.concatenate(([0], np.cumsum(bad, dtype=np.int64)))
+        plain = before[end] == before[begin]
+        raw = data.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                plain[np.searchsorted(begin, at, side="right") - 1] = False
+                at = raw.find(token, at + 1)
+        return plain
+
+    def _words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts at these places, one after another, and how many each has."""
+        spaces = np.flatnonzero(data == SPACE)
+        text = np.searchsorted(begin, spaces, side="right") - 1
+        inside = (text >= 0) & (spaces < end[text])
+        start = np.concatenate((begin, spaces[inside] + 1))
+        order = np.argsort(start, kind="stable")
+        start = start[order]
+        head = np.flatnonzero(order < len(begin))
+        stop = np.empty(len(start), np.int64)
+        stop[:-1] = start[1:] - 1
+        stop[np.append(head[1:] - 1, len(start) - 1)] = end
+        power = np.cumprod(np.full(len(data), _POWER), dtype=U)
+        undo = np.cumprod(np.full(len(data) + 1, _INVERSE), dtype=U)
+        sums = np.concatenate((np.zeros(1, U), np.cumsum(_LETTER[data] * power, dtype=U)))
+        key = (sums[stop] - sums[start]) * undo[start] + (stop - start).astype(U) * U(0xD6E8FEB86659FD93)
+        key[head] ^= _HEAD
+        key = (key ^ (key >> U(32))) * U(0xFF51AFD7ED558CCD)
+        key = np.maximum(key ^ (key >> U(29)), U(1))
+        if self.words + len(start) > MAX_WORDS * 2:
             self.forget()
-        if head not in self.first:
-            self.first[head] = self.whole(head)
-        found = list(map(self.known.get, words))
-        if None in found:
-            self.learn([w for w, i in zip(words, found, strict=True) if i is None])
-            found = list(map(self.known.get, words))
-        index = np.array(found, np.int64)
-        count = self.count[index]
+        found = self._find(key)
+        if (new := np.flatnonzero(found < 0)).size:
+            _, first = np.unique(key[new], return_index=True)
+            new = new[first]
+            is_head = np.zeros(len(start), bool)
+            is_head[head] = True
+            for chosen, mark in ((new[~is_head[new]], SPACE), (new[is_head[new]], NEW_LINE)):
+                for i in range(0, len(chosen), CALL):
+                    part = chosen[i : i + CALL]
+                    self._learn(data, start[part], stop[part], key[part], mark)
+            found = self._find(key)
+        count = self.count[found].astype(np.int64)
         ends = np.cumsum(count)
-        n = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(n) + np.repeat(self.start[index] - (ends - count), count)]
-        return np.concatenate((self.first[head], ids))
-
-    def plain(self, text: str) -> bool:
-        if text.isascii():
-            raw = text.encode()
-        else:
-            try:
-                raw = text.encode("latin-1")
-            except UnicodeEncodeError:
-                return False
-        if raw.translate(None, _PLAIN) or any(e in text for e in _EDGES) or any(s in text for s in self.special):
-            return False
-        return text[:1].strip() != "" or not text
-
-    def learn(self, words: Iterable[str]) -> None:
-        new = list(dict.fromkeys(words))
-        ids = self.whole(" " + " ".join(new))
-        ends = np.cumsum(self.width[ids])
-        wanted = np.cumsum([len(w.encode()) + 1 for w in new])
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.start[found] - (ends - count), count)]
+        return ids, np.add.reduceat(count, head)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Number of each word, or -1."""
+        slot = (key >> U(64 - SLOTS)).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], -1)
+        open_ = np.flatnonzero((there != key) & (there != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << SLOTS) - 1)
+            there = self.keys[slot[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (there != 0)]
+        return out
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray, mark: int) -> None:
+        """Encode new words, each behind the mark that stands before it: a space, or for a text's first word a line end."""
+        raw, separator = memoryview(data), bytes([mark])
+        words = [bytes(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        ids = self.whole((separator + separator.join(words)).decode())
+        ends, wanted = np.cumsum(self.width[ids]), np.cumsum([len(w) + 1 for w in words])
         last = np.searchsorted(ends, wanted)
-        if not np.array_equal(ends[last], wanted):  # a token spans words: no vocabulary for this way
-            raise ValueError("the vocabulary has tokens that span words")
         count = np.diff(np.concatenate(([0], last + 1)))
-        k, n = len(self.known), len(new)
-        self.start, self.count = _room(self.start, k + n), _room(self.count, k + n)
+        skip = int(mark == NEW_LINE)  # the mark is no part of a first word
+        if not np.array_equal(ends[last], wanted) or skip and not np.all(self.width[ids[last + 1 - count]] == 1):
+            parts = [self.whole((b"" if skip else separator).decode() + w.decode()) for w in words]
+            ids, count, skip = np.concatenate(parts), np.array([len(p) for p in parts]), 0
+        n = len(words)
+        self.start, self.count = _room(self.start, self.words + n), _room(self.count, self.words + n)
         self.pool = _room(self.pool, self.used + len(ids))
-        self.start[k : k + n] = self.used + np.cumsum(count) - count
-        self.count[k : k + n] = count
+        self.start[self.words : self.words + n] = self.used + np.cumsum(count) - count + skip
+        self.count[self.words : self.words + n] = count - skip
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(new, range(k, k + n), strict=True))
+        value = np.arange(self.words, self.words + n, dtype=np.int32)
+        slot = (key >> U(64 - SLOTS)).astype(np.int64)
+        while len(slot):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = key[put], value[put]
+            rest = np.ones(len(slot), bool)
+            rest[put] = False
+            key, value, slot = key[rest], value[rest], (slot[rest] + 1) & ((1 << SLOTS) - 1)
+        self.words += n
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:
     return array if n <= len(array) else np.concatenate((array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)))
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]

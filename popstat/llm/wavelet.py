@@ -296,8 +296,8 @@ def texts_as_ids(model: str, end: int) -> Callable[[pa.RecordBatch], Iterator[np
     def ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         from popstat.llm.encoding import encoder
 
-        encode, last = encoder(model).encode, np.array([end], np.uint32)
-        for text in batch.column("_payload"):
-            yield np.concatenate((encode(text.as_py() or ""), last))
+        last = np.array([end], np.uint32)
+        for ids in encoder(model).encode(batch.column("_payload")):
+            yield np.concatenate((ids, last))
 
     return ids_of
