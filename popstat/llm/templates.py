@@ -28,7 +28,10 @@ UNITS = frozenset(
     "pa kpa bar c f k % percent usd eur gbp dollars euros pounds dollar euro cents bp kbp mbp morgans generations".split()
 )
 LITERAL, NUM, UNIT, NAME = range(4)
-_SLOT = [np.uint64(xxhash.xxh64_intdigest(f"<{kind}>", 1)) for kind in ("literal", "number", "unit", "name")]
+#: Stands for a line end among tokens; if a text holds it as a word, that is read as a line end.
+LINE = "\x00line"
+CHUNK = 100_000
+_SLOT = np.array([xxhash.xxh64_intdigest(f"<{kind}>", 1) for kind in ("literal", "number", "unit", "name")], np.uint64)
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
@@ -36,41 +39,56 @@ class Reader:
     """Turns texts into template tokens; what it keeps of words is bounded."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[str, int, int]] = {}
+        self.forget()
 
-    def word(self, token: str) -> tuple[str, int, int]:
-        """Folded word, its kind as far as it shows by itself, and its hash; an empty word is no token."""
-        if token not in self.known:
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
+    def forget(self) -> None:
+        self.known: dict[str, int] = {LINE: 0}
+        self.words = [""]
+        room = KNOWN_WORDS * 2
+        self.kind, self.hash = np.zeros(room, np.int8), np.zeros(room, np.uint64)
+        self.ends, self.unit = np.zeros(room, bool), np.zeros(room, bool)
+        self.ends[0] = True
+
+    def learn(self, token: str) -> int:
+        """Number of a token: its folded word, its kind as far as it shows by itself, and its hash; "" is no word."""
+        core = token.rstrip(".,;:!?")
+        if core.isalpha():
+            word, kind = core.casefold(), NAME if core[0].isupper() else LITERAL
+        else:
             core = WORD_EDGES.sub("", token) or ("%" if token.startswith("%") else "")
-            folded = core.casefold()
-            marked = token.strip("()[]{}\"'.,;:!?").casefold()
-            kind = NUM if NUMBER_UNIT.fullmatch(marked) or NUMBER.fullmatch(folded) else NAME if core[:1].isupper() else LITERAL
-            self.known[token] = (marked if kind == NUM else folded, kind, xxhash.xxh64_intdigest(folded, 1))
-        return self.known[token]
+            word = token.strip("()[]{}\"'.,;:!?").casefold()
+            kind = NUM if NUMBER_UNIT.fullmatch(word) else NAME if core[:1].isupper() else LITERAL
+            word = word if kind == NUM else core.casefold()
+        i = self.known[token] = len(self.words)
+        self.words.append(word)
+        if i == len(self.kind):
+            grow = lambda a: np.concatenate((a, np.zeros_like(a)))
+            self.kind, self.hash, self.ends, self.unit = (grow(a) for a in (self.kind, self.hash, self.ends, self.unit))
+        self.kind[i], self.ends[i], self.unit[i] = kind, token.endswith(ENDS_SENTENCE), word in UNITS
+        self.hash[i] = xxhash.xxh64_intdigest(word, 1) if word else 0
+        return i
+
+    def numbers(self, text: str | None) -> list[int]:
+        """Numbers of a text's tokens; 0 stands before the text and for each line end."""
+        tokens = [LINE, *(text or "").replace("\n", f" {LINE} ").split()]
+        found = list(map(self.known.get, tokens))
+        if None in found:
+            found = [self.known[t] if t in self.known else self.learn(t) for t in tokens]
+        return found
 
-    def read(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, kinds and literal hashes of a text's tokens.
+    def read(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the tokens are words, and the kinds of those.
 
         A capitalised word is a name unless it opens a sentence; a unit is one after a number.
         """
-        words, kinds, hashes = [], [], []
-        opens = True
-        for line in (text or "").split("\n"):
-            for token in line.split():
-                word, kind, hashed = self.word(token)
-                if word:
-                    if kind == NAME and opens:
-                        kind = LITERAL
-                    elif word in UNITS and kinds and kinds[-1] == NUM:
-                        kind = UNIT
-                    words.append(word)
-                    kinds.append(kind)
-                    hashes.append(hashed)
-                opens = token.endswith(ENDS_SENTENCE)
-            opens = True
-        return words, np.array(kinds, np.int8), np.array(hashes, np.uint64)
+        kind = self.kind[numbers]
+        opens = np.concatenate(([True], self.ends[numbers[:-1]]))
+        kind[(kind == NAME) & opens] = LITERAL
+        word = np.flatnonzero(self.hash[numbers] != 0)
+        kind = kind[word]
+        after = np.concatenate(([False], kind[:-1] == NUM))
+        kind[after & self.unit[numbers[word]] & (kind != NUM)] = UNIT
+        return word, kind
 
 
 def window_keys(kinds: np.ndarray, hashes: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,59 +97,74 @@ def window_keys(kinds: np.ndarray, hashes: np.ndarray, size: int) -> list[tuple[
     if n <= 0:
         return []
     out = []
+    of = lambda mask: (c := np.concatenate(([0], np.cumsum(mask))))[size:] - c[:-size]
+    named = of(kinds == NAME)
     for slots in ((NUM, UNIT), (NUM, UNIT, NAME)):
         free = np.isin(kinds, slots)
-        values = hashes.copy()
-        for kind in slots:
-            values[kinds == kind] = _SLOT[kind]
-        key = np.full(n, size * 3, np.uint64)
-        literal, named = np.zeros(n, np.int64), np.zeros(n, bool)
-        for k in range(size):
-            key += (values[k : k + n] ^ (values[k : k + n] >> np.uint64(29))) * _FACTORS[k]
-            literal += ~free[k : k + n]
-            named |= kinds[k : k + n] == NAME
-        key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        fit = literal >= LITERALS
+        fit = size - of(free) >= LITERALS
         if NAME in slots:
-            fit &= named
+            fit &= named > 0
         start = np.flatnonzero(fit)
-        out.append((start, key[start]))
+        values = np.where(free, _SLOT[kinds], hashes)
+        values ^= values >> np.uint64(29)
+        key = np.full(len(start), size * 3, np.uint64)
+        for k in range(size):
+            key += values[start + k] * _FACTORS[k]
+        out.append((start, (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)))
     return out
 
 
-def _slots(words: list[str], kinds: np.ndarray, start: int, size: int, names: bool) -> list[str]:
+def _slots(words: list[str], kinds: np.ndarray, names: bool) -> list[str]:
     """The values in a window's slots; number, unit and name values never equal each other."""
     wanted = {NUM: "n", UNIT: "u"} | ({NAME: "a"} if names else {})
-    return [wanted[int(kinds[i])] + words[i] for i in range(start, start + size) if int(kinds[i]) in wanted]
+    return [wanted[k] + w for w, k in zip(words, kinds.tolist(), strict=True) if k in wanted]
 
 
 def _windows(sizes: list[int] | None, held=None):
     """Windows of each text; with a filter only those that may match a scenario."""
 
+    def of_texts(reader: Reader, ids: list, numbers: list[list[int]], bits: np.ndarray | None, out: list[list]) -> None:
+        laid = np.array([i for text in numbers for i in text], np.int64)
+        text = np.repeat(np.arange(len(numbers)), [len(t) for t in numbers])
+        word, kinds = reader.read(laid)
+        laid, text = laid[word], text[word]
+        total = np.bincount(text, minlength=len(ids))
+        first = np.cumsum(total) - total
+        for size in sizes or [min(WINDOW, len(laid))]:
+            for names, (start, key) in enumerate(window_keys(kinds, reader.hash[laid], size)):
+                if bits is not None:
+                    place = key & np.uint64(FILTER_BITS - 1)
+                    met = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+                    start, key = start[met == 1], key[met == 1]
+                inside = text[start] == text[start + size - 1]
+                start, key = start[inside], key[inside]
+                own = text[start]
+                values = ([ids[t] for t in own], key.view(np.int64).tolist(), (start - first[own]).tolist(), total[own].tolist(), [
+                    _slots([reader.words[i] for i in laid[s : s + size]], kinds[s : s + size], bool(names)) for s in start
+                ])
+                for column, more in zip(out, values, strict=True):
+                    column += more
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         bits = held.value if held is not None else None
         for batch in batches:
-            ids, keys, starts, totals, slots = [], [], [], [], []
+            out: list[list] = [[], [], [], [], []]
+            ids, numbers, tokens = [], [], 0
             for name, text in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
-                words, kinds, hashes = reader.read(text.as_py())
-                for size in sizes or [min(WINDOW, len(words))]:
-                    for names, (start, key) in enumerate(window_keys(kinds, hashes, size)):
-                        if bits is not None:
-                            place = key & np.uint64(FILTER_BITS - 1)
-                            met = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
-                            start, key = start[met == 1], key[met == 1]
-                        keys += key.view(np.int64).tolist()
-                        starts += start.tolist()
-                        ids += [name] * len(start)
-                        totals += [len(words)] * len(start)
-                        slots += [_slots(words, kinds, s, size, bool(names)) for s in start]
+                ids.append(name)
+                numbers.append(reader.numbers(text.as_py()))
+                tokens += len(numbers[-1])
+                if tokens >= CHUNK or sizes is None or len(reader.words) > KNOWN_WORDS:
+                    of_texts(reader, ids, numbers, bits, out)
+                    ids, numbers, tokens = [], [], 0
+                    if len(reader.words) > KNOWN_WORDS:
+                        reader.forget()
+            if ids:
+                of_texts(reader, ids, numbers, bits, out)
+            kinds = [batch.schema.field("_id").type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, batch.schema.field("_id").type), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()),
-                    pa.array(totals, pa.int32()), pa.array(slots, pa.list_(pa.string())),
-                ],
-                names=["_id", "key", "start", "total", "slots"],
+                [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["_id", "key", "start", "total", "slots"]
             )
 
     return run
