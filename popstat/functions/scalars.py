@@ -33,8 +33,11 @@ def _value(value) -> Column:
 
 
 def pack_locus(chrom, pos) -> Column:
-    """Chromosome in the high 32 bits, position in the low 32."""
-    return F.shiftleft(_col(chrom).cast("long"), 32).bitwiseOR(_col(pos).cast("long"))
+    """Chromosome in the high 32 bits, position in the low 32; a position beyond them is an error."""
+    pos = _col(pos).cast("long")
+    packed = F.shiftleft(_col(chrom).cast("long"), 32).bitwiseOR(pos)
+    beyond = (pos < 0) | (pos > 4294967295)
+    return F.when(beyond, F.raise_error(F.lit("position outside 32 bits")).cast("long")).otherwise(packed)
 
 
 def locus_chrom(locus) -> Column:

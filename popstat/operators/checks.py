@@ -44,10 +44,21 @@ NOT_NEGATIVE = {
 }
 
 
+#: Positions and lengths fit 32 bits without sign, so that a locus packs into 64.
+LAST_POSITION = 4294967295
+COORDINATES = {
+    "chromosomes": ("length",), "regions": ("start", "end"), "rec_intervals": ("start", "end"), "mutations": ("pos",),
+}
+
+
 def check_bounds(table: str, df: DataFrame) -> DataFrame:
-    """Numbers of a model table that must be positive or must not be negative."""
+    """Numbers of a model table that must be positive, must not be negative, or must fit 32 bits."""
     rules = {f"{c} must be positive": F.col(c) <= 0 for c in POSITIVE.get(table, ()) if c in df.columns}
     rules |= {f"{c} must not be negative": F.col(c) < 0 for c in NOT_NEGATIVE.get(table, ()) if c in df.columns}
+    rules |= {
+        f"{c} outside 32 bits": (F.col(c) < 0) | (F.col(c) > LAST_POSITION)
+        for c in COORDINATES.get(table, ()) if c in df.columns
+    }
     return violations(df, rules)
 
 

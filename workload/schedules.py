@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,44 @@ def _(v):
     return ck.check_bounds("scenarios", v.scenarios).select("scenario", "violation")
 
 
+_BOUNDS = {
+    "chromosomes": ("p_partkey AS id, (p_size - 5) * 150000000 AS length", """
+        SELECT id, 'length must be positive' AS violation FROM t WHERE length <= 0
+        UNION ALL SELECT id, 'length outside 32 bits' FROM t WHERE length < 0 OR length > 4294967295"""),
+    "regions": ('p_partkey AS id, p_size * 100000000 AS "start", p_size * 100000000 - 300000000 AS "end"', """
+        SELECT id, 'start outside 32 bits' AS violation FROM t WHERE "start" < 0 OR "start" > 4294967295
+        UNION ALL SELECT id, 'end outside 32 bits' FROM t WHERE "end" < 0 OR "end" > 4294967295"""),
+    "rec_intervals": ('p_partkey AS id, p_size AS "start", p_size * 120000000 AS "end", p_size - 10 AS rate_scale', """
+        SELECT id, 'rate_scale must not be negative' AS violation FROM t WHERE rate_scale < 0
+        UNION ALL SELECT id, 'end outside 32 bits' FROM t WHERE "end" > 4294967295"""),
+    "region_types": ("p_partkey AS id, p_size - 8 AS mutation_scale", """
+        SELECT id, 'mutation_scale must not be negative' AS violation FROM t WHERE mutation_scale < 0"""),
+    "region_weights": ("p_partkey AS id, p_size - 3 AS weight", """
+        SELECT id, 'weight must be positive' AS violation FROM t WHERE weight <= 0"""),
+    "mutations": ("p_partkey AS id, p_size * 99000000 AS pos", """
+        SELECT id, 'pos outside 32 bits' AS violation FROM t WHERE pos > 4294967295"""),
+}
+_BOUNDS_SQL = " UNION ALL ".join(
+    f"SELECT '{table}' AS model_table, id, violation FROM (WITH t AS (SELECT {columns.replace('p_size', 'CAST(p_size AS BIGINT)')} FROM part) {rules})"
+    for table, (columns, rules) in _BOUNDS.items()
+)
+
+
+@query("check_bounds_model", _BOUNDS_SQL)
+def _(v):
+    """Every table of a model, made from parts so that each rule is broken somewhere."""
+    found = [
+        ck.check_bounds(table, v.table("part").selectExpr(*_columns(columns))).select(
+            F.lit(table).alias("model_table"), "id", "violation")
+        for table, (columns, _) in _BOUNDS.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _columns(text: str) -> list[str]:
+    return [c.strip().replace('"', "`").replace("p_size", "CAST(p_size AS BIGINT)") for c in text.split(",")]
+
+
 @query("check_distributions", """SELECT type_id, violation FROM (
 SELECT type_id, 'constant outside its clamp' AS violation FROM mutation_types
   WHERE sel_kind = 'constant' AND (sel_p1 < sel_min OR sel_p1 > sel_max)
