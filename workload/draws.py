@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from popstat.operators import sampling as sp
 from popstat.operators.intervals import cdf_lookup
+from popstat.operators.joins import annotate_region
 from popstat.operators.windows import cumulative_cdf
 from workload.registry import big, query, r6
 from workload.views import Views
@@ -100,6 +101,75 @@ def _(v):
     return made.select("mutation_id", "chrom", "pos", "type", *[r6(c) for c in doubles])
 
 
+# ---- moments of draws against closed forms ----
+
+# kind: parameters, mean, variance
+_MOMENTS = {
+    "constant": (0.3, 0.0, 0.3, 0.0), "uniform": (-1.0, 1.0, 0.0, 1 / 3), "normal": (0.2, 0.5, 0.2, 0.25),
+    "exponential": (0.4, 0.0, 0.4, 0.16), "gamma": (-0.3, 2.0, -0.3, 0.045), "beta": (2.0, 5.0, 2 / 7, 10 / (49 * 8)),
+}
+_RATES = (0.5, 5.0, 60.0, 900.0)
+
+
+def _agrees(mean, variance, value: str = "x"):
+    """Mean within five standard errors; variance within five of its own, for a kurtosis of at most nine."""
+    n = F.count(F.lit(1))
+    return [
+        n.alias("n"),
+        (F.abs(F.avg(value) - mean) <= 5 * F.sqrt(variance / n) + 1e-9).alias("mean_agrees"),
+        (F.abs(F.var_pop(value) - variance) <= 5 * variance * F.sqrt(F.lit(8.0) / n) + 1e-9).alias("variance_agrees"),
+    ]
+
+
+@query("draw_moments", f"""SELECT {list(_MOMENTS)}[l_partkey % 6 + 1] AS kind, count(*) AS n, true AS mean_agrees,
+true AS variance_agrees FROM lineitem GROUP BY 1""")
+def _(v):
+    """Draws of every distribution have its mean and variance."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), *[F.lit(float(x)).alias(c) for c, x in zip(("p1", "p2", "mean", "variance"), p)])
+                      for k, p in _MOMENTS.items()])
+    lines = v.table("lineitem").select(
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"),
+        F.element_at(kinds, (F.col("l_partkey") % 6 + 1).cast("int")).alias("k"),
+    ).select("key", "k.*")
+    none = F.lit(None).cast("double")
+    drawn = lines.withColumn("x", sp.draw("key", "kind", "p1", "p2", none, none, seed=3))
+    return drawn.groupBy("kind").agg(*_agrees(F.max("mean"), F.max("variance")))
+
+
+@query("poisson_moments", f"""SELECT CAST({list(_RATES)}[o_custkey % 4 + 1] AS DOUBLE) AS rate, count(*) AS n, true AS mean_agrees,
+true AS variance_agrees FROM orders GROUP BY 1""")
+def _(v):
+    """Counts of small and large rates have the rate as mean and variance."""
+    rates = F.array(*[F.lit(r) for r in _RATES])
+    orders = v.table("orders").select("o_orderkey", F.element_at(rates, (F.col("o_custkey") % 4 + 1).cast("int")).alias("rate"))
+    counted = sp.poisson_counts(orders, "rate", "o_orderkey", seed=4, name="x")
+    return counted.groupBy("rate").agg(*_agrees(F.max("rate"), F.max("rate")))
+
+
+@query("synthesize_moments", """SELECT r.region_type, count(*) AS n_regions, true AS share_agrees, true AS inside,
+(SELECT count(*) FROM orders) AS n FROM regions r GROUP BY 1""")
+def _(v):
+    """Every id has one mutation, inside a region, and region types get their share of the mass."""
+    types = v.types.select(
+        "type", F.lit("constant").alias("sel_kind"), F.lit(0.1).alias("sel_p1"), F.lit(0.0).alias("sel_p2"),
+        F.lit(None).cast("double").alias("sel_min"), F.lit(None).cast("double").alias("sel_max"), F.lit("additive").alias("dom_kind"),
+        F.lit(0.5).alias("dom_p1"), *[F.lit(0.0).alias(f"dom_p{i}") for i in (2, 3, 4)],
+        F.lit(None).cast("struct<kind:string,p1:double,p2:double,min_value:double,max_value:double>").alias("dom_dist"),
+    )
+    ids = v.table("orders").select(F.col("o_orderkey").alias("mutation_id"))
+    made = sp.synthesize_mutations(ids, v.regions, v.region_types, v.region_weights, types, seed=6)
+    placed = annotate_region(made, v.regions).groupBy("region_type").agg(F.count(F.lit(1)).alias("found"))
+    mass = F.sum(F.col("mutation_scale") * (F.col("end") - F.col("start")))
+    shares = v.regions.join(v.region_types, "region_type").groupBy("region_type").agg(mass.alias("mass"), F.count(F.lit(1)).alias("n_regions"))
+    total, found = (d.agg(F.sum(c)).scalar() for d, c in ((shares, "mass"), (placed, "found")))
+    joined = shares.join(placed, "region_type", "left").withColumn("n", made.agg(F.count_distinct("mutation_id")).scalar())
+    p = F.col("mass") / total
+    return joined.select(
+        "region_type", "n_regions", (F.abs(F.col("found") - F.col("n") * p) <= 5 * F.sqrt(F.col("n") * p * (1 - p)) + 1).alias("share_agrees"),
+        (found == F.col("n")).alias("inside"), "n",
+    )
+
+
 @query("seed_list", """SELECT p_partkey, CAST(r AS BIGINT) AS replicate, CAST(CASE WHEN r <= 8 THEN
 [101, 202, 303, 404, 505, 606, 707, 808][r] ELSE 909 + 101 * (r - 9) END AS BIGINT) AS seed
 FROM (SELECT p_partkey, unnest(range(1, p_size + 1)) AS r FROM part)""")
