@@ -3,14 +3,18 @@
 Every unordered pair of haplotypes counts, so the work is that of a sparse matrix
 times its transpose. Haplotypes are hashed into blocks and mutations into chunks;
 a task takes one pair of blocks and one chunk, both of bounded size however common
-a mutation or however rich a haplotype is, and multiplies two 0/1 matrices. Pairs
-come out once per chunk with their shared count, and are summed over the chunks.
+a mutation or however rich a haplotype is, and multiplies two 0/1 matrices. Where pairs
+are asked for they come out once per chunk with their shared count, and are summed over
+the chunks; means are summed inside the tiles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +46,7 @@ def _packed(carriers: DataFrame, by: By, block: int, chunk: int) -> DataFrame:
     )
     placed = attach(carriers, sizes, by)
     chunk_of = hash_bucket(["mutation_id"], F.col("_chunks")).cast("int").alias("_chunk")
-    packed = placed.groupBy(*by, "haplotype_id", chunk_of, "_blocks").agg(
+    packed = placed.groupBy(*by, "haplotype_id", chunk_of, "_blocks", "_chunks").agg(
         F.collect_list("mutation_id").alias("_ids")
     )
     block_of = hash_bucket(["haplotype_id"], F.col("_blocks")).cast("int").alias("_block")
@@ -53,14 +57,39 @@ def _packed(carriers: DataFrame, by: By, block: int, chunk: int) -> DataFrame:
 
 def _matrix(rows: pd.DataFrame, common: np.ndarray) -> np.ndarray:
     """0/1 matrix, haplotypes by the common mutations."""
+    ids = np.concatenate(list(rows["_ids"]))
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows["_ids"]])
+    at = np.minimum(np.searchsorted(common, ids), len(common) - 1)
+    found = common[at] == ids
     matrix = np.zeros((len(rows), len(common)), dtype=np.float32)
-    for r, ids in enumerate(rows["_ids"]):
-        at = np.searchsorted(common, ids)
-        at[at == len(common)] = 0
-        matrix[r, at[common[at] == ids]] = 1.0
+    matrix[row[found], at[found]] = 1.0
     return matrix
 
 
+def _shared(lo: int, hi: int, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray] | None:
+    """The haplotypes of both blocks and the counts they share in one chunk; of one block only pairs once."""
+    left, right = rows[rows["_block"] == lo], rows[rows["_block"] == hi]
+    if left.empty or right.empty:
+        return None
+    ids = np.unique(np.concatenate(list(left["_ids"])))
+    if lo != hi:
+        ids = np.intersect1d(ids, np.concatenate(list(right["_ids"])))
+    if not len(ids):
+        return None
+    x = _matrix(left, ids)
+    counts = x @ (x if lo == hi else _matrix(right, ids)).T
+    return left, right, np.triu(counts, 1) if lo == hi else counts
+
+
+def _tiles(packed: DataFrame, by: By) -> DataFrame:
+    """Packed rows once for each pair of blocks they belong to."""
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1))
+    return packed.withColumn("_other", other).select(
+        *by, "haplotype_id", "_ids", "_size", "_chunk", "_chunks", "_block",
+        F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"),
+    )
+
+
 def pair_set_sizes(carriers: DataFrame, by: By = (), block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Pairs a < b with a shared mutation: size of either set, intersection and union."""
     return _pairs(_packed(carriers, by, block, chunk), by)
@@ -68,31 +97,16 @@ def pair_set_sizes(carriers: DataFrame, by: By = (), block: int = BLOCK, chunk:
 
 def _pairs(packed: DataFrame, by: By) -> DataFrame:
     by = list(by)
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1))
-    tiles = packed.withColumn("_other", other).select(
-        *by, "haplotype_id", "_ids", "_size", "_chunk", "_block",
-        F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"),
-    )
+    tiles = _tiles(packed, by)
     group_fields = [packed.schema[name] for name in by]
     names = ["haplotype_a", "haplotype_b", "size_a", "size_b", "shared"]
     schema = T.StructType(group_fields + [T.StructField(n, T.LongType()) for n in names])
 
     def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key[-3], key[-2]
-        left = rows[rows["_block"] == lo]
-        right = rows[rows["_block"] == hi]
-        if left.empty or right.empty:
+        met = _shared(key[-3], key[-2], rows)
+        if met is None:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
-        ids = np.unique(np.concatenate(list(left["_ids"])))
-        if lo != hi:
-            ids = np.intersect1d(ids, np.concatenate(list(right["_ids"])))
-        if not len(ids):
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        x = _matrix(left, ids)
-        y = x if lo == hi else _matrix(right, ids)
-        shared = x @ y.T
-        if lo == hi:
-            shared = np.triu(shared, 1)
+        left, right, shared = met
         r, c = np.nonzero(shared)
         h1, h2 = left["haplotype_id"].to_numpy()[r], right["haplotype_id"].to_numpy()[c]
         s1, s2 = left["_size"].to_numpy()[r], right["_size"].to_numpy()[c]
@@ -110,6 +124,73 @@ def _pairs(packed: DataFrame, by: By) -> DataFrame:
     return pairs.withColumn("union_size", F.col("size_a") + F.col("size_b") - F.col("shared"))
 
 
+def _sums(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[float]:
+    """Jaccard, Dice and overlap summed over a matrix of shared counts; sets of these sizes are not empty."""
+    shared, a, b = shared.astype(np.float64), a.astype(np.float64)[:, None], b.astype(np.float64)[None, :]
+    return [float(x.sum()) for x in (shared / (a + b - shared), 2 * shared / (a + b), shared / np.minimum(a, b))]
+
+
+def _similarity_sums(packed: DataFrame, by: By) -> DataFrame:
+    """Each metric summed over the pairs of a group that share a mutation; no pair leaves its tile.
+
+    A tile of one chunk gives three numbers. Tiles of several chunks give their counts as
+    one packed matrix a chunk, which are added up batch by batch for each pair of blocks.
+    """
+    by = list(by)
+    groups = [packed.schema[name] for name in by]
+    longs, numbers = T.ArrayType(T.LongType()), [T.StructField(m, T.DoubleType()) for m in SIMILARITY_METRICS]
+    counted = [T.StructField(n, longs) for n in ("_left", "_right", "_a", "_b")] + [T.StructField("_counts", T.BinaryType())]
+    blocks = [T.StructField(n, T.IntegerType()) for n in ("_lo", "_hi")]
+    schema = T.StructType([*groups, *blocks, *numbers, *counted])
+    names = [f.name for f in schema.fields]
+
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        met = _shared(key[-3], key[-2], rows)
+        if met is None:
+            return pd.DataFrame(columns=names)
+        left, right, shared = met
+        sizes = left["_size"].to_numpy(), right["_size"].to_numpy()
+        if int(rows["_chunks"].iloc[0]) == 1:
+            return pd.DataFrame([[*key[:-1], *_sums(shared, *sizes), *[None] * 5]], columns=names)
+        ids = [x["haplotype_id"].to_numpy() for x in (left, right)]
+        counts = shared.astype("<i4").tobytes()
+        return pd.DataFrame([[*key[:-1], None, None, None, *ids, *sizes, counts]], columns=names)
+
+    made = _tiles(packed, by).groupBy(*by, "_lo", "_hi", "_chunk").applyInPandas(multiply, schema)
+    several = packed.agg(F.max("_chunks")).first()[0]
+    if several is not None and several > 1:
+        made = cut_lineage(made)
+        once = made.where("_counts is null").select(*by, *SIMILARITY_METRICS)
+        added = made.where("_counts is not null").groupBy(*by, "_lo", "_hi").applyInArrow(
+            _add_up, T.StructType([*groups, *numbers])
+        )
+        made = once.unionByName(added)
+    return made.groupBy(*by).agg(*[F.sum(m).alias(m) for m in SIMILARITY_METRICS])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of one pair of blocks from its counts by chunk, which come in any order."""
+    rows, columns, a, b = {}, {}, {}, {}
+    total, key = np.zeros((0, 0), np.int64), None
+    for batch in batches:
+        key = {n: batch.column(n).slice(0, 1) for n in batch.schema.names if n not in _COUNTED}
+        for row in batch.select(["_left", "_right", "_a", "_b", "_counts"]).to_pylist():
+            for ids, sizes, place, size in ((row["_left"], row["_a"], rows, a), (row["_right"], row["_b"], columns, b)):
+                for i, n in zip(ids, sizes, strict=True):
+                    size[place.setdefault(i, len(place))] = n
+            grown = np.zeros((len(rows), len(columns)), np.int64)
+            grown[: total.shape[0], : total.shape[1]] = total
+            counts = np.frombuffer(row["_counts"], "<i4").reshape(len(row["_left"]), len(row["_right"]))
+            grown[np.ix_([rows[i] for i in row["_left"]], [columns[i] for i in row["_right"]])] += counts
+            total = grown
+    sums = _sums(total, *(np.array([s[i] for i in range(len(s))], np.float64) for s in (a, b)))
+    values = {**key, **{m: pa.array([x]) for m, x in zip(SIMILARITY_METRICS, sums, strict=True)}}
+    yield pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, list) else v for v in values.values()], names=list(values))
+
+
+_COUNTED = {"_lo", "_hi", "_left", "_right", "_a", "_b", "_counts", *SIMILARITY_METRICS}
+
+
 def haplotype_overlaps(carriers: DataFrame, by: By = (), block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Shared-mutation count of each pair a < b; a pair without a row shares nothing."""
     return pair_set_sizes(carriers, by, block, chunk).select(*by, "haplotype_a", "haplotype_b", "shared")
@@ -124,9 +205,7 @@ def pairwise_similarities(
     both sets are empty; a group with fewer than two haplotypes has similarity 1.
     """
     packed = _packed(segregating_carriers(carriers, haplotypes, by), by, block, chunk)
-    sums = _pairs(packed, by).groupBy(*by).agg(
-        *[F.sum(set_similarity("size_a", "size_b", "shared", m)).alias(m) for m in SIMILARITY_METRICS]
-    )
+    sums = _similarity_sums(packed, by)
     sums = per_group(haplotypes, sums, by, dict.fromkeys(SIMILARITY_METRICS, 0.0))
     loaded = packed.groupBy(*by).agg(F.count_distinct("haplotype_id").alias("_loaded"))
     loaded = per_group(haplotypes, loaded, by, {"_loaded": 0})
