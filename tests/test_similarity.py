@@ -62,3 +62,17 @@ def test_given_pairs(skewed, spark):
     got = sampled_pairwise_similarity(df, table, "jaccard").first().mean_similarity
     jaccard = len(sets[1] & sets[2]) / len(sets[1] | sets[2])
     assert abs(got - (2 * jaccard + 0.0 + 1.0) / 4) < 1e-12
+
+
+@pytest.mark.parametrize(("block", "chunk"), [(256, 16384), (3, 40)])
+def test_means_of_groups_for_any_tiling(skewed, spark, block, chunk):
+    df, haplotypes, sets = skewed
+    few = "haplotype_id < 9"
+    named = lambda d, g: d.selectExpr("*", f"'{g}' AS g")
+    both = named(df, "a").unionByName(named(df.where(few), "b"))
+    everyone = named(haplotypes, "a").unionByName(named(haplotypes.where(few), "b"))
+    got = {r.g: [r.jaccard, r.dice, r.overlap] for r in pairwise_similarities(both, everyone, ["g"], block, chunk).collect()}
+    first = {h: s for h, s in sets.items() if h < 9}
+    common = set.intersection(*(first.get(h, set()) for h in range(9)))
+    want = {"a": brute(sets, 30), "b": brute({h: s - common for h, s in first.items()}, 9)}
+    assert all(abs(x - y) < 1e-12 for g in want for x, y in zip(got[g], want[g], strict=True))
