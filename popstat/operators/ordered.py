@@ -3,7 +3,9 @@
 A window over (partition by key order by x) puts a whole key into one task. Here
 the rows are cut into ordered slices of about equal size by one range shuffle, each
 slice is scanned on its own, and what the earlier slices of the key contribute is
-added from a summary of one row per key and slice.
+added from a summary of one row per key and slice. The scanned rows are written, so that
+they are scanned once. Running sums of doubles depend in their last bits on the borders of
+the slices, which come from a sample.
 """
 
 from __future__ import annotations
@@ -19,14 +21,28 @@ from popstat.session import cut_lineage
 SLICE = "_slice"
 
 
-def in_slices(df: DataFrame, by: By, order: Sequence[str]) -> DataFrame:
+def _sliced(df: DataFrame, by: By, order: Sequence[str]) -> DataFrame:
     """Rows with the number of their slice; slices ascend with (by, order).
 
-    The slice borders are drawn from a sample, so the result is written once and
-    every later step reads the same assignment.
+    The slice borders are drawn from a sample, so what follows from them must be written
+    before it is read twice.
     """
-    ranged = df.repartitionByRange(*by, *order).withColumn(SLICE, F.spark_partition_id())
-    return cut_lineage(ranged)
+    return df.repartitionByRange(*by, *order).withColumn(SLICE, F.spark_partition_id())
+
+
+def in_slices(df: DataFrame, by: By, order: Sequence[str]) -> DataFrame:
+    """Rows with the number of their slice, written, so that every later step reads the same."""
+    return cut_lineage(_sliced(df, by, order))
+
+
+def _with_slices(rows: DataFrame, summary: DataFrame, by: By) -> DataFrame:
+    """Rows with the summary of their slice; NULL is a group like any other."""
+    keys = [*by, SLICE]
+    renamed = summary.withColumnsRenamed({k: f"_k_{i}" for i, k in enumerate(keys)})
+    same = rows[SLICE] == renamed[f"_k_{len(by)}"]
+    for i, k in enumerate(by):
+        same = same & rows[k].eqNullSafe(renamed[f"_k_{i}"])
+    return rows.join(renamed, same)
 
 
 def _earlier_slices(by: By) -> Window:
@@ -53,14 +69,14 @@ def running_totals(
     }[combine]
     by, before = list(by), dict(before or {})
     staged = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    sliced = in_slices(staged, by, order)
+    sliced = _sliced(staged, by, order)
     inside = Window.partitionBy(*by, SLICE).orderBy(*order)
     upto, ahead = (inside.rowsBetween(Window.unboundedPreceding, last) for last in (0, -1))
-    scanned = sliced.select(
+    scanned = cut_lineage(sliced.select(
         "*",
         *[fold(f"_v_{n}").over(upto).alias(f"_r_{n}") for n in values],
         *[F.coalesce(fold(f"_v_{n}").over(ahead), F.lit(neutral)).alias(f"_b_{n}") for n in before],
-    )
+    ))
     position = F.struct(*order)
     slice_totals = scanned.groupBy(*by, SLICE).agg(
         *[F.max_by(f"_r_{n}", position).alias(f"_t_{n}") for n in values]
@@ -69,7 +85,7 @@ def running_totals(
     offsets = slice_totals.select(
         *by, SLICE, *[F.coalesce(fold(f"_t_{n}").over(earlier), F.lit(neutral)).alias(f"_o_{n}") for n in values]
     )
-    return scanned.join(offsets, [*by, SLICE]).select(
+    return _with_slices(scanned, offsets, by).select(
         *df.columns,
         *[join(F.col(f"_o_{n}"), F.col(f"_r_{n}")).alias(n) for n in values],
         *[join(F.col(f"_o_{n}"), F.col(f"_b_{n}")).alias(name) for n, name in before.items()],
@@ -85,15 +101,14 @@ def row_index(df: DataFrame, name: str, order: Sequence[str], by: By = ()) -> Da
 def previous_value(df: DataFrame, name: str, value: str, order: Sequence[str], by: By = ()) -> DataFrame:
     """``df`` with ``value`` of the row before, NULL at the first row of a group."""
     by = list(by)
-    sliced = in_slices(df, by, order)
-    last = sliced.groupBy(*by, SLICE).agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carried = last.select(
-        *by, SLICE, F.last("_last").over(_earlier_slices(by)).alias("_carried")
-    )
     inside = Window.partitionBy(*by, SLICE).orderBy(*order)
-    scanned = sliced.select(
+    scanned = cut_lineage(_sliced(df, by, order).select(
         "*", F.lag(value).over(inside).alias("_lag"), F.row_number().over(inside).alias("_row")
+    ))
+    last = scanned.groupBy(*by, SLICE).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    carried = last.select(
+        *by, SLICE, F.last("_last").over(_earlier_slices(by)).alias("_carried")
     )
-    return scanned.join(carried, [*by, SLICE]).select(
+    return _with_slices(scanned, carried, by).select(
         *df.columns, F.when(F.col("_row") == 1, F.col("_carried")).otherwise(F.col("_lag")).alias(name)
     )

@@ -131,3 +131,13 @@ def test_dense_range_in_blocks(spark):
     df = spark.createDataFrame([(1, 10), (2, 0)], "k BIGINT, n BIGINT")
     rows = sorted((r.k, r.v) for r in dense_range(df, "v", "n", block=4).collect())
     assert rows == [(1, v) for v in range(11)] + [(2, 0)]
+
+
+def test_null_is_a_group(spark):
+    from popstat.operators.ordered import previous_value, running_totals
+
+    df = spark.createDataFrame([(g, i) for g in (None, "a") for i in range(5)], "g string, x long")
+    totals = running_totals(df, {"t": F.col("x")}, ["x"], ["g"]).collect()
+    assert sorted((r.g is None, r.x, r.t) for r in totals) == sorted((g, i, sum(range(i + 1))) for g in (True, False) for i in range(5))
+    before = previous_value(df, "p", "x", ["x"], ["g"]).collect()
+    assert sorted((r.g is None, r.x, -1 if r.p is None else r.p) for r in before) == sorted((g, i, i - 1) for g in (True, False) for i in range(5))
