@@ -1,6 +1,6 @@
 """Point-in-interval joins by equi-join on bins.
 
-Points get one bin, intervals one row per bin they touch, and the join runs on the
+Points get one bin a level, intervals one row per bin they touch, and the join runs on the
 bin, so it is a hash or sort-merge join of any size: the optimizer broadcasts the
 intervals if they are small, and splits skewed bins if they are not.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popstat.operators.groups import By, attach, dense_range
+from popstat.session import cut_lineage
 
 
 def _in_bins(intervals: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -33,22 +34,33 @@ def interval_join(
 ) -> DataFrame:
     """``points`` with the columns of the interval [start, end) around ``position``.
 
-    Bins are as wide as the average interval, so that the intervals grow to at
-    most twice their number plus one row per bin.
+    An interval is binned at the power of two that is at least its width, so it touches
+    at most two bins of its own level, and intervals that do not overlap are at most three
+    to a bin whatever their widths. A point is looked up once per level that occurs, of
+    which there are few; ``how`` is "inner" or "left".
     """
-    width = intervals.agg(
-        F.greatest(F.lit(1.0), F.ceil(F.avg(F.col(end) - F.col(start))).cast("double"))
-    ).scalar()
-    p = points.withColumn("_bin", F.floor(F.col(position) / width)).alias("p")
-    low, high = F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)
-    i = _in_bins(intervals.where(F.col(end) > F.col(start)), low, high).alias("i")
-    match = (F.col("p._bin") == F.col("i._bin")) & (F.col(f"p.{position}") >= F.col(f"i.{start}"))
-    match = match & (F.col(f"p.{position}") < F.col(f"i.{end}"))
+    if how not in ("inner", "left"):
+        raise ValueError("how is inner or left")
+    level = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.col(end) - F.col(start)).cast("double")))).cast("int")
+    width = lambda l: F.pow(F.lit(2.0), l)
+    binned = intervals.where(F.col(end) > F.col(start)).withColumn("_level", level)
+    low, high = F.floor(F.col(start) / width("_level")), F.floor((F.col(end) - 1) / width("_level"))
+    i = _in_bins(binned, low, high).alias("i")
+    levels = binned.agg(F.collect_set("_level")).scalar()
+    numbered = points
+    if how == "left":
+        numbered = cut_lineage(points.withColumn("_point", F.monotonically_increasing_id()))
+    p = numbered.withColumn("_level", F.explode(levels))
+    p = p.withColumn("_bin", F.floor(F.col(position) / width("_level"))).alias("p")
+    match = (F.col("p._level") == F.col("i._level")) & (F.col("p._bin") == F.col("i._bin"))
+    match = match & (F.col(f"p.{position}") >= F.col(f"i.{start}")) & (F.col(f"p.{position}") < F.col(f"i.{end}"))
     for name in on:
         match = match & (F.col(f"p.{name}") == F.col(f"i.{name}"))
-    return p.join(i, match, how).select(
-        *[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{c}") for c in intervals.columns if c not in on]
-    )
+    found = [F.col(f"i.{c}") for c in intervals.columns if c not in on]
+    met = p.join(i, match)
+    if how == "inner":
+        return met.select(*[F.col(f"p.{c}") for c in points.columns], *found)
+    return numbered.join(met.select("_point", *found), "_point", "left").drop("_point")
 
 
 def cdf_lookup(draws: DataFrame, cdf: DataFrame, u: str = "u", by: By = ()) -> DataFrame:

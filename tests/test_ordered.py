@@ -141,3 +141,25 @@ def test_null_is_a_group(spark):
     assert sorted((r.g is None, r.x, r.t) for r in totals) == sorted((g, i, sum(range(i + 1))) for g in (True, False) for i in range(5))
     before = previous_value(df, "p", "x", ["x"], ["g"]).collect()
     assert sorted((r.g is None, r.x, -1 if r.p is None else r.p) for r in before) == sorted((g, i, i - 1) for g in (True, False) for i in range(5))
+
+
+def test_widths_of_any_size_meet_few_candidates(spark):
+    """20,000 intervals of width 1 beside one of two thousand million: each point meets its own."""
+    rows = [(0, i, i + 1, f"n{i}") for i in range(20_000)] + [(0, 20_000, 2_000_000_000, "wide")]
+    intervals = spark.createDataFrame(rows, "chrom int, start long, end long, name string")
+    points = spark.range(40_000).selectExpr("0 AS chrom", "id AS pos")
+    got = interval_join(points, intervals, ["chrom"])
+    assert got.count() == 40_000
+    assert got.where("(pos < 20000 and name != concat('n', pos)) or (pos >= 20000 and name != 'wide')").count() == 0
+    i = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in i and "NestedLoop" not in i
+
+
+def test_points_outside_stay_in_a_left_join(spark):
+    intervals = spark.createDataFrame([(0, 5, 8, "a"), (0, 8, 40, "b"), (1, 0, 1, "c")], "chrom int, start long, end long, name string")
+    points = spark.createDataFrame([(0, p) for p in (4, 5, 7, 8, 39, 40)] + [(1, 0), (2, 0), (0, 5)], "chrom int, pos long")
+    got = interval_join(points, intervals, ["chrom"], how="left").collect()
+    assert sorted((r.chrom, r.pos, r.name or "") for r in got) == [
+        (0, 4, ""), (0, 5, "a"), (0, 5, "a"), (0, 7, "a"), (0, 8, "b"), (0, 39, "b"), (0, 40, ""), (1, 0, "c"), (2, 0, ""),
+    ]
+    assert interval_join(points, intervals.limit(0), ["chrom"], how="left").count() == 9
