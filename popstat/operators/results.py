@@ -140,11 +140,27 @@ def max_abs_bin_diff(a, b, keys: Keys, pos: str = "pos", value: str = "share") -
     return distribution_distance(a, b, keys, pos, value).select(*keys, "max_bin_abs_diff")
 
 
+MAXIMA = ("max_scalar_rel_diff", "max_vector_tvd")
+#: What is told of a variant in comparisons and overviews.
+VARIANT_META = ("scenario_description", "alias_builder", "threads")
+
+
+def with_meta(summary: DataFrame, rows: DataFrame, keys: Keys, names: Keys = VARIANT_META) -> DataFrame:
+    """``summary`` with what the rows of a key say of it; rows of one key agree, so any is as good."""
+    meta = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in names])
+    return summary.join(meta, list(keys), "left")
+
+
 def merge_variant_maxima(scalar: DataFrame, vector: DataFrame, variant: str = "variant") -> DataFrame:
-    """Worst scalar error beside worst vector distance of each variant, absent ones 0."""
+    """Worst scalar error beside worst vector distance of each variant, absent ones 0.
+
+    What else is known of a variant on either side, its builder and threads say, is kept.
+    """
     zero = F.lit(0.0)
+    known = [c for c in dict.fromkeys([*scalar.columns, *vector.columns]) if c not in (variant, *MAXIMA)]
+    either = [F.coalesce(*[d[c] for d in (scalar, vector) if c in d.columns]).alias(c) for c in known]
     return scalar.join(vector, variant, "full").select(
-        variant,
+        variant, *either,
         F.coalesce("max_scalar_rel_diff", zero).alias("max_scalar_rel_diff"),
         F.coalesce("max_vector_tvd", zero).alias("max_vector_tvd"),
     )
@@ -153,10 +169,11 @@ def merge_variant_maxima(scalar: DataFrame, vector: DataFrame, variant: str = "v
 def worst_error_per_variant(
     comparison: DataFrame, distances: DataFrame, metrics=BIOLOGICAL_METRICS, variant: str = "variant"
 ) -> DataFrame:
-    """Largest relative error over the biological metrics and largest distance, per variant."""
+    """Largest relative error over the biological metrics and largest distance, per variant, with its builder and threads."""
+    meta = lambda df: [F.max(c).alias(c) for c in ("alias_builder", "threads") if c in df.columns]
     counted = F.when(F.col("metric").isin(*metrics), F.col("rel_diff"))
-    scalar = comparison.groupBy(variant).agg(F.max(counted).alias("max_scalar_rel_diff"))
-    vector = distances.groupBy(variant).agg(F.max("tvd").alias("max_vector_tvd"))
+    scalar = comparison.groupBy(variant).agg(*meta(comparison), F.max(counted).alias("max_scalar_rel_diff"))
+    vector = distances.groupBy(variant).agg(*meta(distances), F.max("tvd").alias("max_vector_tvd"))
     return merge_variant_maxima(scalar, vector, variant)
 
 

@@ -18,6 +18,7 @@ from popstat.operators.results import (
     scaling_efficiency,
     speed_summary,
     speedup_vs_reference,
+    with_meta,
     worst_error_per_variant,
 )
 from popstat.sources.readers import read_result_table
@@ -50,6 +51,7 @@ def summarize_tables(tables: dict[str, DataFrame], reference: str) -> dict[str,
     """Summary tables of the six raw tables (keys as in ``RESULT_TABLES``)."""
     scalars = _own_variant(tables["accuracy_scalars"], reference)
     scalar_summary = replicate_summary(scalars, [*VARIANT, "metric"], "value")
+    scalar_summary = with_meta(scalar_summary, scalars, VARIANT)
     comparison = compare_to_reference(scalar_summary, reference)
 
     vectors = _own_variant(tables["accuracy_vectors"], reference)
@@ -63,6 +65,7 @@ def summarize_tables(tables: dict[str, DataFrame], reference: str) -> dict[str,
         F.coalesce("mean_total", F.lit(0.0)).alias("mean_total"),
     )
     distances = _vector_distances(groups, normalized_distribution(means, keys, "mean_value"), reference)
+    distances = with_meta(distances, vectors.where(F.col("simulator") != reference), ["case_label", "variant"])
 
     speed = speed_summary(tables["speed_runs"], [*RUN[:3], "simulator", *RUN[3:]])
     scaling = scaling_efficiency(speed_summary(tables["scaling_runs"], RUN))

@@ -18,6 +18,13 @@ def _comparison(v: Views):
     return rs.compare_to_reference(v.scalar_summary, "ref")
 
 
+def _comparison_with_meta(v: Views):
+    """The case's description is made from its label."""
+    runs = v.runs.withColumn("scenario_description", F.concat(F.lit("runs of "), "case_label"))
+    summary = rs.with_meta(v.scalar_summary, runs, ["case_label", "simulator", "variant"])
+    return rs.compare_to_reference(summary, "ref")
+
+
 @query("rel_diff", """SELECT event_id, round(abs(value - user_id) / CASE WHEN abs(user_id) > 1e-12 THEN abs(user_id)
 ELSE 1 END, 6) AS rel_diff FROM events""")
 def _(v):
@@ -124,12 +131,14 @@ def _(v):
     )
 
 
-@query("compare_to_reference", """SELECT case_label, variant, metric, n_reps, ref_n, round(mean, 6) AS mean,
+@query("compare_to_reference", """SELECT case_label, concat('runs of ', case_label) AS scenario_description, variant,
+split_part(variant, '@T', 1) AS alias_builder, CAST(split_part(variant, '@T', 2) AS BIGINT) AS threads,
+metric, n_reps, ref_n, round(mean, 6) AS mean,
 round(ref_mean, 6) AS ref_mean, round(ref_sd, 6) AS ref_sd, round(abs_diff, 6) AS abs_diff,
 round(rel_diff, 6) AS rel_diff FROM comparison""")
 def _(v):
-    return _comparison(v).select(
-        "case_label", "variant", "metric", "n_reps", "ref_n", r6("mean"), r6("ref_mean"), r6("ref_sd"),
+    return _comparison_with_meta(v).select(
+        "case_label", "scenario_description", "variant", "alias_builder", "threads", "metric", "n_reps", "ref_n", r6("mean"), r6("ref_mean"), r6("ref_sd"),
         r6("abs_diff"), r6("rel_diff"),
     )
 
@@ -174,26 +183,41 @@ def _(v):
 
 
 def _variant_distances(v: Views):
-    return v.runs.groupBy("variant").agg((F.max("value") / 1000).alias("tvd")).where("variant like '%T8'")
+    """A distance per variant, under a name that no comparison has for those with an odd number of runs."""
+    name = F.when(F.count(F.lit(1)) % 2 == 1, F.concat("variant", F.lit("-only"))).otherwise(F.col("variant"))
+    return v.runs.groupBy("variant", "alias_builder", "threads").agg((F.max("value") / 1000).alias("tvd"), name.alias("named")).select(
+        F.col("named").alias("variant"), "alias_builder", "threads", "tvd")
+
+
+_DISTANCES = """(SELECT named AS variant, max(alias_builder) AS alias_builder, max(threads) AS threads, max(tvd) AS tvd FROM
+(SELECT CASE WHEN count(*) % 2 = 1 THEN concat(variant, '-only') ELSE variant END AS named, alias_builder, threads,
+  max(value) / 1000 AS tvd FROM runs GROUP BY variant, alias_builder, threads) GROUP BY 1)"""
 
 
 @query("worst_error_per_variant", f"""SELECT coalesce(s.variant, d.variant) AS variant,
+coalesce(s.alias_builder, d.alias_builder) AS alias_builder, coalesce(s.threads, d.threads) AS threads,
 round(coalesce(s.e, 0), 6) AS max_scalar_rel_diff, round(coalesce(d.tvd, 0), 6) AS max_vector_tvd FROM
-(SELECT variant, max(CASE WHEN {_BIO} THEN rel_diff END) AS e FROM comparison GROUP BY 1) s FULL JOIN
-(SELECT variant, max(value) / 1000 AS tvd FROM runs GROUP BY 1 HAVING variant LIKE '%T8') d ON s.variant = d.variant""")
+(SELECT variant, split_part(variant, '@T', 1) AS alias_builder, CAST(split_part(variant, '@T', 2) AS BIGINT) AS threads,
+  max(CASE WHEN {_BIO} THEN rel_diff END) AS e FROM comparison GROUP BY 1) s FULL JOIN {_DISTANCES} d ON s.variant = d.variant""")
 def _(v):
-    return rs.worst_error_per_variant(_comparison(v), _variant_distances(v)).select(
-        "variant", r6("max_scalar_rel_diff"), r6("max_vector_tvd")
+    return rs.worst_error_per_variant(_comparison_with_meta(v), _variant_distances(v)).select(
+        "variant", "alias_builder", "threads", r6("max_scalar_rel_diff"), r6("max_vector_tvd")
     )
 
 
 @query("merge_variant_maxima", """SELECT coalesce(s.variant, d.variant) AS variant, round(coalesce(s.e, 0), 6)
 AS max_scalar_rel_diff, round(coalesce(d.t, 0), 6) AS max_vector_tvd FROM
-(SELECT variant, max(value) AS e FROM runs WHERE variant NOT LIKE '%T1' GROUP BY 1) s FULL JOIN
-(SELECT variant, min(value) AS t FROM runs WHERE variant NOT LIKE '%T2' GROUP BY 1) d ON s.variant = d.variant""")
+(SELECT CASE WHEN variant LIKE '%T1' THEN concat(variant, '-s') ELSE variant END AS variant, max(value) AS e FROM runs GROUP BY 1) s FULL JOIN
+(SELECT CASE WHEN variant LIKE '%T2' THEN concat(variant, '-v') ELSE variant END AS variant, min(value) AS t FROM runs GROUP BY 1) d
+ON s.variant = d.variant""")
 def _(v):
-    scalar = v.runs.where("variant NOT LIKE '%T1'").groupBy("variant").agg(F.max("value").alias("max_scalar_rel_diff"))
-    vector = v.runs.where("variant NOT LIKE '%T2'").groupBy("variant").agg(F.min("value").alias("max_vector_tvd"))
+    """Variants of one thread are named anew on one side and those of two on the other, so neither finds its partner."""
+    def renamed(end: str, mark: str):
+        name = F.when(F.col("variant").endswith(end), F.concat("variant", F.lit(mark))).otherwise(F.col("variant"))
+        return v.runs.groupBy(name.alias("variant"))
+
+    scalar = renamed("T1", "-s").agg(F.max("value").alias("max_scalar_rel_diff"))
+    vector = renamed("T2", "-v").agg(F.min("value").alias("max_vector_tvd"))
     return rs.merge_variant_maxima(scalar, vector).select(
         "variant", r6("max_scalar_rel_diff"), r6("max_vector_tvd")
     )
@@ -244,10 +268,13 @@ def _(v):
 
 @query("attach_reference_speed", """SELECT b.case_label, b.alias_builder, round(r.ref_mean_ms_per_gen, 6)
 AS ref_mean_ms_per_gen, round(r.ref_mean_ms_per_gen / b.best_mean_ms_per_gen, 6) AS speedup_vs_ref
-FROM best b LEFT JOIN (SELECT * FROM ref_speed WHERE case_label <> 'error') r ON b.case_label = r.case_label""")
+FROM best b LEFT JOIN (SELECT CASE WHEN case_label = 'error' THEN 'other' ELSE case_label END AS case_label, ref_mean_ms_per_gen
+FROM ref_speed) r ON b.case_label = r.case_label""")
 def _(v):
+    """The reference of one case goes by another name, so that case has none."""
     best = rs.best_config(v.speed.where("simulator <> 'ref'"))
-    joined = rs.attach_reference_speed(best, v.ref_speed.where("case_label <> 'error'"), missing=None)
+    other = F.when(F.col("case_label") == "error", "other").otherwise(F.col("case_label"))
+    joined = rs.attach_reference_speed(best, v.ref_speed.withColumn("case_label", other), missing=None)
     return joined.select("case_label", "alias_builder", r6("ref_mean_ms_per_gen"), r6("speedup_vs_ref"))
 
 
