@@ -22,7 +22,8 @@ from popstat.session import cut_lineage
 
 U = np.uint64
 ROUNDS = 4
-CHUNK = 200_000
+#: Words worked on at a time, and rows after which equal keys are gathered and sent off: both bound a worker's memory.
+CHUNK, FLUSH = 200_000, 500_000
 # Odd constants, so that multiplication modulo 2**64 can be undone
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in BASES)
@@ -206,23 +207,28 @@ def _gathered(keys: list[np.ndarray], rows: np.ndarray, starts: np.ndarray) -> t
 
 
 def _emit_blocks(window: int):
+    def gathered(found: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        made = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+        keys, places = _gathered([made["symbol"], made["content"], made["windows"]], made["row"], made["start"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys[0]), pa.array(keys[1]), pa.array(keys[2].astype(np.int32)), places],
+            names=["symbol", "content", "windows", "places"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, held = [], 0
             for rows, chunk in _chunks(batch.column("row").to_pylist(), _encoded(batch.column("_log"))):
                 hashes, ends = _laid_out(chunk)
                 made = blocks(hashes, ends, window)
                 made["row"] = np.asarray(rows, np.int64)[made.pop("log")]
                 found.append(made)
-            made = {k: np.concatenate([f[k] for f in found]) for k in found[0]} if found else None
-            if made is None or not len(made["row"]):
-                continue
-            keys = [made["symbol"], made["content"], made["windows"].astype(np.int64)]
-            keys, places = _gathered(keys, made["row"], made["start"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0]), pa.array(keys[1]), pa.array(keys[2].astype(np.int32)), places],
-                names=["symbol", "content", "windows", "places"],
-            )
+                held += len(made["row"])
+                if held >= FLUSH:
+                    yield gathered(found)
+                    found, held = [], 0
+            if held:
+                yield gathered(found)
 
     return run
 
@@ -241,12 +247,17 @@ def _spans_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _emit_windows(window: int):
     """128-bit names of the windows of the given blocks of each log."""
 
+    def gathered(made: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        k0, k1, rows, start = (np.concatenate(x) for x in zip(*made, strict=True))
+        keys, places = _gathered([k0, k1], rows, start)
+        return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), places], names=["k0", "k1", "places"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("row").to_numpy()
             counts, starts, windows = _spans_of(batch.column("wanted"))
             span = np.concatenate(([0], np.cumsum(counts)))
-            made = []
+            made, held = [], 0
             for logs, chunk in _chunks(list(range(len(row))), _encoded(batch.column("_log"))):
                 hashes, ends = _laid_out(chunk)
                 begins = np.concatenate(([0], ends[:-1]))
@@ -256,11 +267,13 @@ def _emit_windows(window: int):
                 start = np.repeat(starts[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 at, hashed = start + begins[log], Passages(hashes)
                 names = [hashed.of(at, at + window, which).view(np.int64) for which in (0, 1)]
-                made.append((*names, row[logs][log], start))
-            k0, k1, rows, start = (np.concatenate(x) for x in zip(*made, strict=True)) if made else [np.zeros(0)] * 4
-            if len(k0):
-                keys, places = _gathered([k0, k1], rows, start)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), places], names=["k0", "k1", "places"])
+                made.append((*names, row[logs][log], start.astype(np.int32)))
+                held += len(start)
+                if held >= FLUSH:
+                    yield gathered(made)
+                    made, held = [], 0
+            if held:
+                yield gathered(made)
 
     return run
 
