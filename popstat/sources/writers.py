@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popstat.functions.scalars import hap_index, individual_of
+from popstat.functions.scalars import hap_index, individual_of, recover_dominance
 from popstat.functions.text import export_number, format_int_vector, format_scalar
 from popstat.operators.filters import segregating
 from popstat.operators.results import union_results
 from popstat.operators.statistics import site_counts
 from popstat.operators.windows import import_type_ids, polymorphism_ids
+from popstat.session import cut_lineage
 from popstat.sources.schemas import COUNT_STATISTICS, STAT_ROW_COLUMNS, VECTOR_COLUMNS
 
 
@@ -47,6 +48,20 @@ def _line(*parts) -> Column:
     return F.concat_ws(" ", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def exported_effects(mutations: DataFrame) -> DataFrame:
+    """``mutations`` with s and h as their stored effects say, and ``used_fallback``.
+
+    Needs hom_factor, het_factor, dom_kind and dom_p1..dom_p4, and ``dom_mean``, the mean of the
+    dominance distribution, which stands for h where a mutation has no selection: s is the
+    homozygous factor less one, and h follows from the rule of the type or from both factors.
+    """
+    s = F.col("hom_factor") - F.lit(1.0)
+    parameters = [f"dom_p{i}" for i in range(1, 5)]
+    recovered = recover_dominance("dom_kind", *parameters, s, "het_factor", "dom_mean")
+    kept = [c for c in mutations.columns if c not in ("s", "h", "used_fallback")]
+    return mutations.select(*kept, s.alias("s"), recovered.alias("_r")).select(*kept, "s", "_r.h", "_r.used_fallback")
+
+
 def population_lines(
     carriers: DataFrame,
     mutations: DataFrame,
@@ -58,16 +73,18 @@ def population_lines(
 ) -> DataFrame:
     """Lines (chrom, section, number, line) of the text snapshot of one population.
 
-    ``mutations`` needs chrom, pos, type_index, dom_kind, s, h and origin_generation.
-    Only segregating mutations are written. The format wants one line per haplotype
+    ``mutations`` needs chrom, pos, type_index, dom_kind, s, h and origin_generation, with s
+    and h for example from :func:`exported_effects`. Only segregating mutations are written;
+    they are numbered once, and written before their own and the haplotypes' lines are made.
+    Types that draw h are numbered by the h that is printed. The format wants one line per haplotype
     and chromosome; it is put together from ordered pieces, so no task gathers more
     than one line.
     """
     sites = segregating(site_counts(carriers, haplotypes)).join(mutations, "mutation_id")
-    numbered = polymorphism_ids(sites)
+    numbered = cut_lineage(polymorphism_ids(sites).withColumn("_s", export_number("s")).withColumn("_h", export_number("h")))
     own_type = F.col("dom_kind").isin("distributed", "linear")
-    imported = import_type_ids(numbered.where(own_type), n_types).select("type_index", "h", "import_type_id")
-    typed = numbered.join(imported, ["type_index", "h"], "left").withColumn(
+    imported = import_type_ids(numbered.where(own_type), n_types, "_h").select("type_index", F.col("h").alias("_h"), "import_type_id")
+    typed = numbered.join(imported, ["type_index", "_h"], "left").withColumn(
         "type_id", F.when(own_type, F.col("import_type_id")).otherwise(F.col("type_index") + 1)
     )
     mutation_lines = typed.select(
@@ -75,7 +92,7 @@ def population_lines(
         _line(
             F.col("polymorphism_id").cast("string"), F.col("mutation_id").cast("string"),
             F.concat(F.lit("m"), F.col("type_id").cast("string")), F.col("pos").cast("string"),
-            export_number("s"), export_number("h"), "p1", F.col("origin_generation").cast("string"),
+            F.col("_s"), F.col("_h"), "p1", F.col("origin_generation").cast("string"),
             F.col("copies").cast("string"),
         ).alias("line"),
     )

@@ -114,6 +114,15 @@ def test_population_text(spark, tmp_path):
         "Haplosomes:", "p1:i0", "p1:i0", "p1:i1 0", "p1:i1"]
 
 
+def test_effects_are_read_from_the_factors(spark):
+    rows = [("additive", 0.9, 0.95, None), ("fixed", 0.9, 0.5, 0.3), ("linear", 0.5, 0.9, 0.4), ("distributed", 0.5, 0.9, None), ("distributed", 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "dom_kind string, hom_factor double, het_factor double, dom_p1 double").selectExpr(
+        "*", "-0.2D AS dom_p2", "0.0D AS dom_p3", "1.0D AS dom_p4", "0.7D AS dom_mean", "'stale' AS h")
+    got = wr.exported_effects(df).collect()
+    want = [(-0.1, 0.5, False), (-0.1, 0.3, False), (-0.5, 0.5, False), (-0.5, 0.2, False), (0.0, 0.7, True)]
+    assert all(abs(r.s - s) < 1e-12 and abs(r.h - h) < 1e-12 and r.used_fallback is f for r, (s, h, f) in zip(got, want, strict=True))
+
+
 def test_panel_holds_what_was_asked_for(spark):
     schedule = [("n_seg", "jaccard", "every", 2), ("site_frequency_spectrum", "jaccard", "every", 3),
                 ("pairwise_similarity", "dice", "every", 3), ("mean_fitness", "jaccard", "every", 3),

@@ -210,9 +210,11 @@ def _(v):
     return rd.read_result_table(v.spark, path, schema).withColumn("total_sec", F.round("total_sec", 6))
 
 
-_NUMBERED = """(SELECT m.mutation_id, m.chrom, m.pos, m.type_index, m.dom_kind, m.h, m.s * 100 AS s, m.origin_generation,
+_NUMBERED = """(SELECT m.mutation_id, m.chrom, m.pos, m.type_index, m.dom_kind, printf('%.17g', m.hom_factor - 1) AS s,
+  printf('%.17g', CAST(0 AS DOUBLE) + CASE m.dom_kind WHEN 'distributed' THEN (m.het_factor - 1) / (m.hom_factor - 1)
+    WHEN 'linear' THEN CAST(0.45 AS DOUBLE) + CAST(-350 AS DOUBLE) * (m.hom_factor - 1) ELSE m.h END) AS h, m.origin_generation,
   k.copies, row_number() OVER (PARTITION BY m.chrom ORDER BY m.pos, m.mutation_id) - 1 AS dense
-  FROM mutations_raw m JOIN (SELECT mutation_id, count(*) AS copies FROM carriers GROUP BY 1
+  FROM mutations m JOIN (SELECT mutation_id, count(*) AS copies FROM carriers GROUP BY 1
     HAVING count(*) < (SELECT n FROM n_haplotypes)) k ON k.mutation_id = m.mutation_id)"""
 _IMPORTED = f"""(SELECT type_index, h, row_number() OVER (ORDER BY chrom, pos, mutation_id) + 6 AS import_type_id FROM (
   SELECT *, row_number() OVER (PARTITION BY type_index, h ORDER BY chrom, pos, mutation_id) AS rn FROM {_NUMBERED}
@@ -228,7 +230,7 @@ UNION ALL SELECT chrom, 0, 0, concat('Chromosome: ', chrom, ' A ', chrom + 1, '
 UNION ALL SELECT chrom, 0, 1, 'Mutations:' FROM chromosomes
 UNION ALL SELECT chrom, 2, 0, 'Haplosomes:' FROM chromosomes
 UNION ALL SELECT n.chrom, 1, n.dense, concat(n.dense, ' ', n.mutation_id, ' m', coalesce(i.import_type_id,
-  n.type_index + 1), ' ', n.pos, ' ', printf('%.6f', n.s), ' ', printf('%.6f', n.h), ' p1 ', n.origin_generation, ' ',
+  n.type_index + 1), ' ', n.pos, ' ', n.s, ' ', n.h, ' p1 ', n.origin_generation, ' ',
   n.copies) FROM {_NUMBERED} n LEFT JOIN {_IMPORTED} i ON i.type_index = n.type_index AND i.h = n.h
 UNION ALL SELECT u.chrom, 3, h.haplotype_id, concat('p1:i', h.haplotype_id // 2, coalesce(' ' || l.ids, ''))
   FROM haplotypes h JOIN chromosomes u ON true
@@ -236,14 +238,11 @@ UNION ALL SELECT u.chrom, 3, h.haplotype_id, concat('p1:i', h.haplotype_id // 2,
     FROM carriers c JOIN {_NUMBERED} n ON n.mutation_id = c.mutation_id GROUP BY 1, 2) l
   ON l.haplotype_id = h.haplotype_id AND l.chrom = u.chrom""")
 def _(v):
-    """The numbers of mutation lines are cut to six decimals on both sides, as text forms differ."""
+    """Numbers with all their digits; s and h come from the stored effects."""
     carriers, haplotypes = v.everyone
-    scaled = v.mutations.withColumn("s", F.col("s") * 100)
-    lines = wr.population_lines(carriers, scaled, haplotypes, v.chromosomes, 6, 7)
-    parts = F.split("line", " ")
-    cut = lambda i: F.format_string("%.6f", F.get(parts, F.lit(i)).try_cast("double"))
-    numbers = F.concat_ws(" ", F.slice(parts, 1, 4), cut(4), cut(5), F.slice(parts, 7, 3))
-    mutation = (F.col("section") == 1) & (F.col("chrom") >= 0)
-    return lines.select(
-        "chrom", "section", big("number"), F.when(mutation, numbers).otherwise(F.col("line")).alias("line")
-    )
+    linear = F.col("dom_kind") == "linear"
+    rules = {"dom_p1": F.when(linear, 0.45).otherwise(F.col("h")), "dom_p2": F.lit(-350.0), "dom_p3": F.lit(-10.0),
+             "dom_p4": F.lit(10.0), "dom_mean": F.lit(0.5)}
+    stored = wr.exported_effects(v.mutations.withColumns(rules))
+    lines = wr.population_lines(carriers, stored, haplotypes, v.chromosomes, 6, 7)
+    return lines.select("chrom", "section", big("number"), "line")
