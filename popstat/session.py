@@ -60,7 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     folder = named or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="popstat-")
         context.setCheckpointDir(folder)
@@ -68,8 +68,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; see :func:`delete_scratch`."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_written: dict[str, list[str]] = {}
+
+
+def delete_scratch(spark: SparkSession) -> int:
+    """Delete what this session wrote below the shared folder; call it when its results have been used or saved.
+
+    Gives the number of folders deleted. Tables made from them can no longer be read.
+    """
+    paths, deleted = _written.pop(spark.sparkContext.applicationId, []), 0
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        deleted += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return deleted
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
