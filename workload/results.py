@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from popstat import functions as fn
 from popstat.operators import filters as fl
 from popstat.operators import results as rs
+from popstat.plans.collect import collect_tables
+from popstat.session import scratch_path
+from popstat.sources.readers import read_lines
 from workload.registry import big, query, r6, r9
 from workload.views import METRICS, SPEED_KEYS, VARIANT_KEYS, Views
 
@@ -423,3 +426,38 @@ ORDER BY threads, alias_builder""")
 def _(v):
     counted = v.runs.groupBy("alias_builder", "threads").agg(F.count(F.lit(1)).alias("n"))
     return rs.summary_order(counted, ["threads", "alias_builder"])
+
+
+# ---- run files ----
+
+@query("collect_runs", """SELECT 'accuracy' AS kind, event_type AS case_label,
+CASE WHEN event_id % 2 = 0 THEN 'ref' ELSE 'psa@T4' END AS variant, (user_id % 3 + 1) * 101 AS seed, metric, round(value, 4) AS value
+FROM (SELECT event_type, event_id % 2 AS event_id, user_id % 3 AS user_id, 'n_seg' AS metric, arg_max(value, event_id) AS value
+  FROM events GROUP BY 1, 2, 3
+UNION ALL SELECT event_type, 1, user_id % 3, 'total_wall_sec', min(value) FROM events WHERE event_id % 2 = 1 GROUP BY 1, 3
+UNION ALL SELECT event_type, 1, user_id % 3, 'avg_sec_per_gen', 0.5 FROM events WHERE event_id % 2 = 1 GROUP BY 1, 3)""")
+def _(v):
+    """Run files are written from events, read back with their paths and turned into the raw table of scalars.
+
+    A run of the reference prints its last value as a tagged metric, the others a row a
+    generation; the wall times are on their error output.
+    """
+    events = v.table("events").withColumn("seed", (F.col("user_id") % 3 + 1) * 101).withColumn("ref", F.col("event_id") % 2 == 0)
+    run = F.when(F.col("ref"), F.concat(F.lit("ref_seed"), "seed")).otherwise(F.concat(F.lit("cand_psa_T4_seed"), "seed"))
+    named = events.withColumn("run", run)
+    row = F.concat_ws("\t", "event_id", F.lit("0"), F.lit("0"), F.lit("n_seg"), F.lit(""), F.format_string("%.4f", "value"), *[F.lit("")] * 4)
+    rows = named.where("not ref").select("event_type", "run", F.col("event_id").alias("n"), row.alias("value"))
+    runs = named.groupBy("event_type", "run", "ref").agg(F.max_by("value", "event_id").alias("last"), F.min("value").alias("least"))
+    tagged = runs.where("ref").select("event_type", "run", F.lit(0).cast("long").alias("n"), F.format_string("scalar\tn_seg\t%.4f", "last").alias("value"))
+    wall = runs.where("not ref").select("event_type", "run", F.lit(0).cast("long").alias("n"),
+                                        F.format_string("Total wall-clock: %.4f sec\nAvg sec/gen: 0.5", "least").alias("value"))
+    folder = scratch_path(v.spark, "runs")
+    for end, lines in (("stdout", rows.unionByName(tagged)), ("stderr", wall)):
+        files = lines.repartition("event_type", "run").sortWithinPartitions("event_type", "run", "n")
+        files.select("value", "event_type", F.concat("run", F.lit(f".{end}")).alias("file")).write.partitionBy("event_type", "file").text(f"{folder}/{end}")
+    layout = F.regexp_replace("path", "event_type=([^/]+)/file=([^/]+)/.*$", "accuracy/$1/$2")
+    out, err = (read_lines(v.spark, f"{folder}/{end}").withColumn("path", layout) for end in ("stdout", "stderr"))
+    cases = v.table("events").select(F.col("event_type").alias("case_label")).distinct().select(
+        "case_label", F.col("case_label").alias("scenario_name"), F.lit("").alias("scenario_description"), F.lit(1).cast("long").alias("G"))
+    scalars = collect_tables(out, err, cases, "ref")["accuracy_scalars"]
+    return scalars.select(F.lit("accuracy").alias("kind"), "case_label", "variant", "seed", "metric", F.round("value", 4).alias("value"))
