@@ -13,7 +13,7 @@ U = np.uint64
 #: Words kept by a worker; beyond it they are learned anew. The table of their hashes has four times the room.
 MAX_WORDS = 1 << 20
 SLOTS = 22
-SLICE = 1 << 22
+SLICE = 1 << 20
 CALL = 512
 SPACE, NEW_LINE = 32, 10
 _POWER = U(0x9E3779B97F4A7C15)
@@ -32,6 +32,10 @@ _WHITE = _table((9, 10, 13, SPACE))
 # Bytes of ASCII text and of the letters U+00A1 .. U+00FF in UTF-8, soft hyphen excepted
 _KNOWN = _table([9, 10, 13, *range(32, 127), 0xC2, 0xC3, *range(0x80, 0xC0)])
 _NOT_AFTER_C2 = _table([*range(0x80, 0xA1), 0xAD])
+# A full stop or comma after a letter or digit is a token of its own for the pre-tokenization
+_TAIL = _table(b".,")
+_PLAIN_LETTER = _table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_SECOND_OF_LETTER = _table(set(range(0x80, 0xC0)) - {0x97, 0xB7})
 
 _encoders: dict[str, Encoder] = {}
 
@@ -62,6 +66,10 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # one character a byte
+        self.power = self.undo = np.zeros(0, U)
+        self.mark = np.zeros(256, np.uint32)
+        for c in ".,":
+            (self.mark[ord(c)],) = self.whole(c)
         self.forget()
 
     def forget(self) -> None:
@@ -134,10 +142,16 @@ class Encoder:
         stop = np.empty(len(start), np.int64)
         stop[:-1] = start[1:] - 1
         stop[np.append(head[1:] - 1, len(start) - 1)] = end
-        power = np.cumprod(np.full(len(data), _POWER), dtype=U)
-        undo = np.cumprod(np.full(len(data) + 1, _INVERSE), dtype=U)
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(_LETTER[data] * power, dtype=U)))
-        key = (sums[stop] - sums[start]) * undo[start] + (stop - start).astype(U) * U(0xD6E8FEB86659FD93)
+        # Words are looked up without a full stop or comma at their end
+        tail = self._tails(data, start, stop)
+        stop = stop - (tail != 0)
+        if len(self.power) <= len(data):
+            self.power, self.undo = (np.cumprod(np.full(len(data) + SLICE, x), dtype=U) for x in (_POWER, _INVERSE))
+        terms = _LETTER[data]
+        terms *= self.power[: len(data)]
+        sums = np.zeros(len(data) + 1, U)
+        np.cumsum(terms, out=sums[1:])
+        key = (sums[stop] - sums[start]) * self.undo[start] + (stop - start).astype(U) * U(0xD6E8FEB86659FD93)
         key[head] ^= _HEAD
         key = (key ^ (key >> U(32))) * U(0xFF51AFD7ED558CCD)
         key = np.maximum(key ^ (key >> U(29)), U(1))
@@ -154,11 +168,24 @@ class Encoder:
                     part = chosen[i : i + CALL]
                     self._learn(data, start[part], stop[part], key[part], mark)
             found = self._find(key)
-        count = self.count[found].astype(np.int64)
+        count = self.count[found] + (tail != 0).astype(np.int64)
         ends = np.cumsum(count)
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.start[found] - (ends - count), count)]
+        at = np.arange(ends[-1]) + np.repeat(self.start[found] - (ends - count), count)
+        ids = self.pool[np.minimum(at, len(self.pool) - 1)]
+        own = np.flatnonzero(tail)
+        ids[ends[own] - 1] = self.mark[tail[own]]
         return ids, np.add.reduceat(count, head)
 
+    def _tails(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The byte of a full stop or comma that ends a word behind a letter or digit, else 0."""
+        last = np.where(stop - start >= 2, data[np.maximum(stop - 1, 0)], 0)
+        own = np.flatnonzero(_TAIL[last])
+        before, lead = data[stop[own] - 2], data[np.maximum(stop[own] - 3, 0)]
+        letter = _PLAIN_LETTER[before] | (_SECOND_OF_LETTER[before] & (lead == 0xC3) & (stop[own] - start[own] >= 3))
+        out = np.zeros(len(start), np.uint8)
+        out[own[letter]] = last[own[letter]]
+        return out
+
     def _find(self, key: np.ndarray) -> np.ndarray:
         """Number of each word, or -1."""
         slot = (key >> U(64 - SLOTS)).astype(np.int64)
