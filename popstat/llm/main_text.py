@@ -1,6 +1,6 @@
 """Main text of web pages by tree scoring.
 
-The reference project keeps no web pages, so the operator is general: any table of pages
+This project keeps no web pages, so the operator is general: any table of pages
 with ``page_id``, ``url`` and ``html``.
 """
 
