@@ -1,6 +1,6 @@
 """A toxicity classifier that does not learn from mentions of groups of people.
 
-The reference project keeps no text that people wrote, so the operators here are general:
+This project keeps no text that people wrote, so the operators here are general:
 any table with an id, a text and, for training, a label.
 """
 
@@ -194,14 +194,14 @@ def score_toxicity(texts: DataFrame, model: ToxicityModel, text: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            scores = pa.array([score(t.as_py()) for t in batch.column("_scored")], pa.float64())
-            rest = [n for n in batch.schema.names if n != "_scored"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), scores], names=[*rest, "score"])
-
-    named = texts.select(*[F.col(c) for c in texts.columns if c not in ("score", "predicted")], F.col(text).cast("string").alias("_scored"))
-    kept = named.drop("_scored").schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"])
-    return named.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            scores = pa.array([score(t.as_py()) for t in batch.column(text).cast(pa.string())], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+
+    if text in ("score", "predicted"):
+        raise ValueError(f"the text column may not be named {text}")
+    kept = texts.drop("score", "predicted")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "score double"])
+    return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id"):
