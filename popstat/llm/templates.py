@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ UNITS = frozenset(
     "pa kpa bar c f k % percent usd eur gbp dollars euros pounds dollar euro cents bp kbp mbp morgans generations".split()
 )
 LITERAL, NUM, UNIT, NAME = range(4)
+#: Readings of a text: number and unit as one slot; runs of names, too; every token as a word.
+VALUES, NAMES, WORDS = range(3)
 #: Stands for a line end among tokens; if a text holds it as a word, that is read as a line end.
 LINE = "\x00line"
 CHUNK = 100_000
@@ -76,10 +79,10 @@ class Reader:
             found = [self.known[t] if t in self.known else self.learn(t) for t in tokens]
         return found
 
-    def read(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the tokens are words, and the kinds of those.
+    def read(self, numbers: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the tokens are words, and the kinds of those; ``text`` tells the tokens' texts apart.
 
-        A capitalised word is a name unless it opens a sentence; a unit is one after a number.
+        A capitalised word is a name unless it opens a sentence; a unit is one after a number of its text.
         """
         kind = self.kind[numbers]
         opens = np.concatenate(([True], self.ends[numbers[:-1]]))
@@ -91,57 +94,92 @@ class Reader:
         return word, kind
 
 
-def window_keys(kinds: np.ndarray, hashes: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Start and key of the windows with enough literals: once with names as words, once as slots."""
+def tokens_of(reading: int, kinds: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Words at which the tokens of a reading begin; a number takes its unit along, a name the names after it."""
+    if reading == WORDS:
+        return np.arange(len(kinds))
+    begins = kinds != UNIT
+    if reading == NAMES:
+        begins[1:] &= ~((kinds[1:] == NAME) & (kinds[:-1] == NAME) & (text[1:] == text[:-1]))
+    return np.flatnonzero(begins)
+
+
+def window_keys(reading: int, kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and key of a reading's windows.
+
+    Those with slots need LITERALS literals. Windows of words only count where the first reading
+    has slots or too few words; all others it has already, with the same keys.
+    """
     n = len(kinds) - size + 1
-    if n <= 0:
-        return []
-    out = []
+    if n <= 0 or size <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     of = lambda mask: (c := np.concatenate(([0], np.cumsum(mask))))[size:] - c[:-size]
-    named = of(kinds == NAME)
-    for slots in ((NUM, UNIT), (NUM, UNIT, NAME)):
-        free = np.isin(kinds, slots)
+    if reading == WORDS:
+        free = np.zeros(len(kinds), bool)
+        fit = (of((kinds == NUM) | (kinds == UNIT)) > 0) | (size < LITERALS)
+    else:
+        free = np.isin(kinds, (NUM, NAME) if reading == NAMES else (NUM,))
         fit = size - of(free) >= LITERALS
-        if NAME in slots:
-            fit &= named > 0
-        start = np.flatnonzero(fit)
-        values = np.where(free, _SLOT[kinds], hashes)
-        values ^= values >> np.uint64(29)
-        key = np.full(len(start), size * 3, np.uint64)
-        for k in range(size):
-            key += values[start + k] * _FACTORS[k]
-        out.append((start, (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)))
+        if reading == NAMES:
+            fit &= of(kinds == NAME) > 0
+    start = np.flatnonzero(fit)
+    values = np.where(free, _SLOT[kinds], hashes)
+    values ^= values >> np.uint64(29)
+    key = np.full(len(start), size * 3, np.uint64)
+    for k in range(size):
+        key += values[start + k] * _FACTORS[k]
+    return start, (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _slots(words: list[str], kinds: np.ndarray, reading: int) -> list[str]:
+    """The values in a window's slots; a number with its unit is one, so is a run of names, and they never equal each other."""
+    out: list[str] = []
+    before = LITERAL
+    for word, kind in zip(words, kinds.tolist(), strict=True):
+        if kind == NUM and reading != WORDS:
+            out.append("n" + word)
+        elif kind == UNIT and reading != WORDS and before == NUM:
+            out[-1] += word
+        elif kind == NAME and reading == NAMES:
+            if before == NAME:
+                out[-1] += " " + word
+            else:
+                out.append("a" + word)
+        before = kind
     return out
 
 
-def _slots(words: list[str], kinds: np.ndarray, names: bool) -> list[str]:
-    """The values in a window's slots; number, unit and name values never equal each other."""
-    wanted = {NUM: "n", UNIT: "u"} | ({NAME: "a"} if names else {})
-    return [wanted[k] + w for w, k in zip(words, kinds.tolist(), strict=True) if k in wanted]
+COLUMNS = ["_id", "key", "start", "end", "size", "total", "slots"]
 
 
 def _windows(sizes: list[int] | None, held=None):
-    """Windows of each text; with a filter only those that may match a scenario."""
+    """Windows of each text by their first word and the one after the last; with a filter only those that may match a scenario."""
 
     def of_texts(reader: Reader, ids: list, numbers: list[list[int]], bits: np.ndarray | None, out: list[list]) -> None:
         laid = np.array([i for text in numbers for i in text], np.int64)
         text = np.repeat(np.arange(len(numbers)), [len(t) for t in numbers])
-        word, kinds = reader.read(laid)
+        word, kinds = reader.read(laid, text)
         laid, text = laid[word], text[word]
         total = np.bincount(text, minlength=len(ids))
         first = np.cumsum(total) - total
-        for size in sizes or [min(WINDOW, len(laid))]:
-            for names, (start, key) in enumerate(window_keys(kinds, reader.hash[laid], size)):
+        for reading in (VALUES, NAMES):
+            begin = tokens_of(reading, kinds, text)
+            end = np.append(begin[1:], len(laid))
+            for size in sizes or [min(WINDOW, len(begin))]:
+                start, key = window_keys(reading, kinds[begin], reader.hash[laid[begin]], size)
                 if bits is not None:
                     place = key & np.uint64(FILTER_BITS - 1)
                     met = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
                     start, key = start[met == 1], key[met == 1]
-                inside = text[start] == text[start + size - 1]
-                start, key = start[inside], key[inside]
-                own = text[start]
-                values = ([ids[t] for t in own], key.view(np.int64).tolist(), (start - first[own]).tolist(), total[own].tolist(), [
-                    _slots([reader.words[i] for i in laid[s : s + size]], kinds[s : s + size], bool(names)) for s in start
-                ])
+                lo, hi = begin[start], end[start + size - 1]
+                inside = text[lo] == text[hi - 1]
+                lo, hi, key = lo[inside], hi[inside], key[inside]
+                own = text[lo]
+                values = (
+                    [ids[t] for t in own], key.view(np.int64).tolist(), (lo - first[own]).tolist(), (hi - first[own]).tolist(),
+                    [size] * len(own), total[own].tolist(),
+                    [_slots([reader.words[i] for i in laid[s:e]], kinds[s:e], reading) for s, e in zip(lo, hi, strict=True)],
+                )
                 for column, more in zip(out, values, strict=True):
                     column += more
 
@@ -149,7 +187,7 @@ def _windows(sizes: list[int] | None, held=None):
         reader = Reader()
         bits = held.value if held is not None else None
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in COLUMNS]
             ids, numbers, tokens = [], [], 0
             for name, text in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
                 ids.append(name)
@@ -162,17 +200,15 @@ def _windows(sizes: list[int] | None, held=None):
                         reader.forget()
             if ids:
                 of_texts(reader, ids, numbers, bits, out)
-            kinds = [batch.schema.field("_id").type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["_id", "key", "start", "total", "slots"]
-            )
+            kinds = [batch.schema.field("_id").type, pa.int64(), *[pa.int32()] * 4, pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=COLUMNS)
 
     return run
 
 
 def _found_windows(texts: DataFrame, sizes: list[int] | None, held=None) -> DataFrame:
     kind = texts.schema["_id"].dataType.simpleString()
-    return texts.mapInArrow(_windows(sizes, held), f"_id {kind}, key long, start int, total int, slots array<string>")
+    return texts.mapInArrow(_windows(sizes, held), f"_id {kind}, key long, start int, end int, size int, total int, slots array<string>")
 
 
 def _filter_of(windows: DataFrame) -> np.ndarray:
@@ -186,20 +222,85 @@ def _filter_of(windows: DataFrame) -> np.ndarray:
     return out
 
 
+def _pieces(windows: list[dict]) -> list[tuple[int, list[dict]]]:
+    """Runs of overlapping windows of one shift, without the windows whose slots contradict others of their run."""
+    runs: list[tuple[int, list[dict]]] = []
+    reach = 0
+    for shift, w in sorted(((w["start"] - w["at"], w) for w in windows), key=lambda x: (x[0], x[1]["at"], x[1]["until"])):
+        if runs and runs[-1][0] == shift and w["at"] <= reach:
+            runs[-1][1].append(w)
+        else:
+            runs.append((shift, [w]))
+            reach = 0
+        reach = max(reach, w["until"])
+    out = []
+    for shift, run in runs:
+        theirs: dict[str, set] = {}
+        ours: dict[str, set] = {}
+        for w in run:
+            for o, s in zip(w["own"], w["slots"], strict=True):
+                theirs.setdefault(o, set()).add(s)
+                ours.setdefault(s, set()).add(o)
+        fine = [w for w in run if all(len(theirs[o]) == 1 == len(ours[s]) for o, s in zip(w["own"], w["slots"], strict=True))]
+        if fine:
+            out.append((shift, fine))
+    return out
+
+
+def judge_windows(windows: list[dict], total: int, least: float) -> tuple[float, bool] | None:
+    """Largest share of a description that ordered, consistent windows of a text cover, and whether all such have changed values.
+
+    Each run of windows is tried as the core of a quotation; runs before and after it, as far as
+    they are shifted by no more than the length of the description, are added in order of size,
+    without windows whose slots contradict what is there.
+    """
+    pieces = _pieces(windows)
+    shifts = [shift for shift, _ in pieces]
+    found: list[tuple[float, bool]] = []
+    for i, (shift, core) in enumerate(pieces):
+        near = range(bisect_left(shifts, shift - total), bisect_right(shifts, shift + total))
+        theirs: dict[str, str] = {}
+        ours: dict[str, str] = {}
+        blocks: list[tuple[int, int, int, int]] = []
+        covered: set[int] = set()
+        for k in [i, *sorted((k for k in near if k != i), key=lambda k: -len(pieces[k][1]))]:
+            taken = []
+            for w in core if k == i else pieces[k][1]:
+                s, a = w["start"], w["at"]
+                ordered = all((s < s0 and a < a0) or (s > s1 and a > a1) for s0, s1, a0, a1 in blocks)
+                if ordered and all(theirs.get(o, v) == v and ours.get(v, o) == o for o, v in zip(w["own"], w["slots"], strict=True)):
+                    taken.append(w)
+            if not taken:
+                continue
+            for w in taken:
+                theirs.update(zip(w["own"], w["slots"], strict=True))
+                ours.update(zip(w["slots"], w["own"], strict=True))
+                covered.update(range(w["at"], w["until"]))
+            starts, ats = [w["start"] for w in taken], [w["at"] for w in taken]
+            blocks.append((min(starts), max(starts), min(ats), max(ats)))
+        if len(covered) / total >= least:
+            found.append((len(covered) / total, any(o != v for o, v in theirs.items())))
+            if found[-1] == (1.0, False):
+                break
+    return (max(c for c, _ in found), min(x for _, x in found)) if found else None
+
+
 def quoted_scenarios(
     logs: DataFrame, scenarios: DataFrame, run_id: str = "run_id", log: str = "log",
     scenario: str = "scenario_name", description: str = "scenario_description", coverage: float = COVERAGE,
 ) -> DataFrame:
     """Pairs of ``run_id`` and ``scenario_name`` whose log quotes the description, with ``coverage`` and ``changed``.
 
-    Texts become templates: numbers, units after numbers and capitalised words within a
-    sentence are slots. Windows of eight template tokens, or the whole of a shorter
-    description, are joined by hash; those with fewer than five literal words do not count,
-    so descriptions without five are never found. Names also count as plain words, so that
-    a text in another case still matches. Windows on one alignment are a quotation if the
-    slots map one to one between the texts throughout and the windows cover at least
-    ``coverage`` of the description; ``coverage`` is the largest share and ``changed`` tells
-    that even the closest quotation has another value in some slot.
+    Texts become templates: a number with its unit and a run of capitalised words within a
+    sentence are slots. Windows of eight template tokens, or the whole of a shorter description,
+    are joined by hash; those with slots need five literal words. Names also count as plain words,
+    so that a text in another case still matches, and so do numbers and units, without a least
+    number of words, so that what is quoted word for word is found whatever it consists of; a
+    description of one word is found wherever that word stands. Characters of scripts without
+    spaces are words. Windows are a quotation if they are in the same order in both texts, the
+    slots map one to one and the windows together cover at least ``coverage`` of the
+    description's words; windows that contradict others fall out. ``coverage`` is the largest
+    share and ``changed`` tells that even the closest quotation has another value in some slot.
 
     A fixed-size bit filter of the descriptions' windows keeps all other windows of the logs
     from being shuffled; it lets false ones through, which the join drops. NULL texts are
@@ -209,29 +310,30 @@ def quoted_scenarios(
     known = scenarios.select(F.col(scenario).alias("_id"), F.col(description).cast("string").alias("_text"))
     texts = logs.select(F.col(run_id).alias("_id"), F.col(log).cast("string").alias("_text"))
     wanted = cut_lineage(_found_windows(known, None).withColumnRenamed("_id", "_scenario"))
-    sizes = [r[0] for r in wanted.select(F.least("total", F.lit(WINDOW)).alias("s")).distinct().orderBy("s").collect()]
+    sizes = [r[0] for r in wanted.select("size").distinct().orderBy("size").collect()]
     if not sizes:
         sizes = [WINDOW]
     held = logs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    met = cut_lineage(_found_windows(texts, sizes, held).drop("total").distinct())
-    theirs = wanted.select("_scenario", "key", F.col("start").alias("at"), "total", F.col("slots").alias("own")).distinct()
+    met = cut_lineage(_found_windows(texts, sizes, held).drop("size", "total").distinct())
+    theirs = wanted.select(
+        "_scenario", "key", F.col("start").alias("at"), F.col("end").alias("until"), "total", F.col("slots").alias("own")
+    ).distinct()
     pairs = met.join(theirs, "key").where(F.size("slots") == F.size("own"))
-    aligned = pairs.groupBy("_id", "_scenario", (F.col("start") - F.col("at")).alias("shift"), "total").agg(
-        F.array_sort(F.collect_set("at")).alias("ats"),
-        F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("own", "slots")))).alias("values"),
-    )
-    size = F.least(F.col("total"), F.lit(WINDOW))
-    covered = F.aggregate(
-        F.transform("ats", lambda a, i: F.least(size, F.coalesce(F.get("ats", i + 1) - a, size))), F.lit(0), lambda x, y: x + y
+    gathered = pairs.groupBy("_id", "_scenario", "total").agg(
+        F.collect_list(F.struct("start", "at", "until", "own", "slots")).alias("windows")
     )
-    one_to_one = (F.size("values") == F.size(F.array_distinct("values.own"))) & (
-        F.size("values") == F.size(F.array_distinct("values.slots"))
-    )
-    judged = aligned.where(one_to_one).select(
-        "_id", "_scenario", (covered / F.col("total")).alias("coverage"),
-        F.exists("values", lambda v: v["own"] != v["slots"]).alias("changed"),
-    )
-    return judged.where(F.col("coverage") >= coverage).groupBy("_id", "_scenario").agg(
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = [judge_windows(w.as_py(), n, coverage) for n, w in zip(batch.column(2).to_pylist(), batch.column(3), strict=True)]
+            kept = [k for k, j in enumerate(judged) if j is not None]
+            columns = [batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))]
+            columns += [pa.array([judged[k][0] for k in kept], pa.float64()), pa.array([judged[k][1] for k in kept], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_scenario", "coverage", "changed"])
+
+    kinds = [gathered.schema[c].dataType.simpleString() for c in ("_id", "_scenario")]
+    judged = gathered.mapInArrow(judge, f"_id {kinds[0]}, _scenario {kinds[1]}, coverage double, changed boolean")
+    return judged.groupBy("_id", "_scenario").agg(
         F.max("coverage").alias("coverage"), F.min("changed").alias("changed")
     ).toDF(run_id, scenario, "coverage", "changed")
 

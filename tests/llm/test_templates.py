@@ -51,3 +51,25 @@ def test_empty_tables(spark, scenarios):
     logs = spark.createDataFrame([(1, ITEM)], "run_id long, log string")
     assert with_quotations(none, scenarios).collect() == []
     assert [r.contaminated for r in with_quotations(logs, scenarios.limit(0)).collect()] == [False]
+
+
+def found(spark, item, logs):
+    scenarios = spark.createDataFrame([("it", item)], "scenario_name string, scenario_description string")
+    rows = spark.createDataFrame(list(enumerate(logs)), "run_id long, log string")
+    return {r.run_id: (round(r.coverage, 2), r.changed) for r in quoted_scenarios(rows.repartition(1), scenarios).collect()}
+
+
+def test_pieces_of_one_quotation_add_up(spark):
+    words = [f"{a}{b}" for a in ("red", "sun", "cat", "oak") for b in "abcdefghij"]
+    inserted = [*words[:13], "extra", *words[13:26], "more", *words[26:]]
+    swapped = [*words[26:], "extra", *words[13:26], "more", *words[:13]]
+    assert found(spark, " ".join(words), [" ".join(inserted), " ".join(swapped)]) == {0: (1.0, False)}
+    item = "then a ship with Anna on board sails for 5 km to the north and a man called Otto pays her $40 for the long way back to land"
+    other = item.replace("Anna", "Mary Ann").replace("5 km", "7km").replace("Otto", "Jan Van Dam").replace("$40", "1,250 USD")
+    assert found(spark, item, [other, other.replace("7km", "7 km")]) == {0: (1.0, True), 1: (1.0, True)}
+
+
+def test_one_changed_value_of_a_repeated_pair(spark):
+    item = "we take 40 pears out of a big box and put them by the wall and then we take 40 pears more to the old mill by the lake"
+    changed = "take 41 pears more".join(item.rsplit("take 40 pears more", 1))
+    assert set(found(spark, item, [item, changed])) == {0, 1}
