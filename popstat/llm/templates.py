@@ -28,6 +28,8 @@ UNITS = frozenset(
     "hours day days week weeks month months year years hz khz mhz ghz b kb mb gb tb kib mib gib bytes v w kw mw j kj cal kcal "
     "pa kpa bar c f k % percent usd eur gbp dollars euros pounds dollar euro cents bp kbp mbp morgans generations".split()
 )
+#: Characters of scripts without spaces: each is a word of its own.
+SPACELESS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff\uf900-\ufaff\uff01-\uff65\U00020000-\U0003ffff]")
 LITERAL, NUM, UNIT, NAME = range(4)
 #: Readings of a text: number and unit as one slot; runs of names, too; every token as a word.
 VALUES, NAMES, WORDS = range(3)
@@ -73,7 +75,10 @@ class Reader:
 
     def numbers(self, text: str | None) -> list[int]:
         """Numbers of a text's tokens; 0 stands before the text and for each line end."""
-        tokens = [LINE, *(text or "").replace("\n", f" {LINE} ").split()]
+        text = text or ""
+        if not text.isascii() and SPACELESS.search(text):
+            text = SPACELESS.sub(r" \g<0> ", text)
+        tokens = [LINE, *text.replace("\n", f" {LINE} ").split()]
         found = list(map(self.known.get, tokens))
         if None in found:
             found = [self.known[t] if t in self.known else self.learn(t) for t in tokens]
@@ -162,7 +167,7 @@ def _windows(sizes: list[int] | None, held=None):
         laid, text = laid[word], text[word]
         total = np.bincount(text, minlength=len(ids))
         first = np.cumsum(total) - total
-        for reading in (VALUES, NAMES):
+        for reading in (VALUES, NAMES, WORDS):
             begin = tokens_of(reading, kinds, text)
             end = np.append(begin[1:], len(laid))
             for size in sizes or [min(WINDOW, len(begin))]:

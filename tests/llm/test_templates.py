@@ -73,3 +73,10 @@ def test_one_changed_value_of_a_repeated_pair(spark):
     item = "we take 40 pears out of a big box and put them by the wall and then we take 40 pears more to the old mill by the lake"
     changed = "take 41 pears more".join(item.rsplit("take 40 pears more", 1))
     assert set(found(spark, item, [item, changed])) == {0, 1}
+
+
+def test_verbatim_quotations_of_any_tokens(spark):
+    for item in ("12 + 30 - 5 = 37 and 4 x 8 = 32 or 6 x 7 = 42", "Only four words here", "5 km 7 kg 9 s 11 m 13 l 15 g", "猫は庭で静かに眠っている。犬は走る。"):
+        logs = [f"so it says: {item} and goes on", "12 + 31 - 5 = 38 is no item and only four are here"]
+        assert set(found(spark, item, logs)) == {0}
+    assert set(found(spark, "猫は庭で静かに眠っている。犬は走る。", ["前に猫は庭で静かに眠っている。犬は走る。後に", "猫は走る。"])) == {0}
