@@ -94,7 +94,7 @@ class Reader:
         kind[(kind == NAME) & opens] = LITERAL
         word = np.flatnonzero(self.hash[numbers] != 0)
         kind = kind[word]
-        after = np.concatenate(([False], kind[:-1] == NUM))
+        after = np.concatenate(([False], (kind[:-1] == NUM) & (text[word[1:]] == text[word[:-1]])))
         kind[after & self.unit[numbers[word]] & (kind != NUM)] = UNIT
         return word, kind
 

@@ -80,3 +80,8 @@ def test_verbatim_quotations_of_any_tokens(spark):
         logs = [f"so it says: {item} and goes on", "12 + 31 - 5 = 38 is no item and only four are here"]
         assert set(found(spark, item, logs)) == {0}
     assert set(found(spark, "猫は庭で静かに眠っている。犬は走る。", ["前に猫は庭で静かに眠っている。犬は走る。後に", "猫は走る。"])) == {0}
+
+
+def test_the_text_before_in_the_batch_does_not_matter(spark):
+    item = "In winter all birds fly far away"
+    assert found(spark, item, ["a text that ends in 40", item, "and 3", item]) == {1: (1.0, False), 3: (1.0, False)}
