@@ -47,6 +47,11 @@ DROPPED_NAMES = {
     "promotion", "related", "respond", "share", "sharing", "sidebar", "sidebars", "social", "sponsor", "sponsored",
     "subscribe", "subscription", "taboola", "toolbar", "widget",
 }
+#: Words that may stand before a dropped name ("site-footer"); names that begin with a dropped one are dropped, too.
+BEFORE_NAMES = {
+    "article", "blog", "bottom", "cookie", "email", "entry", "footer", "global", "google", "header", "left", "main", "mobile",
+    "page", "post", "primary", "right", "secondary", "site", "top", "user",
+}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"},
@@ -64,6 +69,7 @@ class Node:
     name: str
     parent: Node | None
     drop: bool = False
+    named: bool = False
     children: list[Node | str] = field(default_factory=list)
     letters: int = 0
     linked: int = 0
@@ -74,17 +80,23 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
 
 
-def _is_dropped(name: str, attributes: dict[str, str], inside_article: bool) -> bool:
+def _is_dropped(name: str, attributes: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether that is only for its class or id."""
     if name in DROPPED or (name == "header" and not inside_article):
-        return True
+        return True, False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
+        return True, False
     if name in ("html", "body", "article", "main"):
-        return False
+        return False, False
     if attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    names = {p.lower() for key in ("class", "id") for p in NAME_PART.findall(attributes.get(key, ""))}
-    return bool(names & DROPPED_NAMES) or ("header" in names and not inside_article)
+        return True, False
+    wanted = DROPPED_NAMES if inside_article else DROPPED_NAMES | {"header"}
+    for key in ("class", "id"):
+        for word in attributes.get(key, "").split():
+            parts = [p.lower() for p in NAME_PART.findall(word)]
+            if parts and (parts[0] in wanted or (parts[-1] in wanted and all(p in BEFORE_NAMES for p in parts[:-1]))):
+                return True, True
+    return False, False
 
 
 def parse(page: str) -> Node:
@@ -120,7 +132,7 @@ def parse(page: str) -> Node:
         if name in CLOSES:
             _leave(open_, CLOSES[name])
         attributes = _attributes(rest) if rest else {}
-        node = Node(name, open_[-1], _is_dropped(name, attributes, articles > 0))
+        node = Node(name, open_[-1], *_is_dropped(name, attributes, articles > 0))
         open_[-1].children.append(node)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE).search(page, at)
@@ -177,13 +189,57 @@ def _own_text(node: Node) -> str:
     return " ".join("".join(out).split())
 
 
+def _points(node: Node) -> float:
+    """Points of an element's own text, without the discount for links."""
+    if node.name not in SCORED or not (text := _own_text(node)):
+        return 0.0
+    commas = text.count(",") + text.count("，") + text.count("、")
+    return 1 + POINTS_PER_COMMA * commas + min(len(text) / LETTERS_PER_POINT, MOST_FOR_LENGTH)
+
+
+def _restore(root: Node) -> None:
+    """Keep elements dropped for their class or id that hold the page's article.
+
+    That is one with the most paragraph points of those that hold an article or main element, if no
+    such element is kept otherwise, or one with more than half of the page's points, if it has none.
+    """
+    while True:
+        outer: list[Node] = []
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if node.name in ("article", "main"):
+                return
+            for child in node.children:
+                if not isinstance(child, str):
+                    if not child.drop:
+                        stack.append(child)
+                    elif child.named:
+                        outer.append(child)
+        if not outer:
+            return
+        totals, holds = [], []
+        for top in [root, *outer]:
+            total, article, stack = 0.0, False, [(top, False)]
+            while stack:
+                node, below = stack.pop()
+                article = article or node.name in ("article", "main")
+                total += 0.0 if below else _points(node)
+                stack += [(c, below or c.drop) for c in node.children if not isinstance(c, str) and (c.named or not c.drop)]
+            totals.append(total)
+            holds.append(article)
+        some = any(holds)
+        points, k = max((totals[k], -k) for k in range(1, len(totals)) if holds[k] or not some)
+        if not some and 2 * points <= sum(totals):
+            return
+        outer[-k - 1].drop = False
+
+
 def _best(root: Node) -> Node | None:
     """The container with the most points from its paragraphs, discounted by its share of linked text."""
     order = _measure(root)
     for node in order:
-        if node.name in SCORED and (text := _own_text(node)):
-            commas = text.count(",") + text.count("，") + text.count("、")
-            points = 1 + POINTS_PER_COMMA * commas + min(len(text) / LETTERS_PER_POINT, MOST_FOR_LENGTH)
+        if points := _points(node):
             points *= 1 - node.linked / max(node.letters, 1)
             level, above = 0, node.parent if node.name not in ("article", "main") else node
             while above is not None:
@@ -219,6 +275,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _restore(root)
     best = _best(root)
     if best is None:
         return _inner_text([root])

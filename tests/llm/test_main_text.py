@@ -36,3 +36,14 @@ def test_rows(spark):
     got = extract_main_text(df).collect()
     assert [tuple(r) for r in got] == [(1, "u", "é, 漢😀", 5), (1, "u", "", 0), (None, None, "", 0)]
     assert extract_main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", [
+    "has-sidebar", "no-sidebar", "with-banner", "share-enabled", "elementor-widget", "menu-open", "widget", "sidebar",
+])
+def test_wrappers_of_the_article_stay(name):
+    side = "<div class='site-footer'><p>Foot, foot, foot.</p></div><div class='comments'><article><p>me, too</p></article></div>"
+    body = "<p>One, two, three, four, five, six, seven.</p><p>Eight, nine.</p>"
+    text = "One, two, three, four, five, six, seven. Eight, nine."
+    assert main_text(f"<body><div id='page' class='{name}'><article>{body}</article>{side}</div></body>") == text
+    assert main_text(f"<body><div class='{name}'><div>{body}</div></div><div class='site-footer'><p>Foot.</p></div></body>") == text
