@@ -266,11 +266,12 @@ def _inner_text(nodes: list[Node]) -> str:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page: the best container and such siblings, without what is not article text.
+    """The article of a page: the best container and its siblings, without what is not article text.
 
     Paragraphs give points for length and commas to their ancestors, fewer to farther ones,
     and links take points away. A container within an article or main element stands for the
-    whole of it. Without any paragraph the page's whole kept text is the answer.
+    whole of it, and only siblings with points of their own stay with it; otherwise all siblings
+    that are not mostly links do. Without any paragraph the page's whole kept text is the answer.
     """
     if not page:
         return ""
@@ -285,14 +286,18 @@ def main_text(page: str | None) -> str:
         above = above.parent
     if lifted.parent is None:
         return _inner_text([lifted])
+    whole = lifted.name in ("article", "main")
     kept = []
     for sibling in lifted.parent.children:
         if sibling is lifted:
             kept.append(sibling)
-        elif not isinstance(sibling, str) and not sibling.drop:
+        elif isinstance(sibling, str):
+            kept += [] if whole else [sibling]
+        elif not sibling.drop:
             links = sibling.linked / max(sibling.letters, 1)
             paragraph = sibling.name == "p" and links < 0.25 and sibling.letters > 80
-            if sibling.score >= SIBLING_SHARE * lifted.score and links < 0.5 or paragraph:
+            enough = not whole or sibling.score >= SIBLING_SHARE * lifted.score
+            if enough and links < 0.5 or paragraph:
                 kept.append(sibling)
     return _inner_text(kept)
 

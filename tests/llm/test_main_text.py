@@ -47,3 +47,9 @@ def test_wrappers_of_the_article_stay(name):
     text = "One, two, three, four, five, six, seven. Eight, nine."
     assert main_text(f"<body><div id='page' class='{name}'><article>{body}</article>{side}</div></body>") == text
     assert main_text(f"<body><div class='{name}'><div>{body}</div></div><div class='site-footer'><p>Foot.</p></div></body>") == text
+
+
+def test_siblings_of_the_best_container_stay():
+    page = ("<div id=content><h1>Title</h1><div class=body><p>One, two, three, four.</p><p>Five, six.</p></div><blockquote>Said.</blockquote>"
+            "<pre>x = 1</pre><p>Short.</p><table><tr><td>cell</table><ul><li>Item</ul><ul><li><a>Link one</a></ul> bare</div>")
+    assert main_text(page) == "Title One, two, three, four. Five, six. Said. x = 1 Short. cell Item bare"
