@@ -89,12 +89,13 @@ def delete_scratch(spark: SparkSession) -> int:
     return deleted
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     A lost executor then costs no recomputation of what came before, later steps
     read only the columns they use, and the optimizer knows the size.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
