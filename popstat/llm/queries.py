@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from popstat.llm.alignment import align_log_tokens
 from popstat.llm.main_text import extract_main_text
 from popstat.llm.outliers import judge_logs
 from popstat.llm.recompression import remove_repeated_passages
@@ -187,3 +188,10 @@ FROM split LEFT JOIN kept USING (doc_id)
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeated_passages(documents_as_logs(spark, folder))
     return kept.select(F.col("run_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    models = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = align_log_tokens(documents_as_logs(spark, folder), *models, digest_only=True)
+    return aligned.withColumnsRenamed({"run_id": "doc_id", "groups": "groups_sha256"})
