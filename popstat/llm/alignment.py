@@ -16,8 +16,10 @@ from popstat.session import cut_lineage
 
 #: An id pair is frequent if it is in this share of all links, so at most as many are.
 HOT = 1 << 20
-#: Links, and distinct pairs, of a task that are counted before they are passed on.
-FLUSH = 1 << 22
+#: Links of a task that are counted before they are passed on.
+FLUSH = 1 << 20
+#: Half the distinct words that a worker keeps for each vocabulary.
+WORDS = 1 << 19
 
 
 class _Bytes:
@@ -70,8 +72,8 @@ def group_numbers(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
 
 class _Aligner:
     def __init__(self, bytes_model: str, piece_model: str) -> None:
-        self.a: UnitEncoder = of_worker(ByteEncoder, bytes_model, True)
-        self.b: UnitEncoder = of_worker(PieceEncoder, piece_model)
+        self.a: UnitEncoder = of_worker(ByteEncoder, bytes_model, True, WORDS)
+        self.b: UnitEncoder = of_worker(PieceEncoder, piece_model, WORDS)
         self.of_a, self.of_b = _Bytes(self.a.tokens()), _Bytes(self.b.tokens())
         self.code = np.uint64(len(self.of_b.width))
 
@@ -166,7 +168,7 @@ def _unpacked(raw: memoryview) -> np.ndarray:
 
 def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes and how often each occurs."""
-    codes = np.sort(codes)
+    codes.sort()
     edge = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
     return codes[edge], np.diff(np.append(edge, len(codes)))
 
@@ -240,7 +242,7 @@ def align_log_tokens(
     kind = texts.schema["_run"].dataType.simpleString()
     schema = f"_row long, _run {kind}, n_a long, n_b long, n_groups long, n_links long, _links binary, groups string"
     aligned = cut_lineage(texts.mapInArrow(_aligned(bytes_model, piece_model, digest_only), schema), compression="zstd")
-    n_b = of_worker(PieceEncoder, piece_model).library.vocab_size()
+    n_b = of_worker(PieceEncoder, piece_model, WORDS).library.vocab_size()
     counted = aligned.select("_links").mapInArrow(_pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
     counted = cut_lineage(counted.withColumn("b", F.col("pair") % n_b))
     top = counted.groupBy("b").agg(F.max("count").alias("top"))

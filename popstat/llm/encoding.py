@@ -19,7 +19,6 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Half the units kept by a worker; beyond it they are learned anew. The table of their hashes has twice the room.
 MAX_WORDS = 1 << 20
-SLOTS = 22
 SLICE = 1 << 20
 SPACE = 32
 _POWER = U(0x9E3779B97F4A7C15)
@@ -48,8 +47,9 @@ class UnitEncoder:
 
     special: list[bytes] = []
 
-    def __init__(self) -> None:
+    def __init__(self, words: int | None = None) -> None:
         self.power = self.undo = np.zeros(0, U)
+        self.limit = words
         self.forget()
 
     def learn(self, units: list[str]) -> list[list[int]]:
@@ -65,7 +65,8 @@ class UnitEncoder:
         return data == SPACE
 
     def forget(self) -> None:
-        self.keys, self.values, self.n = np.zeros(1 << SLOTS, U), np.zeros(1 << SLOTS, np.int32), 0
+        self.slots = max((self.limit or MAX_WORDS) * 4 - 1, 1 << 16).bit_length()
+        self.keys, self.values, self.n = np.zeros(1 << self.slots, U), np.zeros(1 << self.slots, np.int32), 0
         self.start, self.count, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0
         self.text, self.length, self.texts, self.written = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint8), 0
 
@@ -134,7 +135,7 @@ class UnitEncoder:
     def _numbers(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The number of each unit between the edges; those not seen before are learned."""
         start, stop = edges[:-1], edges[1:]
-        if self.n + len(start) > MAX_WORDS * 2:
+        if self.n + len(start) > (self.limit or MAX_WORDS) * 2 and self.n:
             self.forget()
         if len(self.power) <= len(data):
             self.power, self.undo = (np.cumprod(np.full(len(data) + SLICE, x), dtype=U) for x in (_POWER, _INVERSE))
@@ -161,12 +162,12 @@ class UnitEncoder:
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """The number held under each key, or -1."""
-        slot = (key >> U(64 - SLOTS)).astype(np.int64)
+        slot = (key >> U(64 - self.slots)).astype(np.int64)
         there = self.keys[slot]
         out = np.where(there == key, self.values[slot], -1)
         open_ = np.flatnonzero((there != key) & (there != 0))
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & ((1 << SLOTS) - 1)
+            slot[open_] = (slot[open_] + 1) & ((1 << self.slots) - 1)
             there = self.keys[slot[open_]]
             hit = there == key[open_]
             out[open_[hit]] = self.values[slot[open_[hit]]]
@@ -174,7 +175,7 @@ class UnitEncoder:
         return out
 
     def _insert(self, key: np.ndarray, value: np.ndarray) -> None:
-        slot = (key >> U(64 - SLOTS)).astype(np.int64)
+        slot = (key >> U(64 - self.slots)).astype(np.int64)
         while len(slot):
             free = np.flatnonzero(self.keys[slot] == 0)
             _, one = np.unique(slot[free], return_index=True)
@@ -182,7 +183,7 @@ class UnitEncoder:
             self.keys[slot[put]], self.values[slot[put]] = key[put], value[put]
             rest = np.ones(len(slot), bool)
             rest[put] = False
-            key, value, slot = key[rest], value[rest], (slot[rest] + 1) & ((1 << SLOTS) - 1)
+            key, value, slot = key[rest], value[rest], (slot[rest] + 1) & ((1 << self.slots) - 1)
 
     def _learned(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """New numbers for these units."""
@@ -209,7 +210,7 @@ class ByteEncoder(UnitEncoder):
     or with ``ordinary`` as any other text.
     """
 
-    def __init__(self, path: str, ordinary: bool = False) -> None:
+    def __init__(self, path: str, ordinary: bool = False, words: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -220,7 +221,7 @@ class ByteEncoder(UnitEncoder):
         self.byte_of = _byte_letters()
         self.letter_of = {b: c for c, b in self.byte_of.items()}
         self.added = {i: t.content.encode() for i, t in held.items()}
-        super().__init__()
+        super().__init__(words)
 
     def tokens(self) -> list[bytes]:
         """The bytes of each id."""
@@ -260,14 +261,14 @@ class PieceEncoder(UnitEncoder):
 
     MARK = "▁"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words: int | None = None) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         for i in range(self.library.vocab_size()):
             if self.MARK in self.library.id_to_piece(i).lstrip(self.MARK):
                 raise ValueError(f"a piece spans words: {self.library.id_to_piece(i)!r}")
-        super().__init__()
+        super().__init__(words)
 
     def tokens(self) -> list[bytes]:
         """The bytes of each id."""

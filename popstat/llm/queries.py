@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from popstat.llm.alignment import align_log_tokens
 from popstat.llm.main_text import extract_main_text
+from popstat.llm.minhash import edited_log_likeness
 from popstat.llm.outliers import judge_logs
 from popstat.llm.recompression import remove_repeated_passages
 from popstat.llm.replication import replicate_haplotypes, tempered_weights
 from popstat.llm.requests import link_requests
 from popstat.llm.simhash import near_duplicate_logs
+from popstat.llm.spelling import log_words, spelling_variants
 from popstat.llm.templates import with_quotations
 from popstat.llm.token_counts import log_token_counts
 from popstat.llm.toxicity import fit_on_labels, held_out, score_toxicity
@@ -195,3 +197,14 @@ def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     models = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     aligned = align_log_tokens(documents_as_logs(spark, folder), *models, digest_only=True)
     return aligned.withColumnsRenamed({"run_id": "doc_id", "groups": "groups_sha256"})
+
+
+@query("op12_minhash_fingerprints")
+def op12_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    compared = edited_log_likeness(documents_as_logs(spark, folder)).withColumn("edited", F.sha2("edited", 256))
+    return compared.withColumnsRenamed({"run_id": "doc_id", "edited": "edited_sha256"})
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(log_words(documents_as_logs(spark, folder), slips=199))
