@@ -162,12 +162,12 @@ def edited_log_likeness(logs: DataFrame, words: int = 5, run_id: str = "run_id",
     ahead = ahead.select(F.col("_next._k1").alias("_k1"), F.col("_next._k2").alias("_k2"), "_half", F.col("_k1").alias("_to1"), F.col("_k2").alias("_to2"))
 
     printed = with_fingerprint(named, "_log", "_packed", words)
-    distinct = printed.groupBy(*keys).agg(
-        F.first("_run").alias("_run"), F.first("_log").alias("_log"), F.first("_packed").alias("_packed"), F.count("*").alias("_copies")
-    )
-    gifts = distinct.join(ahead, keys).select(
-        F.col("_to1").alias("_k1"), F.col("_to2").alias("_k2"), "_half", F.expr("left(_log, _half)").alias("_start"), F.col("_packed").alias("_after")
+    # Both sides below read the same columns, so that the planner shuffles the texts once for both
+    distinct = printed.groupBy(*keys).agg(F.first(F.struct("_run", "_log", "_packed")).alias("_of"), F.count("*").alias("_copies"))
+    gifts = distinct.where("_copies > 0").join(ahead, keys).select(
+        F.col("_to1").alias("_k1"), F.col("_to2").alias("_k2"), "_half", F.expr("left(_of._log, _half)").alias("_start"), F.col("_of._packed").alias("_after")
     )
+    distinct = distinct.select(*keys, "_of.*", "_copies")
     copies = dense_range(distinct.join(gifts, keys).withColumn("_last", F.col("_copies") - 1), "_copy", "_last")
     own = F.col("_copy") == F.col("_last")  # the other copies are followed by a copy
     edited = copies.select(

@@ -17,6 +17,8 @@ GROUPS, STEP = 12, 4
 LEVELS = GROUPS // STEP
 #: Words below a node that one task searches, and searches for it that share a copy of its words.
 LARGEST, SEARCHES = 4096, 1 << 16
+#: Letters compared as arrays (longer words one by one), pairs verified at once, pairs compared on all levels at once.
+LETTERS, PAIRS, FEW = 32, 1 << 17, 1 << 13
 _BITS, MOST = 15, (1 << 14) - 1
 _UNIT = 1 << _BITS * np.arange(STEP)
 
@@ -121,42 +123,88 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
+class _Letters:
+    """Words of up to LETTERS letters as rows of code points, from the left and from the right."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(min(self.size.max(initial=1), LETTERS))
+        grid = lambda cut: np.frombuffer("".join(cut).encode("utf-32-le"), np.uint32).reshape(len(words), width)
+        self.left = grid([w[:width].ljust(width, "\0") for w in words])
+        self.right = grid([w[-width:][::-1].ljust(width, "\0") for w in words])
+
+
+def _equal_ahead(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many columns agree before the first that does not."""
+    width = min(a.shape[1], b.shape[1])
+    other = a[:, :width] != b[:, :width]
+    return np.where(other.any(axis=1), other.argmax(axis=1), width)
+
+
+def _verified(a: _Letters, i: np.ndarray, b: _Letters, j: np.ndarray) -> np.ndarray:
+    """Whether words a[i] and b[j] are one edit apart: what agrees from the left and from the right leaves one letter."""
+    low, high = np.minimum(a.size[i], b.size[j]), np.maximum(a.size[i], b.size[j])
+    ahead, behind = _equal_ahead(a.left[i], b.left[j]), _equal_ahead(a.right[i], b.right[j])
+    ahead, behind = np.minimum(ahead, low), np.minimum(behind, low)
+    near = (high - low <= 1) & (ahead + behind >= high - 1) & ((high != low) | (ahead < low))
+    for k in np.flatnonzero(high > LETTERS).tolist():
+        near[k] = one_edit(a.words[i[k]], b.words[j[k]])
+    return near
+
+
 class Trie:
     """Words by their letter-group counts, one level for each group."""
 
     def __init__(self, words: list[str]) -> None:
         counts = letter_counts(words)
         order = np.lexsort(counts.T[::-1])
-        self.counts, self.words = counts[order], [words[i] for i in order.tolist()]
-        self.place = order
+        self.counts, self.words = counts[order].astype(np.int32), [words[i] for i in order.tolist()]
+        self.letters, self.place = _Letters(self.words), order
 
-    def search(self, asked: list[str]) -> Iterator[tuple[int, int]]:
+    def search(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of asked words and of words here that are one edit apart."""
-        own = letter_counts(asked)
-        budget = np.ones(len(asked), np.int64)
-        yield from self._visit(0, 0, len(self.words), np.arange(len(asked)), budget, budget, asked, own)
-
-    def _visit(self, level, low, high, q, surplus, deficit, asked, own) -> Iterator[tuple[int, int]]:
-        """Depth first: the searches that reach a node go on to the children their budgets allow."""
-        if high - low == 1 and level < GROUPS:  # a single word: all its levels at once
-            delta = self.counts[low, level:] - own[q, level:]
-            fits = (np.maximum(delta, 0).sum(axis=1) <= surplus) & (np.maximum(-delta, 0).sum(axis=1) <= deficit)
-            q, level = q[fits], GROUPS
-        if level == GROUPS:
-            for e in range(low, high):
-                word = self.words[e]
-                for k in q.tolist():
-                    if one_edit(asked[k], word):
-                        yield k, int(self.place[e])
+        own, letters = letter_counts(asked).astype(np.int32), _Letters(asked)
+        budget = np.ones(len(asked), np.int32)
+        near, leaves, held = [(np.zeros(0, np.int64),) * 2], [], 0
+        for leaf in self._visit(0, 0, len(self.words), np.arange(len(asked)), budget, budget, own):
+            leaves.append(leaf)
+            held += len(leaf[0])
+            if held >= PAIRS:
+                near.append(self._near(letters, leaves))
+                leaves, held = [], 0
+        near.append(self._near(letters, leaves))
+        return tuple(np.concatenate(x) for x in zip(*near, strict=True))
+
+    def _near(self, letters: _Letters, leaves: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        k, e = (np.concatenate([np.zeros(0, np.int64), *(leaf[side] for leaf in leaves)]) for side in (0, 1))
+        good = _verified(letters, k, self.letters, e)
+        return k[good], self.place[e[good]]
+
+    def _visit(self, level, low, high, q, surplus, deficit, own) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Depth first: the searches that reach a node go on to the children their budgets allow.
+
+        Where few words and searches are left, their remaining levels are compared at once.
+        """
+        if level == GROUPS or len(q) * (high - low) <= FEW:
+            k, e = np.repeat(np.arange(len(q)), high - low), np.tile(np.arange(low, high), len(q))
+            if level < GROUPS:
+                delta = self.counts[e, level:] - own[q[k], level:]
+                total, size = delta.sum(axis=1), np.abs(delta).sum(axis=1)
+                fits = (size + total <= 2 * surplus[k]) & (size - total <= 2 * deficit[k])
+                k, e = k[fits], e[fits]
+            if len(k):
+                yield q[k], e
             return
         column = self.counts[low:high, level]
         edges = np.flatnonzero(np.diff(column, prepend=-1))
+        wanted = own[q, level]
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), high - low], strict=True):
-            delta = column[a] - own[q, level]
+            delta = column[a] - wanted
             more, less = surplus - (delta == 1), deficit - (delta == -1)
-            go = (np.abs(delta) <= 1) & (more >= 0) & (less >= 0)
-            if go.any():
-                yield from self._visit(level + 1, low + a, low + b, q[go], more[go], less[go], asked, own)
+            go = np.flatnonzero((np.abs(delta) <= 1) & (more >= 0) & (less >= 0))
+            if len(go):
+                yield from self._visit(level + 1, low + a, low + b, q[go], more[go], less[go], own)
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +215,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.stack([batch.column(c).to_numpy() for c in names] + [batch.column("kind").to_numpy()], axis=1)
         edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
         text, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-        found: list[tuple[str, int, str, int]] = []
+        found = []
         for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
             here, kind = tuple(keys[a, :-1].tolist()), keys[a, -1]
             if here != key:
@@ -177,9 +225,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts += n[a:b].tolist()
                 continue
             trie = trie or Trie(words)
-            asked = text[a:b]
-            found += [(asked[k], int(n[a + k]), words[e], counts[e]) for k, e in trie.search(asked)]
-        columns = list(zip(*found)) if found else [[], [], [], []]
+            k, e = (x.tolist() for x in trie.search(text[a:b]))
+            found += [(text[a + i], int(n[a + i]), words[j], counts[j]) for i, j in zip(k, e, strict=True)]
+        columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _NEAR.types, strict=True)], schema=_NEAR)
 
 

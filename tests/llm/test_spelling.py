@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from popstat.llm import spelling
 from popstat.llm.spelling import Trie, log_words, near_words, one_edit, spelling_variants
 
 FOLDER = "/root/testdata/sf0.001"
@@ -111,10 +112,12 @@ def test_long_words(spark):
     assert got == {(40_000, False, 39_999, 2), (39_999, False, 0, 2), (40_000, True, 0, 2), (16_384, False, 16_383, 1), (16_383, False, 0, 1)}
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text("abm", min_size=1, max_size=5), min_size=1, max_size=12, unique=True), st.lists(st.text("abm", min_size=1, max_size=5), max_size=6))
-def test_trie_and_verification(words, asked):
-    found = sorted(Trie(words).search(asked)) if asked else []
+@pytest.mark.parametrize("few", [0, 8192])
+@settings(max_examples=200, deadline=None)
+@given(words=st.lists(st.text("abm", min_size=1, max_size=5), min_size=1, max_size=12, unique=True), asked=st.lists(st.text("abm", min_size=1, max_size=5), max_size=6))
+def test_trie_and_verification(few, words, asked):
+    spelling.FEW = few
+    found = sorted(zip(*(x.tolist() for x in Trie(words).search(asked)), strict=True)) if asked else []
     assert found == sorted((k, e) for k, a in enumerate(asked) for e, w in enumerate(words) if one_edit(a, w))
     for a in asked:
         for w in words:
