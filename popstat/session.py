@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,35 +70,62 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; see :func:`delete_scratch`."""
+def scratch_path(spark: SparkSession, name: str, outlive: bool = False) -> str:
+    """A fresh path below the shared folder; see :func:`delete_scratch` and :func:`temporary_tables`."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    scopes = _written.setdefault(spark.sparkContext.applicationId, [[]])
+    scopes[max(len(scopes) - 1 - outlive, 0)].append(path)
     return path
 
 
-_written: dict[str, list[str]] = {}
+#: Paths by application: those of the whole session, then those of each open temporary_tables().
+_written: dict[str, list[list[str]]] = {}
 
 
-def delete_scratch(spark: SparkSession) -> int:
-    """Delete what this session wrote below the shared folder; call it when its results have been used or saved.
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """What this session has written below the shared folder and not deleted."""
+    return [path for scope in _written.get(spark.sparkContext.applicationId, []) for path in scope]
 
-    Gives the number of folders deleted. Tables made from them can no longer be read.
+
+def delete_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete what this session wrote below the shared folder, or only ``paths`` of it; call it when its results have been used or saved.
+
+    Gives the number of folders deleted. Tables made from them can no longer be read. Spark
+    is asked to drop the shuffles and broadcasts of plans that nothing refers to any more.
     """
-    paths, deleted = _written.pop(spark.sparkContext.applicationId, []), 0
-    for name in paths:
+    scopes, deleted = _written.get(spark.sparkContext.applicationId, []), 0
+    for name in scratch_paths(spark) if paths is None else paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         deleted += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    for scope in scopes:
+        scope[:] = [] if paths is None else [name for name in scope if name not in set(paths)]
+    gc.collect()
+    spark._jvm.System.gc()
     return deleted
 
 
-def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end, but for those written to outlive it.
+
+    What is returned from inside must be such a table, or not read any other.
+    """
+    scopes = _written.setdefault(spark.sparkContext.applicationId, [[]])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        delete_scratch(spark, scopes[-1])
+        scopes.pop()
+
+
+def cut_lineage(df: DataFrame, compression: str | None = None, outlive: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``outlive`` the innermost :func:`temporary_tables`.
 
     A lost executor then costs no recomputation of what came before, later steps
     read only the columns they use, and the optimizer knows the size.
     """
-    path = scratch_path(df.sparkSession, "stage")
+    path = scratch_path(df.sparkSession, "stage", outlive)
     writer = df.write.option("compression", compression) if compression else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

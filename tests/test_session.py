@@ -4,7 +4,9 @@ import os
 import subprocess
 import sys
 
-from popstat.session import cut_lineage, scratch_path
+import pytest
+
+from popstat.session import cut_lineage, delete_scratch, scratch_path, scratch_paths, temporary_tables
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 JOB = f"""
@@ -29,3 +31,25 @@ def test_scratch_paths_are_new(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
     df = cut_lineage(spark.createDataFrame([(1, None)], "a int, b string"))
     assert df.columns == ["a", "b"] and df.count() == 1
+
+
+def test_temporary_tables_go_and_what_outlives_them_stays(spark):
+    before = scratch_paths(spark)
+    with temporary_tables(spark):
+        inner = cut_lineage(spark.range(10))
+        with temporary_tables(spark):
+            cut_lineage(inner.where("id > 7"))
+            kept = cut_lineage(inner.where("id > 5"), outlive=True)
+        result = cut_lineage(kept.where("id > 6"), outlive=True)
+        assert len(scratch_paths(spark)) == len(before) + 3
+    assert result.count() == 3 and len(scratch_paths(spark)) == len(before) + 1
+    (made,) = set(scratch_paths(spark)) - set(before)
+    assert delete_scratch(spark, [made]) == 1 and scratch_paths(spark) == before
+
+
+def test_temporary_tables_go_after_an_error(spark):
+    before = scratch_paths(spark)
+    with pytest.raises(ValueError), temporary_tables(spark):
+        cut_lineage(spark.range(3))
+        raise ValueError
+    assert scratch_paths(spark) == before
