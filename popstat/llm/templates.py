@@ -309,8 +309,9 @@ def quoted_scenarios(
 
     A fixed-size bit filter of the descriptions' windows keeps all other windows of the logs
     from being shuffled; it lets false ones through, which the join drops. NULL texts are
-    empty; NULL ids stay apart from all others; rows that share an id count as one text would;
-    other columns are ignored; empty tables give no pairs.
+    empty; other columns are ignored; empty tables give no pairs. ``run_id`` tells texts apart,
+    so each row needs its own: windows of rows that share one, or NULL, are taken for those of
+    one text. :func:`with_quotations` numbers rows itself.
     """
     known = scenarios.select(F.col(scenario).alias("_id"), F.col(description).cast("string").alias("_text"))
     texts = logs.select(F.col(run_id).alias("_id"), F.col(log).cast("string").alias("_text"))
@@ -349,15 +350,18 @@ def with_quotations(
 ) -> DataFrame:
     """Every row's ``run_id`` with ``contaminated``, the sorted ``scenarios`` it quotes, the best ``coverage`` and ``changed``.
 
-    One row per input row; ``changed`` tells that no description is quoted unchanged.
+    One row per input row, judged by its own text, whatever its id: NULL, repeated or shared
+    by different texts. ``changed`` tells that no description is quoted unchanged. Rows are
+    numbered in a table that is written to the shared folder.
     """
-    pairs = quoted_scenarios(logs, scenarios, run_id, log, scenario, description)
-    found = pairs.groupBy(F.col(run_id).alias("_found")).agg(
+    texts = logs.select(F.col(run_id), F.col(log).cast("string").alias("_log"), F.monotonically_increasing_id().alias("_number"))
+    numbered = cut_lineage(texts)
+    pairs = quoted_scenarios(numbered, scenarios, "_number", "_log", scenario, description)
+    found = pairs.groupBy("_number").agg(
         F.array_sort(F.collect_set(scenario)).alias("scenarios"), F.max("coverage").alias("coverage"), F.min("changed").alias("changed")
     )
-    ids = logs.select(F.col(run_id))
     none = F.array().cast(found.schema["scenarios"].dataType)
-    return ids.join(found, ids[run_id].eqNullSafe(found["_found"]), "left").select(
+    return numbered.select(run_id, "_number").join(found, "_number", "left").select(
         run_id, F.col("coverage").isNotNull().alias("contaminated"), F.coalesce("scenarios", none).alias("scenarios"),
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("changed", F.lit(False)).alias("changed"),
     )

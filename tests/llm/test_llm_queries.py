@@ -16,8 +16,8 @@ import corpus_pipeline  # noqa: E402
 from compare import check, connect  # noqa: E402
 from popstat.llm.encoding import encoder  # noqa: E402
 from popstat.llm.queries import QUERIES, SQL  # noqa: E402
-from popstat.llm.simhash import fingerprint  # noqa: E402
 from popstat.llm.toxicity import fit_on_labels  # noqa: E402
+from test_near_texts import brute_groups  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,26 +28,15 @@ def test_query_agrees_with_sql_or_gives_every_row(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline_equals_brute_force(spark):
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
     score = fit_on_labels(documents, spark.read.parquet(f"{FOLDER}/labels.parquet")).scorer()
     docs = [r for r in documents.collect() if score(r.text) < 0.5]
-    prints = {r.doc_id: fingerprint(r.text, 3) % 2**64 for r in docs}
-    parent = {i: i for i in prints}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a in prints:
-        for b in prints:
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and root(a) != root(b):
-                parent[max(root(a), root(b))] = min(root(a), root(b))
-    docs = [r for r in docs if root(r.doc_id) == r.doc_id]
+    first = brute_groups({r.doc_id: r.text for r in docs})
+    docs = [r for r in docs if first[r.doc_id] == r.doc_id]
     flat = lambda text: " ".join((text or "").lower().split())
     items = [flat(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     docs = [r for r in docs if not any(i in flat(r.text) for i in items)]

@@ -42,7 +42,7 @@ def test_every_row_is_judged(spark, scenarios):
     got = with_quotations(spark.createDataFrame(rows, "run_id long, log string"), scenarios).collect()
     assert sorted((r.run_id is None, r.run_id or 0, r.contaminated, r.scenarios) for r in got) == [
         (False, 1, True, ["train"]), (False, 1, True, ["train"]), (False, 2, False, []), (False, 3, True, []),
-        (True, 0, True, ["train"]), (True, 0, True, ["train"]),
+        (True, 0, False, []), (True, 0, True, ["train"]),  # by its own text, not by another's under the same id
     ]
 
 
@@ -85,3 +85,14 @@ def test_verbatim_quotations_of_any_tokens(spark):
 def test_the_text_before_in_the_batch_does_not_matter(spark):
     item = "In winter all birds fly far away"
     assert found(spark, item, ["a text that ends in 40", item, "and 3", item]) == {1: (1.0, False), 3: (1.0, False)}
+
+
+def test_partial_quotations_of_texts_under_one_id_do_not_add_up(spark):
+    item = " ".join(f"word{chr(97 + i)}" for i in range(24)) + " and so it ends here today"
+    words = item.split()
+    texts = ["it says " + " ".join(words[:10]), "and then " + " ".join(words[10:20]), "all of it " + item]
+    scenarios = spark.createDataFrame([("s", item)], "scenario_name string, scenario_description string")
+    for ids in ([None, None, None], [7, 7, 7], [0, 1, 2]):
+        logs = spark.createDataFrame(list(zip(ids, texts)), "run_id long, log string")
+        got = with_quotations(logs, scenarios).collect()
+        assert sorted(r.contaminated for r in got) == [False, False, True]
