@@ -168,7 +168,10 @@ def heterozygosity_summary(
     by: By = (),
     sites: DataFrame | None = None,
 ) -> DataFrame:
-    """expected_heterozygosity, with ``chromosomes`` nucleotide_diversity, with ``mutations`` exact_B."""
+    """expected_heterozygosity, with ``chromosomes`` nucleotide_diversity, with ``mutations`` exact_B.
+
+    A site without a row in ``mutations`` has no masking and adds nothing to exact_B alone.
+    """
     sites = segregating(_sites(sites, carriers, haplotypes, by))
     h = heterozygosity("copies", "n_hap")
     aggs = [F.avg(h).alias("expected_heterozygosity")]
@@ -177,7 +180,7 @@ def heterozygosity_summary(
         diversity = F.coalesce(F.try_divide(F.sum(h), length), F.lit(0.0))
         aggs.append(diversity.alias("nucleotide_diversity"))
     if mutations is not None:
-        sites = sites.join(mutations.select(*_on(mutations, by), "masking"), _on(mutations, by))
+        sites = sites.join(mutations.select(*_on(mutations, by), "masking"), _on(mutations, by), "left")
         aggs.append(F.sum(F.col("masking") * h).alias("exact_B"))
     defaults = {"expected_heterozygosity": 0.0, "nucleotide_diversity": 0.0, "exact_B": 0.0}
     return per_group(haplotypes, sites.groupBy(*by).agg(*aggs), by, defaults)

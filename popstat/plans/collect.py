@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from popstat.functions.text import format_int_vector, variant_label
 from popstat.sources.readers import (
+    checked_phase_profile,
+    checked_stat_rows,
+    checked_tagged_metrics,
     extract_phase_profile,
     extract_wall_metrics,
+    read_files,
     read_lines,
     read_tagged_metrics,
-    stat_rows,
     with_run_context,
 )
 from popstat.sources.schemas import RESULT_TABLES, STAT_ROW_COLUMNS
@@ -25,12 +28,12 @@ VECTORS = {
 WALL_METRICS = ("total_wall_sec", "avg_sec_per_gen")
 
 
-def _statistics(lines: DataFrame) -> DataFrame:
-    """Typed statistic rows of each file, with ``path`` and ``at``; header and blank lines are left out."""
+def _checked_statistics(lines: DataFrame) -> DataFrame:
+    """Statistic rows of each file with ``path``, ``at``, ``value`` and ``reject``; header and blank lines are left out."""
     fields = F.split("value", "\t")
     rows = lines.where(F.trim("value") != "").where(~F.col("value").startswith("generation\t"))
     named = [F.coalesce(F.get(fields, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(STAT_ROW_COLUMNS)]
-    return stat_rows(rows.select("path", "at", *named), ["path", "at"])
+    return checked_stat_rows(rows.select("path", "at", "value", *named), ["path", "at", "value"])
 
 
 def run_statistics(lines: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def run_statistics(lines: DataFrame) -> DataFrame:
 
     A histogram and a spectrum row are two vectors each. The generation is the last of the run.
     """
-    rows = _statistics(lines)
+    rows = _checked_statistics(lines).where("reject is null")
     vector = [
         F.struct(F.lit(name).alias("name"), F.lit(None).cast("double").alias("scalar_value"), F.col(c).alias("vector_value"))
         for parts in VECTORS.values() for name, c in parts.items()
@@ -99,3 +102,54 @@ def collect_runs(spark: SparkSession, folder: str, scenarios: DataFrame, referen
     """The raw tables of the run files below ``folder``/<phase>/<case>/; input of ``summarize_tables``."""
     out, err = (read_lines(spark, f"{folder}/*/*/*.{end}") for end in ("stdout", "stderr"))
     return collect_tables(out, err, scenarios, reference)
+
+
+REJECTS = ("path", "at", "source", "reason", "text")
+
+
+def rejected_lines(stdout: DataFrame, stderr: DataFrame, files: DataFrame, reference: str) -> DataFrame:
+    """What of the run files is in no raw table: ``path``, ``at``, ``source``, ``reason`` and ``text``.
+
+    ``stdout`` and ``stderr`` are as for :func:`collect_tables`, ``files`` (``path``) are all
+    run files, so that those without any line count. Lines with a field that does not read
+    have their place ``at`` and ``text``; their ``source`` is statistics, tagged or phases and
+    ``reason`` names the fields. A file has a row without place: of source wall if its error
+    output lacks a time that reads (a reference's accuracy run prints none), phases if
+    a profile run has no phase line, statistics or tagged if an accuracy run printed nothing
+    that is read, and file if its name is none of a run.
+    """
+    is_ref = F.col("simulator") == reference
+    by_run = with_run_context(stdout)
+    own = _checked_statistics(by_run.where(~is_ref)).withColumn("source", F.lit("statistics"))
+    tagged = checked_tagged_metrics(by_run.where(is_ref), keep=["path", "at", "value"]).withColumn("source", F.lit("tagged"))
+    phases = checked_phase_profile(stderr, keep=["path", "at", "value"]).withColumn("source", F.lit("phases"))
+    parsed = [df.select("path", "at", "source", "reject", "value") for df in (own, tagged, phases)]
+    lines = parsed[0].unionByName(parsed[1]).unionByName(parsed[2])
+    bad = lines.where("reject is not null").select("path", "at", "source", F.col("reject").alias("reason"), F.col("value").alias("text"))
+
+    seen = lines.groupBy("path").agg(F.count(F.lit(1)).alias("_lines"))
+    named = with_run_context(files.select("path")).withColumn("_end", F.regexp_extract("path", r"\.(stdout|stderr)$", 1))
+    known = named.join(seen, "path", "left").join(extract_wall_metrics(stderr), "path", "left")
+    times = F.array_compact(F.array(*[
+        F.when(F.col(c).isNull(), F.lit(f"no {text}")) for c, text in (("total_sec", "total"), ("avg_sec_per_gen", "average"))
+    ]))
+    timed = (F.col("_end") == "stderr") & ~((F.col("run_phase") == "accuracy") & is_ref)
+    silent = F.col("_lines").isNull()
+    problems = F.array_compact(F.array(
+        F.when(F.col("seed").isNull(), F.struct(F.lit("file").alias("source"), F.lit("no run has this name").alias("reason"))),
+        F.when(timed & (F.size(times) > 0), F.struct(F.lit("wall").alias("source"), F.array_join(times, ", ").alias("reason"))),
+        F.when((F.col("_end") == "stderr") & (F.col("run_phase") == "profile") & silent,
+               F.struct(F.lit("phases").alias("source"), F.lit("no phase line").alias("reason"))),
+        F.when((F.col("_end") == "stdout") & (F.col("run_phase") == "accuracy") & silent,
+               F.struct(F.when(is_ref, "tagged").otherwise("statistics").alias("source"), F.lit("nothing printed").alias("reason"))),
+    ))
+    whole = known.select("path", F.explode(problems).alias("p")).select(
+        "path", F.lit(None).cast(stdout.schema["at"].dataType).alias("at"), "p.*", F.lit(None).cast("string").alias("text")
+    )
+    return bad.unionByName(whole).select(*REJECTS)
+
+
+def collect_rejects(spark: SparkSession, folder: str, reference: str) -> DataFrame:
+    """Bad lines and files of the run files below ``folder``/<phase>/<case>/, beside the tables of :func:`collect_runs`."""
+    out, err = (read_lines(spark, f"{folder}/*/*/*.{end}") for end in ("stdout", "stderr"))
+    return rejected_lines(out, err, read_files(spark, f"{folder}/*/*/*"), reference)

@@ -27,20 +27,49 @@ def _text_or_null(name: str) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
-def stat_rows(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Ten text columns to typed statistic rows; empty fields are NULL, vectors are arrays."""
+def _bad_numbers(names: Sequence[str], kind: str) -> list[Column]:
+    """Names of the text columns that hold something else than a number of this kind."""
+    return [F.when(_text_or_null(c).isNotNull() & _text_or_null(c).try_cast(kind).isNull(), F.lit(c)) for c in names]
+
+
+def _bad_vectors(names: Sequence[str]) -> list[Column]:
+    wrong = lambda item: (F.trim(item) != "") & F.trim(item).try_cast("long").isNull()
+    return [F.when(F.exists(F.split(F.trim(F.col(c)), ","), wrong), F.lit(c)) for c in names]
+
+
+def _reasons(*found: Column) -> Column:
+    """The names of all bad fields, NULL if there are none."""
+    names = F.array_compact(F.array(*found))
+    return F.when(F.size(names) > 0, F.array_join(names, ", "))
+
+
+def checked_stat_rows(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Ten text columns to typed statistic rows with ``reject``: the fields that do not read, NULL if all do.
+
+    Empty fields are NULL, vectors are arrays, a field that does not read is NULL. A row
+    without a generation is bad.
+    """
     vectors = [F.when(_text_or_null(c).isNotNull(), parse_int_vector(c)).alias(c) for c in VECTOR_COLUMNS]
+    doubles = ("dt_sec", "cumul_sec", "scalar_value")
+    no_generation = F.when(F.trim(F.coalesce("generation", F.lit(""))).try_cast("long").isNull(), F.lit("generation"))
+    reject = _reasons(no_generation, *_bad_numbers(doubles, "double"), *_bad_vectors(VECTOR_COLUMNS))
     return raw.select(
         *keep,
-        F.col("generation").cast("long").alias("generation"),
-        *[_text_or_null(c).cast("double").alias(c) for c in ("dt_sec", "cumul_sec")],
+        F.trim("generation").try_cast("long").alias("generation"),
+        *[_text_or_null(c).try_cast("double").alias(c) for c in ("dt_sec", "cumul_sec")],
         _text_or_null("statistic").alias("statistic"),
         _text_or_null("metric").alias("metric"),
-        _text_or_null("scalar_value").cast("double").alias("scalar_value"),
+        _text_or_null("scalar_value").try_cast("double").alias("scalar_value"),
         *vectors,
+        reject.alias("reject"),
     )
 
 
+def stat_rows(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed statistic rows; rows with a field that does not read are left to :func:`checked_stat_rows`."""
+    return checked_stat_rows(raw, keep).where("reject is null").drop("reject")
+
+
 def read_stat_rows(spark: SparkSession, path: str) -> DataFrame:
     return stat_rows(spark.read.csv(path, sep="\t", header=True, schema=STAT_ROW_TEXT))
 
@@ -56,19 +85,37 @@ def read_wide_stats(spark: SparkSession, path: str) -> DataFrame:
     return wide_to_long(spark.read.csv(path, header=True, schema=WIDE_STATS))
 
 
-def read_tagged_metrics(lines: DataFrame, text: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """Lines kind, name, value to (kind, name, scalar_value, vector_value); other lines are dropped."""
+def checked_tagged_metrics(lines: DataFrame, text: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Lines kind, name, value to (kind, name, scalar_value, vector_value, reject); other lines are dropped.
+
+    ``reject`` is 'value' where the value does not read, else NULL.
+    """
     stripped = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
     parts = F.split(stripped, "\t", 3)
     three = lines.select(*keep, parts.alias("_p")).where(F.size("_p") == 3)
-    kind = F.col("_p")[0]
-    return three.where(kind.isin("scalar", "vector")).select(
-        *keep, kind.alias("kind"), F.col("_p")[1].alias("name"),
-        F.when(kind == "scalar", F.trim(F.col("_p")[2]).cast("double")).alias("scalar_value"),
-        F.when(kind == "vector", parse_int_vector(F.col("_p")[2])).alias("vector_value"),
+    part = lambda n: F.get("_p", F.lit(n))
+    named = three.where(part(0).isin("scalar", "vector")).select(
+        *keep, part(0).alias("kind"), part(1).alias("name"), F.trim(part(2)).alias("_value")
+    )
+    scalar, is_scalar = F.col("_value").try_cast("double"), F.col("kind") == "scalar"
+    bad = F.when(F.when(is_scalar, scalar.isNull()).otherwise(_bad_vectors(["_value"])[0].isNotNull()), F.lit("value"))
+    return named.select(
+        *keep, "kind", "name", F.when(is_scalar, scalar).alias("scalar_value"),
+        F.when(~is_scalar, parse_int_vector("_value")).alias("vector_value"), bad.alias("reject"),
     )
 
 
+def read_tagged_metrics(lines: DataFrame, text: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """(kind, name, scalar_value, vector_value) of the lines whose value reads."""
+    return checked_tagged_metrics(lines, text, keep).where("reject is null").drop("reject")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of every file, empty ones too: those of Spark's own listing, no content is read."""
+    found = spark.createDataFrame([(name,) for name in spark.read.text(path).inputFiles()], "path string")
+    return found.select(F.regexp_replace("path", "^([^:/]+)://(?=/)", "$1:").alias("path"))  # as in the files' metadata
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their file and a position that ascends within it."""
     lines = spark.read.text(path)
@@ -95,16 +142,22 @@ def extract_wall_metrics(lines: DataFrame, text: str = "value", log: str = "path
     return found.withColumn("complete", F.col("total_sec").isNotNull() & F.col("avg_sec_per_gen").isNotNull())
 
 
-def extract_phase_profile(lines: DataFrame, text: str = "value", keep: Sequence[str] = ("path",)) -> DataFrame:
-    """One row per phase line of a log."""
+def checked_phase_profile(lines: DataFrame, text: str = "value", keep: Sequence[str] = ("path",)) -> DataFrame:
+    """One row per phase line of a log, with ``reject``: the numbers that do not read, NULL if all do."""
     line = F.regexp_replace(F.col(text), r"\s+$", "")
     part = lambda n: F.regexp_extract(line, PHASE_LINE, n)
+    numbers = {"total_sec": part(2), "avg_sec_per_gen": part(3), "pct_total": part(4)}
+    bad = [F.when(x.try_cast("double").isNull(), F.lit(name)) for name, x in numbers.items()]
     return lines.where(line.rlike(PHASE_LINE)).select(
-        *keep, part(1).alias("phase"), part(2).cast("double").alias("total_sec"),
-        part(3).cast("double").alias("avg_sec_per_gen"), part(4).cast("double").alias("pct_total"),
+        *keep, part(1).alias("phase"), *[x.try_cast("double").alias(name) for name, x in numbers.items()], _reasons(*bad).alias("reject")
     )
 
 
+def extract_phase_profile(lines: DataFrame, text: str = "value", keep: Sequence[str] = ("path",)) -> DataFrame:
+    """One row per phase line of a log whose numbers read."""
+    return checked_phase_profile(lines, text, keep).where("reject is null").drop("reject")
+
+
 def with_run_context(df: DataFrame, path: str = "path") -> DataFrame:
     """Phase, case, simulator, builder, threads and seed from the path of a run file."""
     part = lambda n: F.regexp_extract(path, RUN_FILE, n)
@@ -161,12 +214,21 @@ def _has_data(spark: SparkSession, path: str) -> bool:
     return system.exists(target) and system.getContentSummary(target).getLength() > 0
 
 
-def read_result_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A CSV with header as a typed table; a missing or empty file is an empty table."""
+def checked_result_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A CSV with header as a typed table with ``reject``: the columns whose text does not read, NULL if all do.
+
+    A missing or empty file is an empty table, a missing column is NULL.
+    """
     wanted = RESULT_TABLES[schema] if isinstance(schema, str) else schema
     if not _has_data(spark, path):
-        return spark.createDataFrame([], wanted)
+        return spark.createDataFrame([], T.StructType([*wanted.fields, T.StructField("reject", T.StringType())]))
     raw = spark.read.csv(path, header=True, multiLine=False, escape='"')
     have = set(raw.columns)
-    cast = lambda f: F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
-    return raw.select(*[cast(f).alias(f.name) for f in wanted.fields])
+    cast = lambda f: F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
+    bad = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name)) for f in wanted.fields if f.name in have]
+    return raw.select(*[cast(f).alias(f.name) for f in wanted.fields], (_reasons(*bad) if bad else F.lit(None).cast("string")).alias("reject"))
+
+
+def read_result_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of a typed result table all of whose columns read."""
+    return checked_result_table(spark, path, schema).where("reject is null").drop("reject")

@@ -81,8 +81,8 @@ def test_error_bands_and_rel_diff(spark):
 
 
 def test_labels(spark):
-    assert one(spark, fn.label("v", fn.CASE_LABELS), v="pop_10k") == "Population 10k"
-    assert one(spark, fn.label("v", fn.CASE_LABELS), v="some_case") == "some case"
+    assert one(spark, fn.label("v", {"pop_10k": "Ten thousand"}), v="pop_10k") == "Ten thousand"
+    assert one(spark, fn.label("v", {"pop_10k": "Ten thousand"}), v="some_case") == "some case"
     assert one(spark, fn.label("v", fn.BUILDER_LABELS, "same"), v="x_y") == "x_y"
     assert one(spark, fn.label("v", fn.PHASE_GROUPS, fn.MINOR_PHASES), v="x_y") == "Minor phases"
 

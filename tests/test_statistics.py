@@ -164,3 +164,16 @@ def test_genome_totals_defaults(spark):
     assert rows[0].recombination_mass == 50 and rows[1].recombination_mass == 50
     assert rows[0].mutation_mass == 100 and rows[0].total_mutation_mass == 150
     assert rows[0].crossover_lambda == 1.0 and math.isclose(rows[1].mutation_lambda, 1.5)
+
+
+def test_sites_without_a_mutation_row_count_but_for_exact_B(spark):
+    carriers = spark.createDataFrame([(0, 1), (1, 1), (0, 2)], "haplotype_id BIGINT, mutation_id BIGINT")
+    haplotypes = spark.range(4).withColumnRenamed("id", "haplotype_id")
+    mutations = spark.createDataFrame([(1, 2.0)], "mutation_id BIGINT, masking DOUBLE")
+    chromosomes = spark.createDataFrame([(0, 100)], "chrom INT, length BIGINT")
+    family = st.heterozygosity_summary(carriers, haplotypes, mutations, chromosomes).first()
+    assert family.expected_heterozygosity == st.expected_heterozygosity(carriers, haplotypes).first()[0] == 0.4375
+    assert family.nucleotide_diversity == st.nucleotide_diversity(carriers, haplotypes, chromosomes).first()[0] == 0.00875
+    assert family.exact_B == st.exact_B(carriers, haplotypes, mutations).first()[0] == 1.0
+    none = st.heterozygosity_summary(carriers, haplotypes, mutations.limit(0)).first()
+    assert none.exact_B == 0 and none.expected_heterozygosity == 0.4375

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from popstat import functions as fn
 from popstat.operators import filters as fl
 from popstat.operators import results as rs
-from popstat.plans.collect import collect_tables
+from popstat.plans.collect import collect_tables, rejected_lines
 from popstat.session import scratch_path
-from popstat.sources.readers import read_lines
+from popstat.sources.readers import read_files, read_lines
 from workload.registry import big, query, r6, r9
 from workload.views import METRICS, SPEED_KEYS, VARIANT_KEYS, Views
 
@@ -461,3 +461,33 @@ def _(v):
         "case_label", F.col("case_label").alias("scenario_name"), F.lit("").alias("scenario_description"), F.lit(1).cast("long").alias("G"))
     scalars = collect_tables(out, err, cases, "ref")["accuracy_scalars"]
     return scalars.select(F.lit("accuracy").alias("kind"), "case_label", "variant", "seed", "metric", F.round("value", 4).alias("value"))
+
+
+@query("collect_rejects", """SELECT 'statistics' AS source, 'scalar_value' AS reason, event_type AS case_label,
+'cand_psa_T4_seed' || ((user_id % 3 + 1) * 101) || '.stdout' AS file, event_id || E'\\t0\\t0\\tn_seg\\t\\tn/a\\t\\t\\t\\t' AS text
+FROM events WHERE event_id % 2 = 1 AND event_id % 7 = 0
+UNION ALL SELECT 'tagged', 'value', event_type, 'ref_seed' || ((user_id % 3 + 1) * 101) || '.stdout', E'scalar\\tm' || event_id || E'\\t1,5'
+FROM events WHERE event_id % 14 = 0
+UNION ALL SELECT DISTINCT 'wall', 'no average', event_type, 'cand_psa_T4_seed101.stderr', NULL FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0
+UNION ALL SELECT DISTINCT 'wall', 'no total, no average', event_type, 'cand_psa_T4_seed202.stderr', NULL
+FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 1""")
+def _(v):
+    """Run files with some values that are no numbers, logs that lack the average and logs that say nothing of times."""
+    events = v.table("events").withColumn("seed", (F.col("user_id") % 3 + 1) * 101)
+    ref, n = F.col("event_id") % 2 == 0, F.col("event_id")
+    run = F.when(ref, F.concat(F.lit("ref_seed"), "seed")).otherwise(F.concat(F.lit("cand_psa_T4_seed"), "seed"))
+    number = F.when(n % 7 == 0, F.when(ref, "1,5").otherwise("n/a")).otherwise(F.format_string("%.4f", "value"))
+    row = F.concat_ws("\t", "event_id", F.lit("0"), F.lit("0"), F.lit("n_seg"), F.lit(""), number, *[F.lit("")] * 4)
+    out = events.select("event_type", run.alias("run"), F.when(ref, F.concat(F.lit("scalar\tm"), "event_id", F.lit("\t"), number)).otherwise(row).alias("value"))
+    said = F.when(F.col("seed") == 202, "it broke").when(F.col("seed") == 101, "Total wall-clock: 2.5 sec").otherwise("Total wall-clock: 2.5 sec\nAvg sec/gen: 0.5")
+    err = events.where(~ref).select("event_type", run.alias("run"), said.alias("value")).distinct()
+    folder = scratch_path(v.spark, "runs")
+    for end, lines in (("stdout", out), ("stderr", err)):
+        files = lines.repartition("event_type", "run").select("value", "event_type", F.concat("run", F.lit(f".{end}")).alias("file"))
+        files.write.partitionBy("event_type", "file").text(f"{folder}/{end}")
+    layout = F.regexp_replace("path", "event_type=([^/]+)/file=([^/]+)/.*$", "accuracy/$1/$2")
+    out, err = (read_lines(v.spark, f"{folder}/{end}").withColumn("path", layout) for end in ("stdout", "stderr"))
+    listed = read_files(v.spark, f"{folder}/stdout").unionByName(read_files(v.spark, f"{folder}/stderr")).select(layout.alias("path")).distinct()
+    found = rejected_lines(out, err, listed, "ref")
+    part = lambda k: F.regexp_extract("path", "accuracy/([^/]+)/([^/]+)$", k)
+    return found.select("source", "reason", part(1).alias("case_label"), part(2).alias("file"), "text")
