@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Half the units kept by a worker; beyond it they are learned anew. The table of their hashes has twice the room.
-MAX_WORDS = 1 << 20
+MAX_WORDS = 1 << 19
 SLICE = 1 << 20
 SPACE = 32
 _POWER = U(0x9E3779B97F4A7C15)
@@ -47,9 +47,8 @@ class UnitEncoder:
 
     special: list[bytes] = []
 
-    def __init__(self, words: int | None = None) -> None:
+    def __init__(self) -> None:
         self.power = self.undo = np.zeros(0, U)
-        self.limit = words
         self.forget()
 
     def learn(self, units: list[str]) -> list[list[int]]:
@@ -65,10 +64,10 @@ class UnitEncoder:
         return data == SPACE
 
     def forget(self) -> None:
-        self.slots = max((self.limit or MAX_WORDS) * 4 - 1, 1 << 16).bit_length()
+        self.slots = max(MAX_WORDS * 4 - 1, 1 << 16).bit_length()
         self.keys, self.values, self.n = np.zeros(1 << self.slots, U), np.zeros(1 << self.slots, np.int32), 0
-        self.start, self.count, self.pool, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0
-        self.text, self.length, self.texts, self.written = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint8), 0
+        self.start, self.count, self.pool, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0
+        self.text, self.length, self.texts, self.written = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint8), 0
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a string array; NULL is an empty text."""
@@ -135,7 +134,7 @@ class UnitEncoder:
     def _numbers(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The number of each unit between the edges; those not seen before are learned."""
         start, stop = edges[:-1], edges[1:]
-        if self.n + len(start) > (self.limit or MAX_WORDS) * 2 and self.n:
+        if self.n + len(start) > MAX_WORDS * 2 and self.n:
             self.forget()
         if len(self.power) <= len(data):
             self.power, self.undo = (np.cumprod(np.full(len(data) + SLICE, x), dtype=U) for x in (_POWER, _INVERSE))
@@ -210,7 +209,7 @@ class ByteEncoder(UnitEncoder):
     or with ``ordinary`` as any other text.
     """
 
-    def __init__(self, path: str, ordinary: bool = False, words: int | None = None) -> None:
+    def __init__(self, path: str, ordinary: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -221,7 +220,7 @@ class ByteEncoder(UnitEncoder):
         self.byte_of = _byte_letters()
         self.letter_of = {b: c for c, b in self.byte_of.items()}
         self.added = {i: t.content.encode() for i, t in held.items()}
-        super().__init__(words)
+        super().__init__()
 
     def tokens(self) -> list[bytes]:
         """The bytes of each id."""
@@ -261,14 +260,14 @@ class PieceEncoder(UnitEncoder):
 
     MARK = "▁"
 
-    def __init__(self, path: str, words: int | None = None) -> None:
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         for i in range(self.library.vocab_size()):
             if self.MARK in self.library.id_to_piece(i).lstrip(self.MARK):
                 raise ValueError(f"a piece spans words: {self.library.id_to_piece(i)!r}")
-        super().__init__(words)
+        super().__init__()
 
     def tokens(self) -> list[bytes]:
         """The bytes of each id."""
