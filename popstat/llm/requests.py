@@ -18,15 +18,37 @@ _KINDS = {
 }
 
 
-def argument_errors(value: object, schema: dict, at: str = "$") -> list[str]:
-    """Violations of a JSON schema's type, enum, bounds, required, properties, additionalProperties and items."""
-    kind = schema.get("type")
+#: Words of a schema that are checked, and those that check nothing.
+_CHECKED = {"type", "enum", "minimum", "maximum", "required", "properties", "additionalProperties", "items"}
+_NOTES = {"title", "description", "default", "examples", "format", "$schema", "$id", "$comment"}
+
+
+def _is_kind(value: object, kind: str) -> bool:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind == "integer":
+        return number and (isinstance(value, int) or value.is_integer())
+    return number if kind == "number" else isinstance(value, _KINDS.get(kind, object))
+
+
+def argument_errors(value: object, schema: object, at: str = "$") -> list[str]:
+    """Violations of a JSON schema's type, enum, bounds, required, properties, additionalProperties and items.
+
+    A type may be a list; the schemas true and false allow everything and nothing. Words of a
+    schema that are not checked here are errors themselves, as are schemas of another kind.
+    """
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
+    if not isinstance(schema, dict):
+        return [f"{at}: schema is no object"]
+    if unknown := sorted(schema.keys() - _CHECKED - _NOTES):
+        return [f"{at}: schema word {word} is not supported" for word in unknown]
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and float(value).is_integer()} if number else {"number": False, "integer": False}
-    if kind and not (fits[kind] if kind in fits else isinstance(value, _KINDS.get(kind, object))):
-        return [f"{at}: not {kind}"]
+    kinds = schema.get("type", [])
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    if kinds and not any(_is_kind(value, kind) for kind in kinds):
+        return [f"{at}: not {' or '.join(map(str, kinds))}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(x == value and isinstance(x, bool) == isinstance(value, bool) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
     if number and value < schema.get("minimum", -math.inf):
         out.append(f"{at}: below minimum")
@@ -40,7 +62,7 @@ def argument_errors(value: object, schema: dict, at: str = "$") -> list[str]:
                 out += argument_errors(value[k], properties[k], f"{at}.{k}")
             elif schema.get("additionalProperties") is False:
                 out.append(f"{at}.{k}: unknown")
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+    if isinstance(value, list) and "items" in schema:
         for i, item in enumerate(value):
             out += argument_errors(item, schema["items"], f"{at}[{i}]")
     return out
@@ -52,7 +74,7 @@ def canonical(value: object) -> str:
 
 
 def _parsed(text: str | None) -> tuple[object, bool]:
-    """A JSON value without duplicate keys, NaN or infinity."""
+    """A JSON value without duplicate keys, NaN, numbers beyond a double's range or lone surrogates."""
     def pairs(items: list) -> dict:
         if len({k for k, _ in items}) < len(items):
             raise ValueError("repeated key")
@@ -61,8 +83,14 @@ def _parsed(text: str | None) -> tuple[object, bool]:
     def refuse(name: str) -> None:
         raise ValueError(name)
 
+    def finite(digits: str) -> float:
+        number = float(digits)
+        return number if math.isfinite(number) else refuse(digits)
+
     try:
-        return json.loads(text or "", object_pairs_hook=pairs, parse_constant=refuse), True
+        value = json.loads(text or "", object_pairs_hook=pairs, parse_constant=refuse, parse_float=finite)
+        canonical(value).encode()
+        return value, True
     except (ValueError, RecursionError):
         return None, False
 
@@ -79,7 +107,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["schema"] is None:
                 wrong.append("statistic: unknown")
             elif readable:
-                wrong += argument_errors(arguments, schemas[r["schema"]] or {})
+                wrong += argument_errors(arguments, schemas[r["schema"]])
             status.append(
                 "repeated" if r["repeated"] else "cyclic" if r["cyclic"] else "invalid" if wrong
                 else "unanswered" if r["result"] is None and r["returns"] else "linked"

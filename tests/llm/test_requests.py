@@ -84,3 +84,18 @@ def test_schema_rules():
     assert argument_errors({"a": [1, 4, "x", True], "b": 1}, schema) == ["$.a[1]: above maximum", "$.a[2]: not number", "$.a[3]: not number", "$.b: not boolean"]
     assert argument_errors([], schema) == ["$: not object"] and argument_errors({}, schema) == ["$.a: missing"]
     assert argument_errors(2.0, {"type": "integer"}) == [] and argument_errors(2.5, {"type": "integer"}) == ["$: not integer"]
+
+
+def test_odd_schemas_and_values_are_errors_and_not_crashes():
+    from popstat.llm.requests import _parsed, argument_errors
+
+    either = {"type": ["object", "null"]}
+    assert argument_errors(None, either) == argument_errors({}, either) == [] and argument_errors([], either) == ["$: not object or null"]
+    assert argument_errors(10**400, {"type": "integer"}) == [] and argument_errors(1.5, {"type": "integer"}) == ["$: not integer"]
+    assert argument_errors({"a": 1}, True) == [] and argument_errors(1, False) == ["$: not allowed"] and argument_errors(1, None)
+    assert argument_errors(True, {"enum": [1]}) == ["$: not in enum"] and argument_errors(1, {"enum": [True, 1]}) == []
+    assert argument_errors("x", {"pattern": "y"}) == ["$: schema word pattern is not supported"]
+    assert argument_errors([1], {"items": False}) == ["$[0]: not allowed"]
+    for text in ("1e999", "-1e999", '{"a": "\\ud800"}', "NaN", "[" * 100_000, "9" * 5_000):
+        assert _parsed(text) == (None, False)
+    assert _parsed("9" * 401) == (10**401 - 1, True)
