@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,13 @@ IDENTITY_TERMS = (
     ("femmes", "hommes"),
     ("mujeres", "hombres"),
 )
-#: Bounds of training: labelled rows used (expected), features kept, texts that a feature must occur in.
-MAX_SENTENCES, MAX_FEATURES, LEAST_TEXTS = 8000, 1000, 3
+#: Bound of training: labelled rows used (expected).
+MAX_SENTENCES = 8000
 RIDGE, FAIRNESS, STEPS, RATE = 1e-3, 1.0, 150, 0.1
-KNOWN_WORDS = 300_000
+#: Standard errors by which a feature's log-odds of toxicity are above zero; no other bound on features.
+SURE = 2.0
+#: Words whose features a worker keeps; beyond it they are looked up anew.
+KNOWN_WORDS = 1 << 17
 
 
 def word_features(word: str) -> list[str]:
@@ -56,7 +60,7 @@ def swapped(words: set[str], terms: Sequence[Sequence[str]], shift: int) -> set[
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of presence features, at most MAX_FEATURES of them."""
+    """Weights of presence features; as many as the sample has that surely speak for toxicity."""
 
     weights: dict[str, float]
     bias: float
@@ -94,25 +98,26 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _designs(features: Sequence[str], terms: Sequence[Sequence[str]]):
-    """Places of the chosen features in each text and in its counterfactuals, which differ in identity terms alone."""
+    """Places of the features in each text, and those that go and come in each counterfactual, which differs in identity terms alone."""
     index = {f: i for i, f in enumerate(features)}
     shifts = range(1, max((len(line) for line in terms), default=1))
 
-    def places(words: set[str]) -> list[int]:
-        return sorted({index[f] for w in words for f in word_features(w) if f in index})
+    def places(words: set[str]) -> set[int]:
+        return {index[f] for w in words for f in word_features(w) if f in index}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = [], []
+            own, gone, come = [], [], []
             for text in batch.column("_text"):
                 words = words_of(text.as_py())
-                own.append(places(words))
-                changed = [swapped(words, terms, s) for s in shifts]
-                other.append([places(c) for c in changed if c != words])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_toxic"), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))],
-                names=["toxic", "own", "other"],
-            )
+                here = places(words)
+                there = [places(c) for s in shifts if (c := swapped(words, terms, s)) != words]
+                own.append(sorted(here))
+                gone.append([sorted(here - t) for t in there])
+                come.append([sorted(t - here) for t in there])
+            one, many = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
+            columns = [batch.column("_hash"), batch.column("_toxic"), pa.array(own, one), pa.array(gone, many), pa.array(come, many)]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "toxic", "own", "gone", "come"])
 
     return run
 
@@ -129,7 +134,7 @@ def fit_toxicity(
     """Fit on labelled texts, of which an expected ``max_sentences`` at most are chosen by hash of the text.
 
     ``sentences`` has ``text`` and ``toxic`` (0 or 1). Features are the presence of words and
-    word beginnings; the MAX_FEATURES that speak most for toxicity are kept. The loss is
+    word beginnings, all whose log-odds of toxicity are SURE standard errors above zero. The loss is
     class-balanced logistic loss, a ridge, and ``fairness`` times the mean squared change
     of the log-odds when identity terms in a text are swapped for others of their line,
     which takes the weight off terms that only happen to occur in toxic texts.
@@ -150,40 +155,41 @@ def fit_toxicity(
     counts = sample.mapInArrow(_feature_counts, "feature string, toxic int")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     rate = F.log((F.col("a") + 0.5) / (positive + 1)) - F.log((F.col("b") + 0.5) / (n - positive + 1))
-    ranked = counts.where(F.col("a") >= LEAST_TEXTS).withColumn("weight", F.col("a") * rate).where("weight > 0")
-    features = [r[0] for r in ranked.orderBy(F.desc("weight"), "feature").limit(MAX_FEATURES).select("feature").collect()]
-    rows = sample.mapInArrow(
-        _designs(features, terms), "toxic int, own array<int>, other array<array<int>>"
-    ).toArrow()
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    features = [r[0] for r in counts.where(rate > error * SURE).select("feature").orderBy("feature").collect()]
+    design = "hash long, toxic int, own array<int>, gone array<array<int>>, come array<array<int>>"
+    rows = sample.mapInArrow(_designs(features, terms), design).toArrow()
     weights, bias = _descend(rows, len(features), fairness)
     return ToxicityModel(dict(zip(features, weights.tolist(), strict=True)), float(bias))
 
 
 def _descend(rows: pa.Table, width: int, fairness: float) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on all rows at once; rows are put in order, so the result does not depend on tasks."""
-    listed = sorted(zip(rows["toxic"].to_pylist(), rows["own"].to_pylist(), rows["other"].to_pylist(), strict=True))
-    y = np.array([t for t, _, _ in listed], np.float64)
-    x = _matrix([own for _, own, _ in listed], width)
-    pairs = [(own, c) for _, own, others in listed for c in others]
-    change = _matrix([a for a, _ in pairs], width) - _matrix([b for _, b in pairs], width)
+    rows = rows.sort_by("hash").combine_chunks()
+    y = rows["toxic"].to_numpy().astype(np.float64)
+    gone, come = (pc.list_flatten(rows[c]).combine_chunks() for c in ("gone", "come"))
+    pairs = len(gone)
+    row, column = _places(rows["own"].combine_chunks())
+    (lost, from_), (won, to) = _places(gone), _places(come)
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     w[-1] = -1.0
     for step in range(1, STEPS + 1):
-        error = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))) - y) * balance
-        slope = np.append(x.T @ error + RIDGE * w[:-1], error.sum())
-        if len(pairs):
-            slope[:-1] += fairness * 2 * (change.T @ (change @ w[:-1])) / len(pairs)
+        total = np.bincount(row, w[column], len(y)) + w[-1]
+        error = (1 / (1 + np.exp(-np.clip(total, -500, 500))) - y) * balance
+        slope = np.append(np.bincount(column, error[row], width) + RIDGE * w[:-1], error.sum())
+        if pairs:
+            change = np.bincount(lost, w[from_], pairs) - np.bincount(won, w[to], pairs)
+            swap = np.bincount(from_, change[lost], width) - np.bincount(to, change[won], width)
+            slope[:-1] += fairness * 2 * swap / pairs
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1], w[-1]
 
 
-def _matrix(places: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(places), width), np.float32)
-    for i, own in enumerate(places):
-        out[i, own] = 1
-    return out
+def _places(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each element of the lists."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
 
 
 def score_toxicity(texts: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
