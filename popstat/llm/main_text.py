@@ -32,7 +32,7 @@ BLOCK = {
     "td", "tfoot", "th", "thead", "tr", "ul",
 }
 DROPPED = {
-    "aside", "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "iframe", "input", "map", "math",
+    "annotation", "annotation-xml", "aside", "audio", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "iframe", "input", "map",
     "menu", "nav", "noembed", "noframes", "noscript", "object", "optgroup", "option", "output", "script", "select", "style",
     "svg", "template", "textarea", "title", "video", "xmp",
 }
@@ -44,7 +44,7 @@ DROPPED_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
     "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar",
     "navigation", "newsletter", "notice", "notices", "outbrain", "pager", "pagination", "popup", "promo", "promoted",
-    "promotion", "related", "respond", "share", "sharing", "sidebar", "sidebars", "social", "sponsor", "sponsored",
+    "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "sidebars", "social", "sponsor", "sponsored",
     "subscribe", "subscription", "taboola", "toolbar", "widget",
 }
 #: Words that may stand before a dropped name ("site-footer"); names that begin with a dropped one are dropped, too.
@@ -52,6 +52,13 @@ BEFORE_NAMES = {
     "article", "blog", "bottom", "cookie", "email", "entry", "footer", "global", "google", "header", "left", "main", "mobile",
     "page", "post", "primary", "right", "secondary", "site", "top", "user",
 }
+#: Words that may follow a dropped name within an article ("ad-slot"); with any other it is a subject ("ad-hoc-tests").
+AFTER_NAMES = {
+    "area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item",
+    "items", "label", "link", "links", "list", "message", "meta", "panel", "post", "posts", "section", "signup", "slot",
+    "text", "thread", "title", "unit", "wrap", "wrapper",
+}
+COMMENT_NAMES = {"comment", "comments", "disqus", "replies", "reply", "respond"}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"},
@@ -80,23 +87,39 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
 
 
+def _has_name(words: str, wanted: set[str], after: set[str] | None = None) -> bool:
+    """Whether a word is a wanted name, one after words that say where it stands, or one before others (those of ``after`` if given)."""
+    for word in words.split():
+        parts = [p.lower() for p in NAME_PART.findall(word)]
+        if not parts:
+            continue
+        rest = parts[0] in wanted and (after is None or all(len(p) == 1 or p in after for p in parts[1:]))
+        if rest or (parts[-1] in wanted and all(p in BEFORE_NAMES for p in parts[:-1])):
+            return True
+    return False
+
+
 def _is_dropped(name: str, attributes: dict[str, str], inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is dropped, and whether that is only for its class or id."""
+    """Whether an element is dropped, and whether it may come back as it holds the page's article.
+
+    Within an article an id is mostly the slug of a heading: only those of reader comments count.
+    """
     if name in DROPPED or (name == "header" and not inside_article):
-        return True, False
+        return True, name == "form"
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
         return True, False
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main"):
         return False, False
+    names, own = attributes.get("class", ""), attributes.get("id", "")
+    if name == "article":
+        return _has_name(names, COMMENT_NAMES, {"body", "content", "item", "text"}), False
     if attributes.get("role", "").lower() in DROPPED_ROLES:
         return True, False
-    wanted = DROPPED_NAMES if inside_article else DROPPED_NAMES | {"header"}
-    for key in ("class", "id"):
-        for word in attributes.get(key, "").split():
-            parts = [p.lower() for p in NAME_PART.findall(word)]
-            if parts and (parts[0] in wanted or (parts[-1] in wanted and all(p in BEFORE_NAMES for p in parts[:-1]))):
-                return True, True
-    return False, False
+    if inside_article:
+        drop = _has_name(names, DROPPED_NAMES, AFTER_NAMES) or own.lower() in COMMENT_NAMES
+    else:
+        drop = _has_name(f"{names} {own}", DROPPED_NAMES | {"header"})
+    return drop, drop
 
 
 def parse(page: str) -> Node:
@@ -198,7 +221,7 @@ def _points(node: Node) -> float:
 
 
 def _restore(root: Node) -> None:
-    """Keep elements dropped for their class or id that hold the page's article.
+    """Keep forms and elements dropped for their class or id that hold the page's article.
 
     That is one with the most paragraph points of those that hold an article or main element, if no
     such element is kept otherwise, or one with more than half of the page's points, if it has none.
@@ -271,7 +294,7 @@ def main_text(page: str | None) -> str:
     Paragraphs give points for length and commas to their ancestors, fewer to farther ones,
     and links take points away. A container within an article or main element stands for the
     whole of it, and only siblings with points of their own stay with it; otherwise all siblings
-    that are not mostly links do. Without any paragraph the page's whole kept text is the answer.
+    that are not mostly links do. A page's only h1 before an article that has none belongs to it. Without any paragraph the page's whole kept text is the answer.
     """
     if not page:
         return ""
@@ -299,7 +322,31 @@ def main_text(page: str | None) -> str:
             enough = not whole or sibling.score >= SIBLING_SHARE * lifted.score
             if enough and links < 0.5 or paragraph:
                 kept.append(sibling)
-    return _inner_text(kept)
+    return _inner_text([*_title_before(kept[0] if not isinstance(kept[0], str) else lifted, kept), *kept])
+
+
+def _title_before(first: Node, kept: list[Node | str]) -> list[Node]:
+    """The page's only h1 that is kept, if it stands before the article in a wrapper of its own and the article has none."""
+    titles, node = [], first
+    while node.parent is not None:
+        for sibling in node.parent.children:
+            if sibling is node:
+                break
+            stack = [] if isinstance(sibling, str) or any(sibling is k for k in kept) else [sibling]
+            while stack:
+                inner = stack.pop()
+                if inner.name == "h1" and not inner.drop and 2 * inner.linked < max(inner.letters, 1):
+                    titles.append(inner)
+                elif not inner.drop:
+                    stack += [c for c in inner.children if not isinstance(c, str)]
+        node = node.parent
+    stack = [k for k in kept if not isinstance(k, str)]
+    while stack:
+        inner = stack.pop()
+        if inner.name == "h1":
+            return []
+        stack += [c for c in inner.children if not isinstance(c, str)]
+    return titles if len(titles) == 1 else []
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -53,3 +53,39 @@ def test_siblings_of_the_best_container_stay():
     page = ("<div id=content><h1>Title</h1><div class=body><p>One, two, three, four.</p><p>Five, six.</p></div><blockquote>Said.</blockquote>"
             "<pre>x = 1</pre><p>Short.</p><table><tr><td>cell</table><ul><li>Item</ul><ul><li><a>Link one</a></ul> bare</div>")
     assert main_text(page) == "Title One, two, three, four. Five, six. Said. x = 1 Short. cell Item bare"
+
+
+BODY = "<p>One, two, three, four, five, six, seven.</p><p>Eight, nine.</p>"
+TEXT = "One, two, three, four, five, six, seven. Eight, nine."
+
+
+@pytest.mark.parametrize("slug", ["related-work", "notices-of-intent", "ad-hoc-tests", "share-prices", "social-impact", "widget-theory"])
+def test_subjects_within_an_article_stay(slug):
+    assert main_text(f"<article>{BODY}<h2 id='{slug}'>Head</h2><section id='{slug}'><p>Ten.</p></section></article>") == f"{TEXT} Head Ten."
+    assert main_text(f"<main>{BODY}<section class='{slug}'><p>Ten, eleven.</p></section></main>") == f"{TEXT} Ten, eleven."
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "share-buttons", "related-posts", "newsletter-signup", "post-share", "ad-300x250", "replies"])
+def test_adverts_and_links_within_an_article_go(name):
+    assert main_text(f"<article>{BODY}<div class='{name}'><p>Buy, buy, buy.</p></div></article>") == TEXT
+
+
+@pytest.mark.parametrize("comment", [
+    "<article class='comment'><p>me, too, me, too</p></article>", "<div class='replies'><p>me, too</p></div>",
+    "<section id='comments'><p>me, too</p></section>", "<article class='user-reply odd'><p>me, too</p></article>",
+])
+def test_reader_comments_go(comment):
+    assert main_text(f"<main>{BODY}{comment}</main>") == TEXT
+    assert main_text(f"<body><article class='post comments-open'>{BODY}</article>{comment}</body>") == TEXT
+
+
+def test_page_within_a_form():
+    assert main_text(f"<body><form id='aspnetForm'><div class='menu'><a>Home</a></div><div>{BODY}</div></form></body>") == TEXT
+    assert main_text(f"<body><form id='aspnetForm'><article>{BODY}<form><p>Name, mail</p></form></article></form></body>") == TEXT
+    assert main_text(f"<body><div>{BODY}</div><form><p>Name, mail</p></form></body>") == TEXT
+
+
+def test_formulas_and_a_title_in_its_own_wrapper():
+    assert main_text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>, then.</p></article>") == "If x=1, then."
+    page = f"<div id=page><div class=top><div><h1>Title</h1></div></div><div class=wrap><div class=body>{BODY}</div></div></div>"
+    assert main_text(page) == f"Title {TEXT}"
