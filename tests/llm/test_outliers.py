@@ -90,6 +90,24 @@ def test_odd_logs_of_a_group_are_rejected(spark):
     assert {r.run_id for r in got if r.base_failed} == {2000, 2001, 2002}
 
 
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(4)
+    word = lambda low=3, high=8: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(low, high)))
+    passage, lines = [word(6, 6) for _ in range(30)], [word(6, 6) for _ in range(50)] * 2
+    rng.shuffle(lines)
+    odd = [
+        " ".join(word(11, 14) for _ in range(100)), " ".join(word() + "#" * (i % 10 == 0) for i in range(100)),
+        "\n".join(lines), " ".join([*passage, *(word() for _ in range(100)), *passage, *(word() for _ in range(40))]),
+    ]
+    rows = [(i, "en", "s", " ".join(word() for _ in range(rng.randint(100, 300)))) for i in range(150)]
+    rows += [(1000 + i, "en", "s", text) for i, text in enumerate(odd)]
+    got = {r.run_id: r for r in judge_logs(spark.createDataFrame(rows, "run_id long, case_label string, variant string, log string")).collect()}
+    assert sum(got[i].kept for i in range(150)) == 150
+    assert [(got[1000 + i].kept, got[1000 + i].base_failed) for i in range(4)] == [(False, False)] * 4
+    only = [(r.n_symbols > 0, r.n_dup_lines > 0, r.n_repeat_words > 0) for r in (got[1000 + i] for i in range(4))]
+    assert only == [(False, False, False), (True, False, False), (False, True, False), (False, False, True)]
+
+
 def test_empty_table_and_one_row(spark):
     df = spark.createDataFrame([(1, "a", "b", "one two " * 30 + " ".join(map(str, range(100))))], "run_id long, case_label string, variant string, log string")
     assert [r.kept for r in judge_logs(df).collect()] == [True]
