@@ -1,32 +1,38 @@
 """Pairwise similarity of haplotypes by the mutations they share.
 
 Every unordered pair of haplotypes counts, so the work is that of a sparse matrix
-times its transpose. Haplotypes are hashed into blocks and mutations into chunks;
-a task takes one pair of blocks and one chunk, both of bounded size however common
-a mutation or however rich a haplotype is, and multiplies two 0/1 matrices. Where pairs
-are asked for they come out once per chunk with their shared count, and are summed over
-the chunks; means are summed inside the tiles.
+times its transpose. Haplotypes are hashed into blocks and numbered in them; a tile is a
+pair of blocks and holds one matrix of shared counts. A mutation of few copies reaches the
+tiles as the list of its pairs. Common mutations are hashed into chunks and reach them as
+bits, one row of bits per haplotype and chunk, so that a task counts the ones of two rows'
+conjunction. A mutation on one haplotype only reaches no tile. A tile takes its chunks one
+after the other, so it holds one matrix and one chunk of two blocks, however many
+mutations there are; means are summed in the tile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from popstat.functions.scalars import SIMILARITY_METRICS, set_similarity
 from popstat.operators.filters import segregating
-from popstat.operators.groups import By, attach, hash_bucket, per_group
-from popstat.operators.statistics import site_counts
+from popstat.operators.groups import By, attach, hash_bucket
+from popstat.operators.statistics import copy_counts, site_counts
 from popstat.session import cut_lineage
 
-BLOCK = 256  # haplotypes of a block, about
-CHUNK = 16384  # mutations of a chunk, about
+BLOCK = 4096  # haplotypes of a block, at most about
+LEAST_BLOCK = 256  # and at least, where many mutations call for smaller tiles
+CHUNK = 8192  # common mutations of a chunk, about
+TILE_WORK = 2**40  # haplotypes of a block squared times common mutations, about
+SLICE = 16  # haplotypes whose bits are one row
+PIECE = 8192  # pairs of a rare mutation that are one row
 
 
 def segregating_carriers(carriers: DataFrame, haplotypes: DataFrame, by: By = ()) -> DataFrame:
@@ -35,93 +41,220 @@ def segregating_carriers(carriers: DataFrame, haplotypes: DataFrame, by: By = ()
     return carriers.join(sites, [*by, "mutation_id"], "left_semi")
 
 
-def _packed(carriers: DataFrame, by: By, block: int, chunk: int) -> DataFrame:
-    """One row per haplotype and chunk with its mutation ids, and the size of its whole set.
+def _beside(df: DataFrame, groups: DataFrame, by: By) -> DataFrame:
+    """``df`` with the columns of its group, NULL where the group has none."""
+    return df.join(groups, list(by), "left") if by else attach(df, groups, by)
 
-    Written once: the tiles and the sizes read it several times.
+
+def _numbered(
+    sizes: DataFrame, sites: DataFrame, by: By, block: int, chunk: int
+) -> tuple[DataFrame, DataFrame]:
+    """Haplotypes with block and number in it; mutations of two copies or more with their chunk and bit.
+
+    ``sizes`` has the set ``_size`` of each haplotype, ``sites`` the ``copies`` of each mutation.
+    A mutation is rare if its pairs take less room than its bits in all blocks would.
     """
-    sizes = carriers.groupBy(*by).agg(
-        F.ceil(F.approx_count_distinct("haplotype_id") / block).alias("_blocks"),
-        F.ceil(F.approx_count_distinct("mutation_id") / chunk).alias("_chunks"),
-    )
-    placed = attach(carriers, sizes, by)
-    chunk_of = hash_bucket(["mutation_id"], F.col("_chunks")).cast("int").alias("_chunk")
-    packed = placed.groupBy(*by, "haplotype_id", chunk_of, "_blocks", "_chunks").agg(
-        F.collect_list("mutation_id").alias("_ids")
-    )
-    block_of = hash_bucket(["haplotype_id"], F.col("_blocks")).cast("int").alias("_block")
-    packed = cut_lineage(packed.select("*", block_of))
-    whole = packed.groupBy(*by, "haplotype_id").agg(F.sum(F.size("_ids").cast("long")).alias("_size"))
-    return packed.join(whole, [*by, "haplotype_id"])
-
-
-def _matrix(rows: pd.DataFrame, common: np.ndarray) -> np.ndarray:
-    """0/1 matrix, haplotypes by the common mutations."""
-    ids = np.concatenate(list(rows["_ids"]))
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows["_ids"]])
-    at = np.minimum(np.searchsorted(common, ids), len(common) - 1)
-    found = common[at] == ids
-    matrix = np.zeros((len(rows), len(common)), dtype=np.float32)
-    matrix[row[found], at[found]] = 1.0
-    return matrix
-
-
-def _shared(lo: int, hi: int, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray] | None:
-    """The haplotypes of both blocks and the counts they share in one chunk; of one block only pairs once."""
-    left, right = rows[rows["_block"] == lo], rows[rows["_block"] == hi]
-    if left.empty or right.empty:
-        return None
-    ids = np.unique(np.concatenate(list(left["_ids"])))
-    if lo != hi:
-        ids = np.intersect1d(ids, np.concatenate(list(right["_ids"])))
-    if not len(ids):
-        return None
-    x = _matrix(left, ids)
-    counts = x @ (x if lo == hi else _matrix(right, ids)).T
-    return left, right, np.triu(counts, 1) if lo == hi else counts
-
-
-def _tiles(packed: DataFrame, by: By) -> DataFrame:
-    """Packed rows once for each pair of blocks they belong to."""
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1))
-    return packed.withColumn("_other", other).select(
-        *by, "haplotype_id", "_ids", "_size", "_chunk", "_chunks", "_block",
-        F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"),
+    by = list(by)
+    copies = F.col("copies").cast("double")
+    common = (F.col("copies") > 1) & (copies * copies * (32.0 * block) > F.col("_n") * F.col("_n"))
+    loaded = sizes.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    spectrum = _beside(sites.groupBy(*by, "copies").agg(F.count(F.lit(1)).alias("_sites")), loaded, by)
+    groups = spectrum.groupBy(*by, "_n").agg(F.sum(F.when(common, F.col("_sites")).otherwise(0)).alias("_sites"))
+    wide = F.greatest(F.lit(min(block, LEAST_BLOCK)), F.least(F.lit(block), F.sqrt(TILE_WORK / F.greatest(F.lit(1), F.col("_sites")))))
+    parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size))
+    groups = groups.select(*by, "_n", parts(F.col("_n"), wide).alias("_blocks"), parts(F.col("_sites"), chunk).alias("_chunks"))
+    groups = cut_lineage(groups)
+    placed = _beside(sizes, groups.drop("_n", "_chunks"), by)
+    placed = placed.withColumn("_block", hash_bucket(["haplotype_id"], F.col("_blocks")).cast("int"))
+    haplotypes = cut_lineage(placed.select(*_counted(by, "_block", "haplotype_id", "_at", "_rows")))
+    chunk_of = F.when(common, hash_bucket(["mutation_id"], F.col("_chunks")).cast("int"))
+    placed = _beside(sites.where("copies > 1"), groups.drop("_blocks"), by)
+    placed = placed.select(*by, "mutation_id", common.alias("_common"), chunk_of.alias("_chunk"))
+    bits = placed.where("_common").select(*_counted(by, "_chunk", "mutation_id", "_bit", "_bits"))
+    return haplotypes, cut_lineage(bits.unionByName(placed.where("not _common"), allowMissingColumns=True))
+
+
+def _counted(by: By, part: str, order: str, number: str, total: str) -> list[Column | str]:
+    """All columns, a number from 0 within a part, and the rows of the part; parts are of bounded size."""
+    inside = Window.partitionBy(*by, part)
+    number_of = (F.row_number().over(inside.orderBy(order)) - 1).cast("int")
+    return ["*", number_of.alias(number), F.count(F.lit(1)).over(inside).cast("int").alias(total)]
+
+
+def _bit_rows(placed: DataFrame, by: By) -> DataFrame:
+    """Bits of common mutations: per block and chunk, rows of ``SLICE`` haplotypes from ``_first`` on."""
+    keys = [*by, "_block", "_blocks", "_chunk"]
+    names = [*keys, "_first", "_held"]
+    schema = T.StructType([placed.schema[k] for k in keys] + [T.StructField("_first", T.IntegerType()), T.StructField("_held", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, key = None, []
+        for batch in batches:
+            if ones is None:
+                key = [batch.column(k).slice(0, 1) for k in keys]
+                n, bits = (batch.column(k)[0].as_py() for k in ("_rows", "_bits"))
+                ones = np.zeros((n, -(-bits // 64) * 64), bool)
+            ones[batch.column("_at").to_numpy(), batch.column("_bit").to_numpy()] = True
+        if ones is None:
+            return
+        first = np.arange(0, len(ones), SLICE, dtype=np.int32)
+        held = [np.packbits(ones[i : i + SLICE], axis=1).tobytes() for i in first]
+        same = [pa.concat_arrays([k] * len(first)) for k in key]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(first), pa.array(held, pa.binary())], names=names)
+
+    common = placed.where("_common").select(*keys, "_at", "_bit", "_rows", "_bits")
+    return common.groupBy(*keys).applyInArrow(pack, schema)
+
+
+def _rare_pairs(placed: DataFrame, by: By) -> DataFrame:
+    """Pairs of haplotypes on a rare mutation, for each pair of blocks, as numbers ``place * 2^32 + place``."""
+    keys = list(by)
+    pair = [T.StructField(n, T.IntegerType()) for n in ("_lo", "_hi")]
+    schema = T.StructType([placed.schema[k] for k in keys] + pair + [T.StructField("_pairs", T.ArrayType(T.LongType()))])
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lows, highs, pairs, waiting = [], [], [], [], 0
+            for i, ends in enumerate(batch.column("_ends")):
+                ends = np.sort(ends.values.to_numpy())  # block * 2^32 + place
+                a, b = (ends[k] for k in np.triu_indices(len(ends), 1))
+                tile = (a >> 32) << 32 | b >> 32
+                order = np.argsort(tile, kind="stable")
+                code = ((a & 0xFFFFFFFF) << 32 | (b & 0xFFFFFFFF))[order]
+                found, start = np.unique(tile[order], return_index=True)
+                for t, part in zip(found.tolist(), np.split(code, start[1:]), strict=True):
+                    for k in range(0, len(part), PIECE):
+                        rows.append(i)
+                        lows.append(t >> 32)
+                        highs.append(t & 0xFFFFFFFF)
+                        pairs.append(part[k : k + PIECE])
+                        waiting += len(pairs[-1])
+                if waiting > 1 << 20:
+                    yield made(batch, rows, lows, highs, pairs)
+                    rows, lows, highs, pairs, waiting = [], [], [], [], 0
+            if rows:
+                yield made(batch, rows, lows, highs, pairs)
+
+    def made(batch: pa.RecordBatch, rows: list, lows: list, highs: list, pairs: list) -> pa.RecordBatch:
+        same = [batch.column(k).take(pa.array(rows)) for k in keys]
+        more = [pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(pairs, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*same, *more], names=schema.fieldNames())
+
+    end = F.shiftleft(F.col("_block").cast("long"), 32) + F.col("_at")
+    lists = placed.where("not _common").groupBy(*keys, "mutation_id").agg(F.collect_list(end).alias("_ends"))
+    return lists.select(*keys, "_ends").mapInArrow(expand, schema)
+
+
+def _tiles(carriers: DataFrame, haplotypes: DataFrame, mutations: DataFrame, by: By) -> DataFrame:
+    """All that a pair of blocks needs, in order: sizes of both, pairs of rare mutations, bits of one chunk after the other."""
+    by = list(by)
+    placed = carriers.join(mutations, [*by, "mutation_id"]).join(haplotypes.drop("_size"), [*by, "haplotype_id"])
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1)).alias("_other")
+    tile = [F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi")]
+    whole = F.array_sort(F.collect_list(F.struct("_at", "haplotype_id", "_size")))
+    sizes = haplotypes.groupBy(*by, "_block", "_blocks").agg(whole.alias("_all")).select("*", other)
+    sizes = sizes.select(
+        *by, *tile, F.lit(-2).alias("_chunk"), "_block", F.lit(0).alias("_first"),
+        F.col("_all.haplotype_id").alias("_ids"), F.col("_all._size").alias("_pairs"), F.lit(None).cast("binary").alias("_held"),
     )
+    rare = _rare_pairs(placed, by).withColumns({"_chunk": F.lit(-1), "_block": F.lit(-1), "_first": F.lit(0)})
+    bits = _bit_rows(placed, by).select("*", other).select(*by, *tile, "_chunk", "_block", "_first", "_held")
+    every = sizes.unionByName(rare, allowMissingColumns=True).unionByName(bits, allowMissingColumns=True)
+    key = [*by, "_lo", "_hi"]
+    return every.repartition(*key).sortWithinPartitions(*key, "_chunk", "_block", "_first")
+
+
+class _Tile:
+    """Shared counts of the haplotypes of two blocks; of one block with itself only those above the diagonal count."""
+
+    def __init__(self, key: tuple, group: list[pa.Array]) -> None:
+        self.key, self.group = key, group
+        self.lo, self.hi = key[-2:]
+        self.ids: dict[int, pa.Array] = {}
+        self.sizes = {k: np.zeros(0, np.int64) for k in (self.lo, self.hi)}  # a block may be empty
+        self.counts = np.zeros((0, 0), np.int32)
+        self.chunk, self.bits = -2, {}
+
+    def take(self, chunk: int, block: int, batch: pa.RecordBatch, i: int) -> None:
+        if chunk == -2:
+            self.ids[block] = batch.column("_ids")[i].values
+            self.sizes[block] = batch.column("_pairs")[i].values.to_numpy()
+            return
+        if not self.counts.size:
+            self.counts = np.zeros((len(self.sizes[self.lo]), len(self.sizes[self.hi])), np.int32)
+        if chunk == -1:
+            pairs = batch.column("_pairs")[i].values.to_numpy()
+            self.counts[pairs >> 32, pairs & 0xFFFFFFFF] += 1  # a mutation has a pair once
+            return
+        if chunk != self.chunk:
+            self.multiply()
+            self.chunk, self.bits = chunk, {}
+        self.bits.setdefault(block, []).append(batch.column("_held")[i].as_py())
+
+    def multiply(self) -> None:
+        if self.lo not in self.bits or self.hi not in self.bits:
+            return
+        left, right = (np.frombuffer(b"".join(self.bits[k]), np.uint64).reshape(len(self.sizes[k]), -1) for k in (self.lo, self.hi))
+        for i, row in enumerate(left):
+            after = i + 1 if self.lo == self.hi else 0
+            self.counts[i, after:] += np.bitwise_count(right[after:] & row).sum(axis=1, dtype=np.int32)
+        self.bits = {}
+
+    def slices(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Counts of some left haplotypes with all right ones."""
+        self.multiply()
+        for i in range(0, len(self.counts), 64):
+            yield slice(i, i + 64), self.counts[i : i + 64]
+
+
+def _each_tile(tiles: DataFrame, by: By, schema: T.StructType, finish: Callable[[_Tile], Iterator[list[pa.Array]]]) -> DataFrame:
+    keys, names = [*by, "_lo", "_hi"], schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = None
+        for batch in batches:
+            key_columns = [batch.column(k).to_pylist() for k in keys]
+            chunks, blocks = batch.column("_chunk").to_pylist(), batch.column("_block").to_pylist()
+            for i, key in enumerate(zip(*key_columns, strict=True)):
+                if tile is None or key != tile.key:
+                    if tile is not None:
+                        yield from (pa.RecordBatch.from_arrays(x, names=names) for x in finish(tile))
+                    tile = _Tile(key, [batch.column(k).slice(i, 1) for k in by])
+                tile.take(chunks[i], blocks[i], batch, i)
+        if tile is not None:
+            yield from (pa.RecordBatch.from_arrays(x, names=names) for x in finish(tile))
+
+    return tiles.mapInArrow(run, schema)
 
 
 def pair_set_sizes(carriers: DataFrame, by: By = (), block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Pairs a < b with a shared mutation: size of either set, intersection and union."""
-    return _pairs(_packed(carriers, by, block, chunk), by)
-
-
-def _pairs(packed: DataFrame, by: By) -> DataFrame:
     by = list(by)
-    tiles = _tiles(packed, by)
-    group_fields = [packed.schema[name] for name in by]
-    names = ["haplotype_a", "haplotype_b", "size_a", "size_b", "shared"]
-    schema = T.StructType(group_fields + [T.StructField(n, T.LongType()) for n in names])
-
-    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        met = _shared(key[-3], key[-2], rows)
-        if met is None:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        left, right, shared = met
-        r, c = np.nonzero(shared)
-        h1, h2 = left["haplotype_id"].to_numpy()[r], right["haplotype_id"].to_numpy()[c]
-        s1, s2 = left["_size"].to_numpy()[r], right["_size"].to_numpy()[c]
-        straight = h1 < h2
-        out = {
-            "haplotype_a": np.where(straight, h1, h2), "haplotype_b": np.where(straight, h2, h1),
-            "size_a": np.where(straight, s1, s2), "size_b": np.where(straight, s2, s1),
-            "shared": shared[r, c].astype(np.int64),
-        }
-        groups = {name: [key[k]] * len(r) for k, name in enumerate(by)}
-        return pd.DataFrame({**groups, **out})
-
-    partial = tiles.groupBy(*by, "_lo", "_hi", "_chunk").applyInPandas(multiply, schema)
-    pairs = partial.groupBy(*by, *names[:-1]).agg(F.sum("shared").alias("shared"))
-    return pairs.withColumn("union_size", F.col("size_a") + F.col("size_b") - F.col("shared"))
+    carriers = carriers.select(*by, "haplotype_id", "mutation_id")
+    sizes = cut_lineage(carriers.groupBy(*by, "haplotype_id").agg(F.count(F.lit(1)).alias("_size")))
+    haplotypes, mutations = _numbered(sizes, cut_lineage(copy_counts(carriers, by)), by, block, chunk)
+    group_fields = [carriers.schema[name] for name in by]
+    ends = [T.StructField(n, carriers.schema["haplotype_id"].dataType) for n in ("haplotype_a", "haplotype_b")]
+    names = ["size_a", "size_b", "shared", "union_size"]
+    schema = T.StructType(group_fields + ends + [T.StructField(n, T.LongType()) for n in names])
+
+    def finish(tile: _Tile) -> Iterator[list[pa.Array]]:
+        for rows, counts in tile.slices():
+            r, c = np.nonzero(counts)
+            if not len(r):
+                continue
+            shared = counts[r, c].astype(np.int64)
+            r += rows.start
+            a, b = tile.ids[tile.lo].take(pa.array(r)), tile.ids[tile.hi].take(pa.array(c))
+            n, m = tile.sizes[tile.lo][r], tile.sizes[tile.hi][c]
+            straight = pc.less(a, b)
+            order = straight.to_numpy(zero_copy_only=False)
+            group = [g.take(pa.array(np.zeros(len(r), np.int64))) for g in tile.group]
+            low, high = np.where(order, n, m), np.where(order, m, n)
+            numbers = [pa.array(x) for x in (low, high, shared, n + m - shared)]
+            yield [*group, pc.if_else(straight, a, b), pc.if_else(straight, b, a), *numbers]
+
+    return _each_tile(_tiles(carriers, haplotypes, mutations, by), by, schema, finish)
 
 
 def _sums(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[float]:
@@ -130,65 +263,20 @@ def _sums(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[float]:
     return [float(x.sum()) for x in (shared / (a + b - shared), 2 * shared / (a + b), shared / np.minimum(a, b))]
 
 
-def _similarity_sums(packed: DataFrame, by: By) -> DataFrame:
-    """Each metric summed over the pairs of a group that share a mutation; no pair leaves its tile.
-
-    A tile of one chunk gives three numbers. Tiles of several chunks give their counts as
-    one packed matrix a chunk, which are added up batch by batch for each pair of blocks.
-    """
-    by = list(by)
-    groups = [packed.schema[name] for name in by]
-    longs, numbers = T.ArrayType(T.LongType()), [T.StructField(m, T.DoubleType()) for m in SIMILARITY_METRICS]
-    counted = [T.StructField(n, longs) for n in ("_left", "_right", "_a", "_b")] + [T.StructField("_counts", T.BinaryType())]
-    blocks = [T.StructField(n, T.IntegerType()) for n in ("_lo", "_hi")]
-    schema = T.StructType([*groups, *blocks, *numbers, *counted])
-    names = [f.name for f in schema.fields]
-
-    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        met = _shared(key[-3], key[-2], rows)
-        if met is None:
-            return pd.DataFrame(columns=names)
-        left, right, shared = met
-        sizes = left["_size"].to_numpy(), right["_size"].to_numpy()
-        if int(rows["_chunks"].iloc[0]) == 1:
-            return pd.DataFrame([[*key[:-1], *_sums(shared, *sizes), *[None] * 5]], columns=names)
-        ids = [x["haplotype_id"].to_numpy() for x in (left, right)]
-        counts = shared.astype("<i4").tobytes()
-        return pd.DataFrame([[*key[:-1], None, None, None, *ids, *sizes, counts]], columns=names)
-
-    made = _tiles(packed, by).groupBy(*by, "_lo", "_hi", "_chunk").applyInPandas(multiply, schema)
-    several = packed.agg(F.max("_chunks")).first()[0]
-    if several is not None and several > 1:
-        made = cut_lineage(made)
-        once = made.where("_counts is null").select(*by, *SIMILARITY_METRICS)
-        added = made.where("_counts is not null").groupBy(*by, "_lo", "_hi").applyInArrow(
-            _add_up, T.StructType([*groups, *numbers])
-        )
-        made = once.unionByName(added)
-    return made.groupBy(*by).agg(*[F.sum(m).alias(m) for m in SIMILARITY_METRICS])
+def _similarity_sums(tiles: DataFrame, by: By) -> DataFrame:
+    """Each metric summed over the pairs of a group that share a mutation; no pair leaves its tile."""
+    numbers = [T.StructField(m, T.DoubleType()) for m in SIMILARITY_METRICS]
+    schema = T.StructType([tiles.schema[name] for name in by] + numbers)
 
+    def finish(tile: _Tile) -> Iterator[list[pa.Array]]:
+        total = [0.0] * len(SIMILARITY_METRICS)
+        for rows, counts in tile.slices():
+            part = _sums(counts, tile.sizes[tile.lo][rows], tile.sizes[tile.hi])
+            total = [x + y for x, y in zip(total, part, strict=True)]
+        yield [*tile.group, *[pa.array([x]) for x in total]]
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of one pair of blocks from its counts by chunk, which come in any order."""
-    rows, columns, a, b = {}, {}, {}, {}
-    total, key = np.zeros((0, 0), np.int64), None
-    for batch in batches:
-        key = {n: batch.column(n).slice(0, 1) for n in batch.schema.names if n not in _COUNTED}
-        for row in batch.select(["_left", "_right", "_a", "_b", "_counts"]).to_pylist():
-            for ids, sizes, place, size in ((row["_left"], row["_a"], rows, a), (row["_right"], row["_b"], columns, b)):
-                for i, n in zip(ids, sizes, strict=True):
-                    size[place.setdefault(i, len(place))] = n
-            grown = np.zeros((len(rows), len(columns)), np.int64)
-            grown[: total.shape[0], : total.shape[1]] = total
-            counts = np.frombuffer(row["_counts"], "<i4").reshape(len(row["_left"]), len(row["_right"]))
-            grown[np.ix_([rows[i] for i in row["_left"]], [columns[i] for i in row["_right"]])] += counts
-            total = grown
-    sums = _sums(total, *(np.array([s[i] for i in range(len(s))], np.float64) for s in (a, b)))
-    values = {**key, **{m: pa.array([x]) for m, x in zip(SIMILARITY_METRICS, sums, strict=True)}}
-    yield pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, list) else v for v in values.values()], names=list(values))
-
-
-_COUNTED = {"_lo", "_hi", "_left", "_right", "_a", "_b", "_counts", *SIMILARITY_METRICS}
+    made = _each_tile(tiles, by, schema, finish)
+    return made.groupBy(*by).agg(*[F.sum(m).alias(m) for m in SIMILARITY_METRICS])
 
 
 def haplotype_overlaps(carriers: DataFrame, by: By = (), block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
@@ -204,13 +292,16 @@ def pairwise_similarities(
     Only segregating mutations count. A pair that shares nothing adds 0, or 1 if
     both sets are empty; a group with fewer than two haplotypes has similarity 1.
     """
-    packed = _packed(segregating_carriers(carriers, haplotypes, by), by, block, chunk)
-    sums = _similarity_sums(packed, by)
-    sums = per_group(haplotypes, sums, by, dict.fromkeys(SIMILARITY_METRICS, 0.0))
-    loaded = packed.groupBy(*by).agg(F.count_distinct("haplotype_id").alias("_loaded"))
-    loaded = per_group(haplotypes, loaded, by, {"_loaded": 0})
+    by = list(by)
+    carriers = carriers.select(*by, "haplotype_id", "mutation_id")
+    sites = cut_lineage(segregating(site_counts(carriers, haplotypes, by)).select(*by, "mutation_id", "copies"))
+    held = carriers.join(sites, [*by, "mutation_id"], "left_semi")
+    sizes = cut_lineage(held.groupBy(*by, "haplotype_id").agg(F.count(F.lit(1)).alias("_size")))
+    placed, mutations = _numbered(sizes, sites, by, block, chunk)
+    sums = _similarity_sums(_tiles(carriers, placed, mutations, by), by)
+    loaded = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_loaded"))
     totals = haplotypes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hap"))
-    whole = attach(attach(sums, loaded, by), totals, by)
+    whole = _beside(_beside(totals, loaded, by), sums, by).na.fill(0, ["_loaded", *SIMILARITY_METRICS])
     n = F.col("n_hap").cast("double")
     empty = n - F.col("_loaded")
     n_pairs, empty_pairs = n * (n - 1) / 2, empty * (empty - 1) / 2

@@ -1,9 +1,19 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from popstat.operators.similarity import haplotype_overlaps, pair_set_sizes, pairwise_similarities, sampled_pairwise_similarity
+from popstat.operators.similarity import (
+    _numbered,
+    _tiles,
+    haplotype_overlaps,
+    pair_set_sizes,
+    pairwise_similarities,
+    sampled_pairwise_similarity,
+)
+from popstat.operators.statistics import copy_counts
 
 
 def brute(sets, n):
@@ -76,3 +86,41 @@ def test_means_of_groups_for_any_tiling(skewed, spark, block, chunk):
     common = set.intersection(*(first.get(h, set()) for h in range(9)))
     want = {"a": brute(sets, 30), "b": brute({h: s - common for h, s in first.items()}, 9)}
     assert all(abs(x - y) < 1e-12 for g in want for x, y in zip(got[g], want[g], strict=True))
+
+
+def test_rare_mutations_are_pairs_and_common_ones_bits_once_a_block(skewed):
+    df, _, sets = skewed
+    sizes = df.groupBy("haplotype_id").agg(F.count("*").alias("_size"))
+    placed, mutations = _numbered(sizes, copy_counts(df), [], 4, 50)
+    tiles = _tiles(df, placed, mutations, []).collect()
+    blocks = placed.select("_block").distinct().count()
+    assert blocks > 1 and placed.agg({"_blocks": "max"}).first()[0] >= blocks
+    bits = [r for r in tiles if r._chunk >= 0]
+    all_blocks = placed.first()._blocks
+    # the bits of a haplotype and chunk go to each pair of blocks with its own, once
+    assert len(bits) == len({(r._lo, r._hi, r._chunk, r._block, r._first) for r in bits})
+    assert len(bits) == all_blocks * len({(r._chunk, r._block, r._first) for r in bits})
+    ones = sum(int.from_bytes(r._held).bit_count() for r in bits)
+    common = {r.mutation_id for r in mutations.where("_common").collect()}
+    assert ones == all_blocks * sum(len(s & common) for s in sets.values())
+    copies = Counter(m for s in sets.values() for m in s)
+    rare = {r.mutation_id for r in mutations.where("not _common").collect()}
+    assert rare and common and rare | common == {m for m, n in copies.items() if n > 1}
+    assert sum(len(r._pairs) for r in tiles if r._chunk == -1) == sum(copies[m] * (copies[m] - 1) // 2 for m in rare)
+
+
+def test_names_and_null_groups(spark):
+    rows = [("x", "b", 1), ("x", "a", 1), ("x", "a", 2), ("y", "c", 1), (None, "a", 1), (None, "b", 1)]
+    df = spark.createDataFrame(rows, "g STRING, haplotype_id STRING, mutation_id BIGINT")
+    got = [tuple(r) for r in pair_set_sizes(df, ["g"]).collect()]
+    assert got == [("x", "a", "b", 2, 1, 1, 2)]
+
+
+def test_sets_without_a_shared_mutation_are_not_empty(spark):
+    rows = [("x", 0, 1), ("x", 1, 2), ("y", 0, 1), ("y", 1, 1), ("y", 2, 2)]
+    df = spark.createDataFrame(rows, "g STRING, haplotype_id BIGINT, mutation_id BIGINT")
+    haplotypes = spark.createDataFrame([("x", 0), ("x", 1), ("y", 0), ("y", 1), ("y", 2)], "g STRING, haplotype_id BIGINT")
+    got = {r.g: r.jaccard for r in pairwise_similarities(df, haplotypes, ["g"]).collect()}
+    assert got["x"] == 0.0 and abs(got["y"] - 1 / 3) < 1e-12
+    only_x = pairwise_similarities(df.where("g = 'x'").drop("g"), haplotypes.where("g = 'x'").drop("g")).first()
+    assert tuple(only_x) == (0.0, 0.0, 0.0)
